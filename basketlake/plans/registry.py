@@ -119,9 +119,8 @@ def _(lk: Lake):
 
 @query("replace_partition", """
 SELECT CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month,
-       count(*) AS n, sum(price) AS total
-FROM silver WHERE event_type <> 'view' GROUP BY ALL""".replace(
-    "sum(price) AS total", "round(sum(price), 6) AS total"))
+       count(*) AS n, round(sum(price), 6) AS total
+FROM silver WHERE event_type <> 'view' GROUP BY ALL""")
 def _(lk: Lake):
     """A second load of the same months replaces the first one."""
     path = scratch_path(lk.spark, "partitions")
@@ -539,8 +538,7 @@ def _(lk: Lake):
 @query("cluster_summary", f"""
 SELECT hour_of_day % 3 AS cluster,
        {', '.join(f'round(avg({c}), 2) AS {c}' for c in schemas.PROFILE_FEATURES)}
-FROM ml_features GROUP BY ALL""".replace("round(avg(hour_of_day), 2) AS hour_of_day",
-                                          "round(avg(hour_of_day), 2) AS hour_of_day"))
+FROM ml_features GROUP BY ALL""")
 def _(lk: Lake):
     rows = lk.ml_features().withColumn("cluster", F.col("hour_of_day") % 3)
     return metrics.cluster_summary(rows, schemas.PROFILE_FEATURES)
@@ -604,7 +602,7 @@ SELECT session_id, user_id, round(total_cart_value, 6) AS total_cart_value,
        round(p_abandonment, 6) AS p_abandonment, s.coupon_code, coupon_label,
        discount_pct, free_shipping, urgency_level, rationale,
        round(CASE WHEN s.coupon_code <> 'NENHUM'
-                  THEN total_cart_value * 0.35 * (1.0 - discount_pct) ELSE 0.0 END, 4)
+                  THEN total_cart_value * 0.35 * (1.0 - discount_pct) ELSE 0.0 END, 6)
          AS estimated_recovered_gmv
 FROM (SELECT *, CASE WHEN p_abandonment < 0.40 THEN 'NENHUM'
         WHEN p_abandonment < 0.65 THEN CASE WHEN total_cart_value >= 300 THEN 'FRETE_GRATIS'
@@ -624,8 +622,7 @@ def _(lk: Lake):
     carts = _scored(lk).select(
         "session_id", "user_id", (F.col("total_cart_value") * 10).alias("total_cart_value"),
         (1 - F.col("probability_1")).alias("p_abandonment"))
-    return decisions.recommend_coupon(carts).withColumn(
-        "estimated_recovered_gmv", F.round("estimated_recovered_gmv", 4))
+    return decisions.recommend_coupon(carts)
 
 
 _FALLBACK = """CASE WHEN num_views_before_cart <= 3 THEN 'high_intent'
@@ -711,14 +708,14 @@ SELECT user_session, user_id, epoch_us(first_cart_time) AS first_cart_time,
        epoch_us(deadline) AS deadline, round(total_cart_value, 6) AS total_cart_value,
        num_cart_items, num_views_before_cart, session_duration_sec, hour_of_day,
        round_even(num_views_before_cart / num_cart_items, 2) AS view_to_cart_ratio, is_night,
-       predicted_profile AS ml_predicted_profile, 68.0 AS ml_abandonment_risk_pct,
+       predicted_profile AS ml_predicted_profile,
+       CAST(68.0 AS DOUBLE) AS ml_abandonment_risk_pct,
        profile_name_pt, assigned_coupon, coupon_label, action_rationale,
        {', '.join(f"'{text}' AS {name}" for name, text in rules.OFFER.items())}
 FROM (SELECT *, {_REACHES.format(p='predicted_profile')} AS reaches
       FROM (SELECT *, {_FALLBACK} AS predicted_profile
             FROM (SELECT *, CASE WHEN hour_of_day >= 22 OR hour_of_day < 6 THEN 1 ELSE 0 END
                            AS is_night FROM offer_sessions))) s {_PRESCRIBED}"""
-_OFFER_SQL = _OFFER_SQL.replace("68.0 AS", "CAST(68.0 AS DOUBLE) AS")
 
 
 @query("cart_reminders", _REMINDER_SQL)
