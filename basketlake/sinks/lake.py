@@ -17,12 +17,18 @@ def with_month(df: DataFrame, time: str = "event_time") -> DataFrame:
     return df.withColumns({"year": F.year(time), "month": F.month(time)})
 
 
-def replace_partition(df: DataFrame, path: str, time: str | None = "event_time") -> None:
+def replace_partition(
+    df: DataFrame, path: str, time: str | None = "event_time", rebalance: bool = False
+) -> None:
     """Replace exactly the ``year``/``month`` partitions that ``df`` has rows for.
 
-    With ``time`` None the frame already carries ``year`` and ``month``.
+    With ``time`` None the frame already carries ``year`` and ``month``.  A load
+    that spans many months should ``rebalance``: rows are gathered by month and a
+    large month is still cut into files of the advisory size.
     """
     dated = df if time is None else with_month(df, time)
+    if rebalance:
+        dated = dated.hint("rebalance", "year", "month")
     (
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month").parquet(path)

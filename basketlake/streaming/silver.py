@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from basketlake.operators.silver import normalise_events, valid_events
@@ -9,10 +12,25 @@ from basketlake.operators.silver import normalise_events, valid_events
 LATENESS = "10 minutes"
 
 
-def event_stream_to_silver(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep one of the identical rows of each Arrow batch."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        kept = table.group_by(table.column_names, use_threads=False).aggregate([])
+        yield from kept.select(batch.schema.names).to_batches()
+
+
+def event_stream_to_silver(
+    events: DataFrame, lateness: str = LATENESS, collapse: bool = True
+) -> DataFrame:
     """Type, check and deduplicate a stream of click events.
 
     Copies of an event that arrive within ``lateness`` of each other are dropped.
+    All copies of one event meet in one task, and streaming deduplication has no
+    map-side combine; ``collapse`` removes copies batch by batch before the
+    exchange, so that an event delivered very often does not swamp its task.
     """
     checked = valid_events(normalise_events(events))
+    if collapse:
+        checked = checked.mapInArrow(_collapse, checked.schema)
     return checked.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark()
