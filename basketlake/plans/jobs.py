@@ -17,18 +17,19 @@ from basketlake.sinks import lake as sink
 from basketlake.sources import lake as source
 
 
-def bronze_to_silver(spark: SparkSession, bronze: str, target: str) -> dict[str, int]:
-    """Clean landed CSV into the month-partitioned Silver layer.
+def bronze_to_silver(spark: SparkSession, bronze: str, target: str) -> DataFrame:
+    """Clean landed CSV into the month-partitioned Silver layer; gives the audit row.
 
-    Counts come from observations on the write itself.  The heaviest sessions are
-    stored beside the layer for the Gold jobs.
+    The heaviest sessions are stored beside the layer for the Gold jobs.
     """
-    cleaned, before, after = silver.observed_silver(source.read_bronze_csv(spark, bronze))
-    sink.replace_partition(cleaned, f"{target}/events")
+    landed = source.read_bronze_csv(spark, bronze)
+    sink.replace_partition(silver.to_silver(landed), f"{target}/events")
     stored = source.read_layer(spark, f"{target}/events")
     sink.write_layer(sessions.session_heavy_keys(stored), f"{target}/heavy_sessions")
-    rows_in, rows_out = before.get["rows"], after.get["rows"]
-    return {"bronze": rows_in, "silver": rows_out, "removed": rows_in - rows_out}
+    sink.write_report_csv(silver.silver_audit(landed, stored), f"{target}/audit")
+    return spark.read.schema(
+        "bronze_count bigint, silver_count bigint, removed_count bigint"
+    ).option("header", True).csv(f"{target}/audit")
 
 
 def silver_to_gold(spark: SparkSession, silver_path: str, target: str) -> None:
