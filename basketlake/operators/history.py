@@ -15,6 +15,7 @@ from basketlake.functions.columns import ratio, whole_seconds
 from basketlake.operators.skew import heavy_keys, key_hash
 
 SLICES = 256  # slices per heavy user; with at most 512 such users the tables stay small
+STRIDE = 16   # a slice is looked up among every 16th bound first
 
 
 def _slice_bounds(sessions: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -26,20 +27,24 @@ def _slice_bounds(sessions: DataFrame, heavy: DataFrame) -> DataFrame:
         .join(F.broadcast(heavy), F.col("h") == F.col("heavy_hash"), "inner")
         .groupBy("user_id")
         .agg(F.percentile_approx("at", shares, 20000).alias("bounds"))
+        .withColumn("edges", F.filter("bounds", lambda _, i: (i + 1) % STRIDE == 0))
     )
 
 
 def _sliced(sessions: DataFrame, heavy: DataFrame) -> DataFrame:
     """Add ``_slice``: 0 for ordinary users, the time slice for heavy ones."""
     bounds = F.broadcast(_slice_bounds(sessions, heavy))
-    passed = F.size(F.filter("bounds", lambda b: b < F.unix_micros("first_cart_time")))
+
+    def passed(column) -> Column:
+        return F.size(F.filter(column, lambda b: b < F.unix_micros("first_cart_time")))
+
+    skipped = F.col("_skipped")
+    near = passed(F.slice("bounds", skipped + 1, F.lit(STRIDE)))
     return (
         sessions.join(bounds, "user_id", "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("bounds").isNull(), F.lit(0)).otherwise(passed + 1),
-        )
-        .drop("bounds")
+        .withColumn("_skipped", F.when(F.col("bounds").isNotNull(), passed("edges") * STRIDE))
+        .withColumn("_slice", F.coalesce(skipped + near + 1, F.lit(0)))
+        .drop("bounds", "edges", "_skipped")
     )
 
 

@@ -109,7 +109,7 @@ def _(lk: Lake):
 SELECT * REPLACE (epoch_us(event_time) AS event_time), year(event_time) AS year,
        month(event_time) AS month FROM silver""")
 def _(lk: Lake):
-    """Landed CSV, month partitions, observed audit: the whole job through storage."""
+    """Landed CSV, month partitions, audit: the whole job through storage."""
     base = scratch_path(lk.spark, "medallion")
     as_landed(lk.clicks()).write.option("header", True).csv(f"{base}/upload")
     sink.land_bronze(lk.spark, f"{base}/upload", f"{base}/bronze", 2024, 1)
