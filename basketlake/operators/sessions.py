@@ -208,45 +208,69 @@ def cart_session_events(events: DataFrame, heavy: DataFrame | None = None) -> Da
     )
 
 
-def cart_features(events: DataFrame) -> DataFrame:
-    """Sixteen cart features and the target per session id, up to the last cart.
+def _cart_variety(events: DataFrame) -> DataFrame:
+    """Distinct brands and categories and the most frequent category, from cart events alone.
 
-    ``num_views_before_cart`` counts every view of the session, as the coupon
-    model expects it.
+    Of equally frequent categories the smallest counts.
+    """
+    return events.filter(F.col("user_session").isNotNull() & is_cart()).groupBy("user_session").agg(
+        F.count_distinct("brand").alias("num_distinct_brands"),
+        F.count_distinct("category_code").alias("num_distinct_categories"),
+        F.mode("category_code", deterministic=True).alias("top_category"),
+    )
+
+
+def _cart_totals(events: DataFrame) -> DataFrame:
+    """Plain sums and extremes per session id.
+
+    Events are summed up per (session, user) first: those aggregates stay in
+    generated code, and picking the user of the earliest event then only looks
+    at one row per pair.
     """
     price = F.when(is_cart(), F.col("price"))
-    category = F.when(is_cart(), F.col("category_code"))
-    last_cart = F.max(F.when(is_cart(), F.col("event_time")))
-    totals = (
+    pairs = (
         events.filter(F.col("user_session").isNotNull())
-        .groupBy("user_session")
+        .groupBy(*SESSION_KEYS)
         .agg(
-            F.min_by("user_id", F.struct("event_time", "user_id")).alias("user_id"),
             count_if(is_cart()).alias("num_cart_items"),
             F.sum(price).alias("total_cart_value"),
             F.max(price).alias("max_item_price"),
             F.min(price).alias("min_item_price"),
-            F.avg(price).alias("avg_item_price"),
-            F.count_distinct(F.when(is_cart(), F.col("brand"))).alias("num_distinct_brands"),
-            F.count_distinct(category).alias("num_distinct_categories"),
-            F.mode(category, deterministic=True).alias("top_category"),
             count_if(is_view()).alias("num_views_before_cart"),
             F.min("event_time").alias("first_event_time"),
-            last_cart.alias("last_cart_time"),
+            F.max(F.when(is_cart(), F.col("event_time"))).alias("last_cart_time"),
             F.max(F.when(is_purchase(), 1).otherwise(0)).alias("has_purchase"),
         )
-        .filter(F.col("num_cart_items") > 0)
     )
+    return pairs.groupBy("user_session").agg(
+        F.min_by("user_id", F.struct("first_event_time", "user_id")).alias("user_id"),
+        *[F.sum(c).alias(c) for c in
+          ("num_cart_items", "total_cart_value", "num_views_before_cart")],
+        *[F.max(c).alias(c) for c in ("max_item_price", "last_cart_time", "has_purchase")],
+        *[F.min(c).alias(c) for c in ("min_item_price", "first_event_time")],
+    ).filter(F.col("num_cart_items") > 0)
+
+
+def cart_features(events: DataFrame) -> DataFrame:
+    """Sixteen cart features and the target per session id, up to the last cart.
+
+    ``num_views_before_cart`` counts every view of the session, as the coupon
+    model expects it.  Both halves end up partitioned by session id, so joining
+    them moves no rows.
+    """
+    totals = _cart_totals(events).join(_cart_variety(events), "user_session")
     at = F.col("last_cart_time")
+    items = F.col("num_cart_items")
     weekday = F.weekday(at)
     elapsed = (F.unix_micros(at) - F.unix_micros("first_event_time")) / F.lit(1e6)
     return totals.select(
         "user_session", "user_id", "num_cart_items", "total_cart_value", "max_item_price",
-        "min_item_price", "avg_item_price", "num_distinct_brands", "num_distinct_categories",
+        "min_item_price", (F.col("total_cart_value") / items).alias("avg_item_price"),
+        "num_distinct_brands", "num_distinct_categories",
         F.coalesce(F.substring_index("top_category", ".", 1), F.lit("other"))
         .alias("main_category"),
         "num_views_before_cart",
-        (F.col("num_views_before_cart") / F.greatest(F.col("num_cart_items"), F.lit(1)))
+        (F.col("num_views_before_cart") / F.greatest(items, F.lit(1)))
         .alias("view_to_cart_ratio"),
         F.greatest(elapsed, F.lit(0.0)).alias("session_duration_sec"),
         F.hour(at).alias("hour_of_day"),
