@@ -9,7 +9,7 @@ do not depend on it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HEAVY = 512          # a key below 1/512 of the rows is never heavy
@@ -90,26 +90,22 @@ def spread_join(
     )
 
 
-def smallest(
-    df: DataFrame, n: int, order: list[str], leading: Column, nulls_first: bool = True
-) -> DataFrame:
-    """The ``n`` first rows by ``order``, without sending ``n`` rows per task to one task.
+def smallest(df: DataFrame, n: int, order: list[str], leading: Column) -> DataFrame:
+    """The ``n`` first rows by ``order`` (NULLs first), without ``n`` rows from every task.
 
     ``leading`` must be non-decreasing along ``order`` and have few distinct
-    values (a short prefix).  Counts per value give the value at which the n-th
-    row lies; rows beyond it never reach the final ordering.
+    values (a short prefix).  Counts per value tell at which value the n-th row
+    lies; rows beyond it never reach the final ordering.
     """
-    from pyspark.sql import Window
-
-    marked = df.withColumn("_lead", leading)
-    counts = marked.groupBy("_lead").agg(F.count(F.lit(1)).alias("rows"))
+    counts = df.groupBy(leading.alias("lead")).agg(F.count(F.lit(1)).alias("rows"))
     running = F.sum("rows").over(
-        Window.orderBy(F.col("_lead").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        Window.orderBy(F.col("lead").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     )
-    wanted = (
+    cut = (
         counts.withColumn("before", F.coalesce(running, F.lit(0)))
         .filter(F.col("before") < n)
-        .select(F.col("_lead").alias("_keep"))
+        .agg(F.max("lead"))
+        .scalar()
     )
-    kept = marked.join(wanted, F.col("_lead").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.drop("_lead").orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(n)
+    kept = df.filter(leading.isNull() | (leading <= cut))
+    return kept.orderBy(*[F.col(c).asc_nulls_first() for c in order]).limit(n)

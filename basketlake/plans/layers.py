@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlake import schemas
 from basketlake.models import abandonment, conversion, profiles
@@ -15,7 +16,7 @@ from basketlake.operators.decisions import profile_label_rule
 from basketlake.operators.skew import heavy_keys
 from basketlake.session import configure, scratch_path
 from basketlake.sinks.lake import write_layer
-from basketlake.sources.clicks import read_clicks
+from basketlake.sources.clicks import as_clicks
 
 _LAKES: dict[tuple[str, str], "Lake"] = {}
 
@@ -27,15 +28,27 @@ class Lake:
         self.spark = spark
         self.sf_dir = sf_dir
         self.base = scratch_path(spark, "lake")
-        self._layers: set[str] = set()
+        self._schemas: dict[str, T.StructType] = {}
         self._models: dict[str, object] = {}
 
     def layer(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.base}/{name}"
-        if name not in self._layers:
-            write_layer(build(), path)
-            self._layers.add(name)
-        return self.spark.read.parquet(path)
+        if name not in self._schemas:
+            rows = build()
+            write_layer(rows, path)
+            self._schemas[name] = rows.schema
+        return self._read(name, path)
+
+    def table(self, name: str) -> DataFrame:
+        """A given table; its schema is looked up once."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = f"table {name}"
+        if key not in self._schemas:
+            self._schemas[key] = self.spark.read.parquet(path).schema
+        return self._read(key, path)
+
+    def _read(self, key: str, path: str) -> DataFrame:
+        return self.spark.read.schema(self._schemas[key]).parquet(path)
 
     def model(self, name: str, fit: Callable[[], object]):
         if name not in self._models:
@@ -45,7 +58,7 @@ class Lake:
     # Layers ------------------------------------------------------------------
 
     def clicks(self) -> DataFrame:
-        return read_clicks(self.spark, self.sf_dir)
+        return as_clicks(self.table("events"))
 
     def silver(self) -> DataFrame:
         return self.layer("silver", lambda: silver.to_silver(self.clicks()))

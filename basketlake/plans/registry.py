@@ -56,10 +56,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _table(lake_: Lake, name: str) -> DataFrame:
-    return lake_.spark.read.parquet(f"{lake_.sf_dir}/{name}.parquet")
-
-
 def _texts(rows, names: list[str]) -> str:
     """A rule table as a SQL VALUES list."""
     def literal(value) -> str:
@@ -322,7 +318,7 @@ SELECT p_partkey, coalesce(TRY_CAST(p_name AS DOUBLE), 0.0) AS p_name,
 FROM part""")
 def _(lk: Lake):
     """Text that is no number, text that is one, and numbers."""
-    rows = _table(lk, "part").select(
+    rows = lk.table("part").select(
         "p_partkey", "p_name", "p_size", F.split_part("p_brand", F.lit("#"), F.lit(2))
         .alias("p_brand"))
     return features.coerce_numeric(rows, ["p_name", "p_size", "p_brand"])
@@ -738,7 +734,7 @@ def _(lk: Lake):
 
 def _click_stream(lk: Lake) -> DataFrame:
     raw = (
-        lk.spark.readStream.schema(_table(lk, "events").schema)
+        lk.spark.readStream.schema(lk.table("events").schema)
         .option("pathGlobFilter", "events.parquet").parquet(lk.sf_dir)
     )
     return event_stream_to_silver(as_clicks(raw))
@@ -771,8 +767,8 @@ def _as_prices(lineitem: DataFrame) -> DataFrame:
 
 
 def _raw_orders(lk: Lake) -> DataFrame:
-    joined = _table(lk, "orders").join(
-        _table(lk, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = lk.table("orders").join(
+        lk.table("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     return joined.select(
         F.concat_ws("-", F.col("o_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
         .alias("order_id"),
@@ -792,7 +788,7 @@ FROM raw_prices WHERE price > 0"""
 
 @query("clean_prices", _PRICES_SQL)
 def _(lk: Lake):
-    return trades.clean_prices(_as_prices(_table(lk, "lineitem")))
+    return trades.clean_prices(_as_prices(lk.table("lineitem")))
 
 
 @query("clean_orders", """
@@ -806,7 +802,7 @@ def _(lk: Lake):
 @query("type_raw_prices",
        "SELECT ticker, round(price, 6) AS price, volume, event_time FROM raw_prices")
 def _(lk: Lake):
-    texts = _as_prices(_table(lk, "lineitem")).select(
+    texts = _as_prices(lk.table("lineitem")).select(
         *[F.col(c).cast("string").alias(c) for c in ("ticker", "price", "volume", "event_time")])
     return trades.type_raw_prices(texts).drop("processed_at")
 
@@ -822,14 +818,14 @@ def _(lk: Lake):
 SELECT ticker, round(avg(price), 4) AS avg_price, CAST(sum(volume) AS BIGINT) AS total_volume
 FROM raw_prices GROUP BY ticker""")
 def _(lk: Lake):
-    ticks = trades.type_ticks(_as_prices(_table(lk, "lineitem")))
+    ticks = trades.type_ticks(_as_prices(lk.table("lineitem")))
     return trades.ticker_summary(ticks).withColumn("avg_price", F.round("avg_price", 4))
 
 
 def _price_messages(lk: Lake, spoil: bool) -> DataFrame:
     """Prices as JSON text; every message of return flag R is cut short if ``spoil``."""
     raw = (
-        lk.spark.readStream.schema(_table(lk, "lineitem").schema)
+        lk.spark.readStream.schema(lk.table("lineitem").schema)
         .option("pathGlobFilter", "lineitem.parquet").parquet(lk.sf_dir)
     )
     text = F.to_json(F.struct("ticker", "price", "volume", "event_time"))

@@ -1,8 +1,9 @@
 """Follow-ups after a first cart: reminder after 5 minutes, offer after 1 hour.
 
 State is kept per session and user.  What is older than the watermark is folded
-into a fixed-size record, so per session only events within the allowed lateness
-(and of the running micro-batch) are held one by one.  The batch forms in
+into a fixed-size record; once the watermark has passed the first cart every event
+is counted as it comes.  Only until then are a session's events within the allowed
+lateness held one by one.  The batch forms in
 :mod:`basketlake.operators.followups` give the same rows.
 """
 
@@ -119,6 +120,12 @@ class CartFollowUps(StatefulProcessor):
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         record = self._load()
         before = record["cart"]
+        if before is not None and before <= watermark:
+            # No earlier cart can arrive: rows are counted one by one, none is held.
+            for row in rows:
+                self._fold(record, (row.at, row.event_type, row.price))
+            self._save(record)
+            return iter([])
         waiting = self._pending()
         for row in rows:
             waiting.append((row.at, row.event_type, row.price))
