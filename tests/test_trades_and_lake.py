@@ -13,6 +13,8 @@ from basketlake.sinks import lake as sink
 from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_landed
+from basketlake.streaming.run import drain
+from basketlake.streaming.silver import event_stream_to_silver
 from basketlake.streaming.trades import start_trade_stream
 from conftest import rows_of
 
@@ -92,6 +94,21 @@ def test_medallion_jobs(spark, lk, tmp_path):
     jobs.publish_kpis(spark, f"{base}/gold", f"{base}/kpis")
     kpis.register_gold(spark, {"gold_sessions": f"{base}/gold/session_features"})
     assert kpis.run_sql(spark, "SELECT count(*) FROM gold_sessions").first()[0] == 165
+    kpis.register_gold(spark, {"gold_funnel": f"{base}/gold/funnel"}, tables=True)
+    assert kpis.run_sql(spark, "SELECT sum(count) FROM gold_funnel").first()[0] == 600
+    spark.sql("DROP TABLE gold_funnel")
+    stream = event_stream_to_silver(
+        streams.read_event_stream(spark, "csv", f"{base}/upload", header="true"))
+    assert drain(stream, "from-csv").count() == 600
+
+
+def test_event_messages(spark, lk, tmp_path):
+    base = str(tmp_path)
+    landed = as_landed(lk.clicks())
+    landed.select(F.to_json(F.struct(*landed.columns))).write.text(f"{base}/in")
+    stream = event_stream_to_silver(streams.read_event_stream(spark, "text", f"{base}/in"))
+    got = drain(stream, "from-messages")
+    assert rows_of(got, *schemas.EVENT_COLUMNS) == rows_of(lk.silver(), *schemas.EVENT_COLUMNS)
 
 
 def test_trade_stream_and_quarantine(spark, tmp_path):
