@@ -76,7 +76,7 @@ def profile_mapping(centroids: DataFrame) -> DataFrame:
     discount hunter.  Cluster numbers differ between fits, so names follow the
     centres.
     """
-    views = F.col("num_views_before_cart")
+    views = F.round("num_views_before_cart", 6)  # centres carry rounding noise
     edges = centroids.agg(
         F.max_by("cluster", F.struct(views, "cluster")).alias("_most"),
         F.min_by("cluster", F.struct(views, "cluster")).alias("_least"),

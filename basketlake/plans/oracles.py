@@ -61,7 +61,7 @@ FROM timed GROUP BY user_session, user_id
 PARTS["session_features"] = """
 SELECT *, CAST(floor(epoch(session_end)) AS BIGINT) - CAST(floor(epoch(session_start)) AS BIGINT)
          AS session_duration_sec,
-       hour(first_cart_time) AS hour_of_day,
+       CAST(hour(first_cart_time) AS DOUBLE) AS hour_of_day,
        CASE WHEN hour(first_cart_time) >= 22 OR hour(first_cart_time) < 6 THEN 1 ELSE 0 END
          AS is_night,
        num_views_before_cart / num_cart_items AS view_to_cart_ratio,
@@ -97,7 +97,7 @@ PARTS["ml_features"] = """
 SELECT p.*,
        CAST(floor(epoch(p.first_cart_time)) AS BIGINT)
          - CAST(floor(epoch(p.first_event_time)) AS BIGINT) AS time_to_first_cart_sec,
-       hour(p.first_cart_time) AS hour_of_day,
+       CAST(hour(p.first_cart_time) AS DOUBLE) AS hour_of_day,
        CASE WHEN hour(p.first_cart_time) >= 22 OR hour(p.first_cart_time) < 6 THEN 1 ELSE 0 END
          AS is_night,
        p.num_views_before_cart / p.num_cart_items_at_first_cart AS view_to_cart_ratio,
@@ -208,7 +208,8 @@ SELECT t.user_session, t.user_id, num_cart_items, total_cart_value, max_item_pri
        num_views_before_cart / greatest(num_cart_items, 1) AS view_to_cart_ratio,
        greatest((epoch_us(last_cart_time) - epoch_us(first_event_time)) / 1e6, 0.0)
          AS session_duration_sec,
-       hour(last_cart_time) AS hour_of_day, isodow(last_cart_time) - 1 AS day_of_week,
+       CAST(hour(last_cart_time) AS DOUBLE) AS hour_of_day,
+       CAST(isodow(last_cart_time) - 1 AS INTEGER) AS day_of_week,
        CASE WHEN isodow(last_cart_time) >= 6 THEN 1 ELSE 0 END AS is_weekend,
        CASE WHEN hour(last_cart_time) >= 22 OR hour(last_cart_time) < 6 THEN 1 ELSE 0 END
          AS is_night,
@@ -234,7 +235,7 @@ SELECT session_id, user_id, converted, is_abandoned, num_views_before_cart, is_n
        cart_value_at_first_cart / (cart_value_at_first_cart + 100.0) AS probability_1,
        CASE WHEN cart_value_at_first_cart / (cart_value_at_first_cart + 100.0) >= 0.5
             THEN 1 ELSE 0 END AS prediction,
-       hour_of_day % 3 AS cluster
+       CAST(hour_of_day % 3 AS INTEGER) AS cluster
 FROM ml_features
 """
 
@@ -274,7 +275,7 @@ SELECT user_session, user_id, min(first_cart_time) AS first_cart_time,
          AS num_views_before_cart,
        CAST(floor(epoch(max(event_time))) AS BIGINT)
          - CAST(floor(epoch(min(event_time))) AS BIGINT) AS session_duration_sec,
-       hour(min(first_cart_time)) AS hour_of_day
+       CAST(hour(min(first_cart_time)) AS DOUBLE) AS hour_of_day
 FROM timed
 WHERE first_cart_time IS NOT NULL AND event_time <= first_cart_time + INTERVAL 1 HOUR
 GROUP BY user_session, user_id

@@ -34,12 +34,18 @@ ORACLES: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Comparable output: instants as epoch microseconds, doubles to six digits."""
+    """Output that compares alike in every engine.
+
+    Instants become text, doubles have six digits, and the hour, which is missing
+    where a session has no id, is a double as well.
+    """
     columns = []
     for field in df.schema.fields:
         column = F.col(field.name)
         if isinstance(field.dataType, T.TimestampType):
-            column = F.unix_micros(column)
+            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif field.name == "hour_of_day":
+            column = F.round(column.cast("double"), 6)
         elif isinstance(field.dataType, T.DoubleType):
             column = F.round(column, 6)
         columns.append(column.alias(field.name))
@@ -69,7 +75,7 @@ def _texts(rows, names: list[str]) -> str:
 
 # --- Bronze and Silver -----------------------------------------------------------
 
-_SILVER_SQL = "SELECT * REPLACE (epoch_us(event_time) AS event_time) FROM silver"
+_SILVER_SQL = "SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time) FROM silver"
 
 
 @query("silver_events", _SILVER_SQL)
@@ -79,7 +85,7 @@ def _(lk: Lake):
 
 
 @query("normalise_events",
-       "SELECT * REPLACE (epoch_us(event_time) AS event_time) FROM clicks")
+       "SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time) FROM clicks")
 def _(lk: Lake):
     return silver.normalise_events(as_landed(lk.clicks()))
 
@@ -92,7 +98,7 @@ def _(lk: Lake):
 
 
 @query("curated_events", """
-SELECT * REPLACE (epoch_us(event_time) AS event_time,
+SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
                   CAST(CAST(price AS DECIMAL(12,2)) AS DOUBLE) AS price),
        'ecommerce' AS source
 FROM silver""")
@@ -102,8 +108,9 @@ def _(lk: Lake):
 
 
 @query("bronze_to_silver_job", """
-SELECT * REPLACE (epoch_us(event_time) AS event_time), year(event_time) AS year,
-       month(event_time) AS month FROM silver""")
+SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time),
+       CAST(year(event_time) AS INTEGER) AS year, CAST(month(event_time) AS INTEGER) AS month
+FROM silver""")
 def _(lk: Lake):
     """Landed CSV, month partitions, audit: the whole job through storage."""
     base = scratch_path(lk.spark, "medallion")
@@ -143,21 +150,21 @@ def _(lk: Lake):
 # --- Gold ------------------------------------------------------------------------
 
 @query("first_cart", """
-SELECT user_session, user_id, epoch_us(first_cart_time) AS first_cart_time FROM first_cart""")
+SELECT user_session, user_id, strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time FROM first_cart""")
 def _(lk: Lake):
     return sessions.first_cart(lk.silver())
 
 
 @query("with_first_cart", """
-SELECT * REPLACE (epoch_us(event_time) AS event_time,
-                  epoch_us(first_cart_time) AS first_cart_time) FROM timed""")
+SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
+                  strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time) FROM timed""")
 def _(lk: Lake):
     return sessions.with_first_cart(lk.silver(), lk.heavy_sessions())
 
 
 _SESSION_SQL = """
-SELECT * REPLACE (epoch_us(session_start) AS session_start, epoch_us(session_end) AS session_end,
-                  epoch_us(first_cart_time) AS first_cart_time,
+SELECT * REPLACE (strftime(session_start, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(session_end, '%Y-%m-%d %H:%M:%S.%f') AS session_end,
+                  strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time,
                   round(total_cart_value, 6) AS total_cart_value,
                   round(view_to_cart_ratio, 6) AS view_to_cart_ratio)
 FROM session_features"""
@@ -170,8 +177,8 @@ def _(lk: Lake):
 
 @query("pre_cart_events", """
 SELECT * EXCLUDE (viewed, at_cart)
-         REPLACE (epoch_us(event_time) AS event_time,
-                  epoch_us(first_cart_time) AS first_cart_time) FROM pre_cart""")
+         REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time,
+                  strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time) FROM pre_cart""")
 def _(lk: Lake):
     return sessions.pre_cart_events(sessions.with_first_cart(lk.silver(), lk.heavy_sessions()))
 
@@ -182,8 +189,8 @@ _ML_ROUNDED = ", ".join(
         "avg_cart_item_price", "max_cart_item_price", "view_to_cart_ratio",
         "viewed_price_range"))
 _ML_SQL = f"""
-SELECT * REPLACE (epoch_us(first_event_time) AS first_event_time,
-                  epoch_us(first_cart_time) AS first_cart_time, {_ML_ROUNDED})
+SELECT * REPLACE (strftime(first_event_time, '%Y-%m-%d %H:%M:%S.%f') AS first_event_time,
+                  strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time, {_ML_ROUNDED})
 FROM ml_features"""
 
 
@@ -200,7 +207,7 @@ def _(lk: Lake):
 
 
 @query("cart_session_events", """
-SELECT * REPLACE (epoch_us(event_time) AS event_time) FROM silver
+SELECT * REPLACE (strftime(event_time, '%Y-%m-%d %H:%M:%S.%f') AS event_time) FROM silver
 WHERE user_session IN (SELECT user_session FROM silver
                        WHERE event_type = 'cart' AND user_session IS NOT NULL)""")
 def _(lk: Lake):
@@ -271,8 +278,8 @@ def _(lk: Lake):
 # --- Training rows -----------------------------------------------------------------
 
 @query("admissible_ml_rows", f"""
-SELECT session_id, user_id, epoch_us(first_event_time) AS first_event_time,
-       epoch_us(first_cart_time) AS first_cart_time, converted, is_abandoned,
+SELECT session_id, user_id, strftime(first_event_time, '%Y-%m-%d %H:%M:%S.%f') AS first_event_time,
+       strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time, converted, is_abandoned,
        {', '.join(f'round({c}, 6) AS {c}' if c in (
            'avg_viewed_price', 'viewed_price_range', 'cart_value_at_first_cart',
            'view_to_cart_ratio') else c for c in schemas.BASE_FEATURES)}
@@ -285,7 +292,7 @@ def _(lk: Lake):
 SELECT session_id, user_id, user_prior_sessions, user_prior_conversions,
        user_prior_abandonments, round(user_prior_conversion_rate, 6) AS user_prior_conversion_rate,
        round(user_prior_abandon_rate, 6) AS user_prior_abandon_rate,
-       epoch_us(user_first_prior_cart_time) AS user_first_prior_cart_time,
+       strftime(user_first_prior_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS user_first_prior_cart_time,
        round(user_lifetime_hours, 6) AS user_lifetime_hours
 FROM history_features""")
 def _(lk: Lake):
@@ -412,9 +419,12 @@ def _(lk: Lake):
 
 
 @query("labelled_sessions", """
-SELECT session_id, user_id, round(total_cart_value, 6) AS total_cart_value, num_cart_items,
-       num_views_before_cart, session_duration_sec, hour_of_day, is_night, user_profile,
-       is_abandoned
+SELECT session_id, CAST(user_id AS INTEGER) AS user_id,
+       round(total_cart_value, 6) AS total_cart_value,
+       CAST(num_cart_items AS INTEGER) AS num_cart_items,
+       CAST(num_views_before_cart AS INTEGER) AS num_views_before_cart,
+       CAST(session_duration_sec AS INTEGER) AS session_duration_sec, hour_of_day, is_night,
+       user_profile, is_abandoned
 FROM labelled""")
 def _(lk: Lake):
     """The labelled table as header CSV, read back with its schema."""
@@ -532,7 +542,7 @@ def _(lk: Lake):
 
 
 @query("cluster_summary", f"""
-SELECT hour_of_day % 3 AS cluster,
+SELECT CAST(hour_of_day % 3 AS INTEGER) AS cluster,
        {', '.join(f'round(avg({c}), 2) AS {c}' for c in schemas.PROFILE_FEATURES)}
 FROM ml_features GROUP BY ALL""")
 def _(lk: Lake):
@@ -635,7 +645,8 @@ JOIN (SELECT * FROM {_texts(rules.PROFILE_TEXTS, ['p', 'profile_name_pt',
 
 
 @query("prescribe_by_profile", f"""
-SELECT s.session_id, s.user_id, s.predicted_profile, s.total_cart_value, c.assigned_coupon,
+SELECT s.session_id, CAST(s.user_id AS INTEGER) AS user_id, s.predicted_profile,
+       s.total_cart_value, c.assigned_coupon,
        c.coupon_label, t.profile_name_pt, t.action_rationale
 FROM (SELECT *, {_REACHES.format(p='predicted_profile')} AS reaches
       FROM (SELECT session_id, user_id, round(total_cart_value * 5, 6) AS total_cart_value,
@@ -677,8 +688,8 @@ def _clock(lk: Lake):
 
 def _unconverted_sql(delay: str) -> str:
     return f"""
-SELECT user_session, user_id, epoch_us(first_cart_time) AS first_cart_time,
-       epoch_us(first_cart_time + {delay}) AS deadline
+SELECT user_session, user_id, strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time,
+       strftime(first_cart_time + {delay}, '%Y-%m-%d %H:%M:%S.%f') AS deadline
 FROM bought_since WHERE bought IS NULL OR bought > first_cart_time + {delay}"""
 
 
@@ -697,11 +708,11 @@ def _(lk: Lake):
 _REMINDER_SQL = f"""
 SELECT u.*, {', '.join(f"'{text}' AS {name}" for name, text in rules.REMINDER.items())}
 FROM clock, ({_unconverted_sql("INTERVAL 5 MINUTE")}) u
-WHERE deadline <= epoch_us(as_of)"""
+WHERE deadline <= strftime(as_of, '%Y-%m-%d %H:%M:%S.%f')"""
 
 _OFFER_SQL = f"""
-SELECT user_session, user_id, epoch_us(first_cart_time) AS first_cart_time,
-       epoch_us(deadline) AS deadline, round(total_cart_value, 6) AS total_cart_value,
+SELECT user_session, user_id, strftime(first_cart_time, '%Y-%m-%d %H:%M:%S.%f') AS first_cart_time,
+       strftime(deadline, '%Y-%m-%d %H:%M:%S.%f') AS deadline, round(total_cart_value, 6) AS total_cart_value,
        num_cart_items, num_views_before_cart, session_duration_sec, hour_of_day,
        round_even(num_views_before_cart / num_cart_items, 2) AS view_to_cart_ratio, is_night,
        predicted_profile AS ml_predicted_profile,

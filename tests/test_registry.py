@@ -36,8 +36,13 @@ def comparable(rows, names):
 
 
 @pytest.mark.parametrize("name", CHECKED)
-def test_twin(spark, duck, name):
+def test_twin(spark, duck, name, capsys):
     frame = entry_point.queries()[name](spark, SMALL)
+    capsys.readouterr()
+    frame.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "PythonUDF" not in plan and "MapInPandas" not in plan
     result = duck.execute(entry_point.oracle_sql()[name])
     names = [c[0] for c in result.description]
     assert sorted(frame.columns) == sorted(names)
