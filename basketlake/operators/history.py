@@ -14,20 +14,34 @@ from pyspark.sql import functions as F
 from basketlake.functions.columns import ratio, whole_seconds
 from basketlake.operators.skew import heavy_keys, key_hash
 
-SLICES = 256  # slices per heavy user; with at most 512 such users the tables stay small
-STRIDE = 16   # a slice is looked up among every 16th bound first
+SLICES = 1024  # most slices per heavy user
+STRIDE = 32    # a slice is looked up among every 32nd bound first
 
 
 def _slice_bounds(sessions: DataFrame, heavy: DataFrame) -> DataFrame:
-    """One row per heavy user: time quantiles that cut the user's sessions evenly."""
+    """One row per heavy user: time quantiles that cut the user's sessions evenly.
+
+    A user gets about as many slices as the heavy-key table asks splits for, so
+    all users together have only some thousand slices.
+    """
     shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    step = F.greatest(F.lit(1), (F.lit(SLICES) / F.col("splits")).cast("int"))
+
+    def every(column: str, distance: Column) -> Column:
+        return F.filter(column, lambda _, i: (i + 1) % distance == 0)
+
     return (
         sessions.select("user_id", F.unix_micros("first_cart_time").alias("at"))
         .withColumn("h", key_hash(["user_id"]))
         .join(F.broadcast(heavy), F.col("h") == F.col("heavy_hash"), "inner")
         .groupBy("user_id")
-        .agg(F.percentile_approx("at", shares, 20000).alias("bounds"))
-        .withColumn("edges", F.filter("bounds", lambda _, i: (i + 1) % STRIDE == 0))
+        .agg(
+            F.percentile_approx("at", shares, 10000).alias("quantiles"),
+            F.max("splits").alias("splits"),
+        )
+        .withColumn("step", step)
+        .withColumn("bounds", every("quantiles", F.col("step")))
+        .select("user_id", "bounds", every("bounds", F.lit(STRIDE)).alias("edges"))
     )
 
 

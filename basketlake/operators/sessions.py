@@ -287,5 +287,5 @@ def funnel(events: DataFrame) -> DataFrame:
 
 
 def session_heavy_keys(events: DataFrame) -> DataFrame:
-    """Sessions to cut over several tasks; at most 512 rows, worth storing beside Silver."""
+    """Sessions to cut over several tasks; at most 4096 rows, worth storing beside Silver."""
     return heavy_keys(events, SESSION_KEYS)

@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HEAVY = 512          # a key below 1/512 of the rows is never heavy
-SKETCH_ITEMS = 16384     # counters kept by the sketch, error well below 1/512
-PARTS = 4096             # a heavy key is cut so that no part exceeds ~1/4096 of the rows
+MAX_HEAVY = 4096         # a key below 1/4096 of the rows is never heavy
+SKETCH_ITEMS = 65536     # counters kept by a sketch, error well below 1/4096
+MERGE_GROUPS = 1024      # sketches of the scan tasks are merged in two rounds
+PARTS = 8192             # a heavy key is cut so that no part exceeds ~1/8192 of the rows
 MIN_HEAVY_ROWS = 200_000  # below this a key fits one task anyway
 
 
@@ -24,10 +25,21 @@ def key_hash(keys: list[str]) -> Column:
 
 def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -> DataFrame:
     """Rows (heavy_hash, splits), at most ``MAX_HEAVY`` of them."""
-    found = df.select(key_hash(keys).alias("h")).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.expr(f"approx_top_k(h, {MAX_HEAVY}, {SKETCH_ITEMS})").alias("top"),
+    partial = (
+        df.select(
+            key_hash(keys).alias("h"),
+            F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("g"),
+        )
+        .groupBy("g")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.expr(f"approx_top_k_accumulate(h, {SKETCH_ITEMS})").alias("sketch"),
+        )
     )
+    found = partial.agg(
+        F.sum("n").alias("total"),
+        F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
+    ).select("total", F.expr(f"approx_top_k_estimate(sketch, {MAX_HEAVY})").alias("top"))
     item = F.col("item")
     return (
         found.select("total", F.explode("top").alias("item"))

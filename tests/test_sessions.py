@@ -102,7 +102,7 @@ def test_cutting_heavy_sessions_changes_nothing(lk):
     silver = lk.silver()
     heavy = heavy_keys(silver, schemas.SESSION_KEYS, min_rows=2)
     by_id = heavy_keys(silver, ["user_session"], min_rows=2)
-    assert 0 < heavy.count() <= 512
+    assert 0 < heavy.count() <= 4096
     assert heavy.agg(F.max("splits")).first()[0] > 1
     for build in (S.session_features, S.ml_features, S.with_first_cart):
         assert rows_of(build(silver, heavy)) == rows_of(build(silver))

@@ -58,6 +58,18 @@ def test_heavy_user_is_cut_into_even_slices(sessions):
     sliced = history._sliced(frame, heavy).filter("user_id = 7")
     largest = sliced.groupBy("_slice").count().agg(F.max("count")).first()[0]
     assert largest <= 10
+    few = heavy.withColumn("splits", F.lit(8))
+    sizes = [r["count"] for r in history._sliced(frame, few).filter("user_id = 7")
+             .groupBy("_slice").count().collect()]
+    assert 7 <= len(sizes) <= 9 and max(sizes) <= 40
+
+
+@pytest.mark.parametrize("splits", [2, 8, 300])
+def test_history_does_not_depend_on_the_number_of_slices(sessions, splits):
+    frame, _ = sessions
+    heavy = heavy_keys(frame, ["user_id"], min_rows=3).withColumn("splits", F.lit(splits))
+    assert heavy.count() > 1
+    assert rows_of(history.with_history(frame, heavy)) == rows_of(history.with_history(frame))
 
 
 def test_admissible_and_clean(spark, lk):
