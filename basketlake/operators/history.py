@@ -24,7 +24,7 @@ def _slice_bounds(sessions: DataFrame, heavy: DataFrame) -> DataFrame:
     A user gets about as many slices as the heavy-key table asks splits for, so
     all users together have only some thousand slices.
     """
-    shares = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    shares = F.expr("array(" + ", ".join(f"{i / SLICES}D" for i in range(1, SLICES)) + ")")
     step = F.greatest(F.lit(1), (F.lit(SLICES) / F.col("splits")).cast("int"))
 
     def every(column: str, distance: Column) -> Column:
