@@ -7,11 +7,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry_point
+from basketlake.plans.registry import ORACLES, QUERIES
 from conftest import SMALL
 
-FITTED = {name for name in entry_point.queries() if name not in entry_point.oracle_sql()}
-STREAMED = {name for name in entry_point.queries() if name.startswith("stream_")}
-CHECKED = sorted(set(entry_point.oracle_sql()) - STREAMED)
+FITTED = set(QUERIES) - set(ORACLES)
+STREAMED = {name for name in QUERIES if name.startswith("stream_")}
+CHECKED = sorted(set(ORACLES) - STREAMED)
 
 
 @pytest.fixture(scope="module")
