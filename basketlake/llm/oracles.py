@@ -27,6 +27,42 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id =
 FROM sets JOIN least ON a = doc_id"""
 
 
+def decontamination_sql(docs: str) -> str:
+    """Rows of the contamination digest for ``docs(doc_id, text)``."""
+    words = rf"coalesce(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+    return rf"""
+WITH d AS (SELECT doc_id, {words} AS w FROM {docs}
+), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark
+), bw AS (SELECT item, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p, w FROM b WHERE len(w) > 0
+), bench AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM bw
+), sizes AS (SELECT DISTINCT k FROM bench
+), dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS p, w FROM d, sizes WHERE len(w) >= k
+), dg AS (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM dw
+), hits AS (SELECT doc_id, p, k, item FROM dg JOIN bench USING (k, g)
+), words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (
+    SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, p, k FROM hits)) GROUP BY doc_id
+), items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+_WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS h FROM p
+), m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d
+), b AS (SELECT *, [CAST('0x' || h[5 * i + 1:5 * i + 5] AS BIGINT) FOR i IN range(8)] AS v FROM m)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v[i // 4 + 1] // [32768, 1024, 32, 1][i % 4 + 1]) % 32 + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b"""
+
+
 SQL = {
+    "op4_decontamination": decontamination_sql("documents"),
+    "op10_warc": _WARC,
     "op6_near_duplicates": near_duplicate_sql("documents", 85),
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlake.llm import oracles
+from basketlake.llm.decontam import contamination_digest
 from basketlake.llm.neardup import near_duplicates
+from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
 
 
@@ -14,11 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
+    "op10_warc": op10_warc,
 }
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
