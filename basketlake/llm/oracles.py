@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from basketlake.llm import licenses, mixing
+
 #: Lower-cases A-Z alone.
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,7 +63,72 @@ SELECT page_id, n AS payload_bytes,
 FROM b"""
 
 
+def mixing_sql(docs: str, seed: int = 17) -> str:
+    """Rows of the mix for ``docs(doc_id, text, source)``."""
+    weights = str(mixing.SOURCE_WEIGHTS)
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, text, CAST(len(coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])) AS BIGINT) AS size,
+    (CAST('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM {docs}
+), keyed AS (
+  SELECT *, -ln(u) / CASE WHEN size > 0 AND length(text) / size BETWEEN 3.0::DOUBLE AND 12.0::DOUBLE THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key FROM sized
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM keyed GROUP BY source
+), weighed AS (SELECT *, 2 * source_size AS cap, {weights}[place % {len(mixing.SOURCE_WEIGHTS)} + 1] AS w FROM sources
+), filled AS (
+  SELECT *, sum(cap) OVER o - cap AS caps, sum(w) OVER o - w AS passed, cap / w AS ratio FROM weighed
+  WINDOW o AS (ORDER BY cap / w, place)
+), levels AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)::DOUBLE - caps::DOUBLE) / ((SELECT sum(w) FROM weighed) - passed)::DOUBLE AS level FROM filled
+), chosen AS (SELECT level FROM levels WHERE level * w < cap ORDER BY ratio, place LIMIT 1
+), targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT level FROM chosen) * w, cap::DOUBLE)) AS target FROM filled
+), summed AS (
+  SELECT k.*, t.source_size, t.target, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source
+), epoched AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM summed)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, floor(target - epochs * source_size) - before)) AS BIGINT) AS taken
+FROM epoched"""
+
+
+def license_sql(docs: str) -> str:
+    """Rows of the license scan for ``docs(doc_id, text)``."""
+    def places(phrase):
+        parts = phrase.split()
+        test = " AND ".join(f"w[i + {j}] = '{p}'" for j, p in enumerate(parts))
+        return f"[i FOR i IN range(1, len(w) + 1) IF {test}]"
+
+    sets = licenses.template_sets()
+    quoted = ["[" + ", ".join(f"'{x}'" for x in words) + "]" for _, words, _ in sets]
+    rows = ", ".join(f"('{label}', {q}, {least})" for (label, _, least), q in zip(sets, quoted))
+    base = ", ".join(f"{places(p)} AS p{i}" for i, p in enumerate(licenses.PHRASES.values()))
+    labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(licenses.PHRASES))
+    every = " || ".join(f"p{i}" for i in range(len(licenses.PHRASES)))
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    return rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce({_LOW}, '') AS low, coalesce(regexp_extract_all({_LOW}, {word}), []) AS w FROM {docs}
+), base AS (SELECT rid, doc_id, len(w) AS n_words, {base} FROM worded
+), templates(label, words, least) AS (VALUES {rows}
+), lines AS (SELECT rid, list_distinct(regexp_extract_all(unnest(string_split(low, chr(10))), {word})) AS b FROM worded
+), met AS (
+  SELECT rid, label, len(list_intersect(b, words)) AS shared, len(words) AS n, least FROM lines, templates
+), found AS (
+  SELECT rid, list(DISTINCT label) AS more, max(shared / n) AS best FROM met WHERE shared >= least GROUP BY rid
+), joined AS (
+  SELECT *, {every} AS places, [x FOR x IN [{labels}] IF x IS NOT NULL] AS own FROM base LEFT JOIN found USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
+  CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(own), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(own || coalesce(more, []))), ',') AS labels,
+  CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM joined"""
+
+
 SQL = {
+    "op1_mixing": mixing_sql("documents"),
+    "op8_licenses": license_sql("documents"),
     "op4_decontamination": decontamination_sql("documents"),
     "op10_warc": _WARC,
     "op6_near_duplicates": near_duplicate_sql("documents", 85),

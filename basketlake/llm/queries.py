@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketlake.llm import oracles
 from basketlake.llm.decontam import contamination_digest
+from basketlake.llm.licenses import license_scan
+from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
 from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
@@ -16,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,13 +30,19 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_licenses": op8_licenses,
     "op10_warc": op10_warc,
 }
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
