@@ -5,11 +5,16 @@ when there are fewer). One hash of each shingle gives bin and value; empty bins
 borrow from a random filled one (optimal densification); five bins make a band.
 
 1. Documents with equal sets form a class; only one set per class goes on.
-2. In each band bucket the smallest class is the centre of a star: every other
-   class makes one edge with it, so a bucket of g classes makes g - 1 pairs.
-3. Star pairs are confirmed on full sets and joined to components. In a bucket whose
-   classes are still in different components, the pairs across components follow and
-   are confirmed too, so that no link hangs on the choice of the centre.
+2. Shingles that no other class of any bucket holds bound what a class can share:
+   with u of n of its own, at most n - u. Pairs that cannot reach the threshold by
+   this bound are never formed; no link is lost.
+3. In each band bucket the class with the smallest share of own shingles is the
+   centre of a star: every other class makes one edge with it, so a bucket of g
+   classes makes g - 1 pairs. Star pairs are confirmed on full sets and joined to
+   components.
+4. In a bucket whose classes are still in different components, the pairs across
+   components that pass the bound follow and are confirmed too, so that no link
+   hangs on the choice of the centre.
 
 A pair at the threshold is missed with probability (1 - t^5)^36: 7e-10 at 0.85,
 6e-7 at 0.8. Confirmed links are exact (64-bit shingle hashes).
@@ -22,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.llm import bytetext
@@ -103,7 +108,11 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return shingles.sum(dtype=np.uint64).tobytes() + second.sum(dtype=np.uint64).tobytes()
 
 
-SKETCH = "doc_id long, n_shingles long, cls binary, bands array<long>"
+def _tags(names: list) -> pa.Array:
+    return pa.array([None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in names], pa.int64())
+
+
+SKETCH = "doc_id long, n_shingles long, cls binary, tag long, bands array<long>"
 
 
 def _sketches(batches):
@@ -126,9 +135,9 @@ def _sketches(batches):
         flush()
         found = iter(bands)
         yield pa.RecordBatch.from_arrays([
-            ids, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()),
+            ids, pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), _tags(names),
             pa.array([next(found) if n else None for n in sizes], pa.list_(pa.int64())),
-        ], names=["doc_id", "n_shingles", "cls", "bands"])
+        ], names=["doc_id", "n_shingles", "cls", "tag", "bands"])
 
 
 def _full_sets(batches):
@@ -138,7 +147,16 @@ def _full_sets(batches):
             names.append(set_digest(s))
             sets.append(s.tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
+            [pa.array(names, pa.binary()), _tags(names), pa.array(sets, pa.binary())], names=["cls", "tag", "shingles"])
+
+
+def _exploded(batches):
+    for batch in batches:
+        for first in range(0, len(batch), 256):
+            part = batch.slice(first, 256)
+            held = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            tags = np.repeat(part.column(0).to_numpy(), [len(x) for x in held])
+            yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.concatenate(held))], names=["tag", "shingle"])
 
 
 def _confirmed(percent: int):
@@ -176,43 +194,58 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stored(docs.mapInArrow(_sketches, SKETCH), "sketches")
     linked = sketch.where("cls is not null and doc_id is not null")
-    classes = linked.groupBy("cls").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = stored(classes.select("cls", "rep", "n", F.explode("bands").alias("key")), "bands")
-    buckets = stored(rows.groupBy("key").agg(F.min("cls").alias("centre"), F.max("cls").alias("other"))
-                     .where("centre < other").select("key", "centre"), "buckets")
-    members = stored(rows.join(buckets, "key"), "members")
-
-    centre = members.where("cls = centre").select("key", F.col("n").alias("nc"))
-    fits = F.least("n", "nc") * 100 >= F.greatest("n", "nc") * percent
-    star = stored(members.where("cls <> centre").join(centre, "key").where(fits)
-                  .select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    wanted = members.select("rep").distinct()
-    held = members.select("cls").distinct()
+    classes = stored(linked.groupBy("cls").agg(
+        F.min("doc_id").alias("rep"), F.first("tag").alias("tag"), F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands")), "classes")
+
+    # buckets of several classes; one long names a class until its row is fetched
+    flat = classes.select("tag", F.explode("bands").alias("key"))
+    several = stored(flat.groupBy("key").count().where("count > 1").select("key"), "buckets")
+    members = stored(flat.join(several, "key"), "members")
+    met = stored(classes.join(members.select("tag").distinct(), "tag", "left_semi").select("cls", "tag", "rep", "n"), "met")
+    wanted = met.select("rep").distinct()
     sets = stored(docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").select("text")
-                  .mapInArrow(_full_sets, "cls binary, shingles binary")
-                  .join(held, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+                  .mapInArrow(_full_sets, "cls binary, tag long, shingles binary")
+                  .join(met.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+
+    # u: shingles that no other class in a bucket holds; they can be in no intersection
+    alone = (sets.select("tag", "shingles").mapInArrow(_exploded, "tag long, shingle long")
+             .groupBy("shingle").agg(F.count("*").alias("c"), F.min("tag").alias("tag")).where("c = 1")
+             .groupBy("tag").agg(F.count("*").alias("u")))
+    able = stored(met.join(alone, "tag", "left").select("cls", "tag", "n", F.coalesce("u", F.lit(0)).alias("u"))
+                  .where((F.col("n") - F.col("u")) * 100 >= F.col("n") * percent), "able")
+    members = stored(members.join(able, "tag").select("key", "cls", "n", "u"), "members")
+
+    def can_link(n1: Column, u1: Column, n2: Column, u2: Column) -> Column:
+        most = F.least(n1 - u1, n2 - u2)
+        return most * (100 + percent) >= (n1 + n2) * percent
+
+    centre = members.groupBy("key").agg(
+        F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "cls", "n", "u")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    star = stored(
+        members.join(centre.select("key", "m"), "key")
+        .where((F.col("cls") != F.col("m.cls")) & can_link(F.col("n"), F.col("u"), F.col("m.n"), F.col("m.u")))
+        .select(F.least("m.cls", "cls").alias("a"), F.greatest("m.cls", "cls").alias("b")).distinct(), "stars")
     links = stored(_verified(star, sets, percent), "links")
     roots = components(links)
 
+    # buckets still in several components: the pairs across components that can link
     spread = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    open_keys = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = stored(spread.join(open_keys, "key"), "open")
+        "key", "cls", "n", "u", F.coalesce("root", "cls").alias("root"))
+    unmet = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = stored(spread.join(unmet, "key"), "open")
     l, r = left.alias("l"), left.alias("r")
     across = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls"))
                     & (F.col("l.root") != F.col("r.root"))
-                    & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent))
+                    & can_link(F.col("l.n"), F.col("l.u"), F.col("r.n"), F.col("r.u")))
     rest = (across.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
             .join(star, ["a", "b"], "left_anti"))
     more = stored(_verified(rest, sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    least = (linked.groupBy("cls").agg(F.min("doc_id").alias("rep"))
-             .join(roots.withColumnRenamed("node", "cls"), "cls", "left")
-             .select("cls", "rep", F.coalesce("root", "cls").alias("root")))
-    least = stored(least, "classes")
+    least = stored(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+                   .select("cls", "rep", F.coalesce("root", "cls").alias("root")), "roots")
     head = least.groupBy("root").agg(F.min("rep").alias("component"))
     named = least.join(head, "root").select("cls", "component")
     out = sketch.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
