@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+MAX_ROWS = 1 << 16
 
 _RATIO = 0x9E3779B97F4A7C13
 _INVERSE = pow(_RATIO, -1, 1 << 64)
@@ -81,7 +82,7 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     row = 0
     while row < n:
         end = int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1
-        end = min(n, max(end, row + 1))
+        end = min(n, row + MAX_ROWS, max(end, row + 1))
         yield row, data[offsets[row]: offsets[end]], offsets[row: end + 1] - offsets[row]
         row = end
 

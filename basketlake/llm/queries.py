@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from basketlake.llm import oracles
 from basketlake.llm.decontam import contamination_digest
+from basketlake.llm.langid import identify
 from basketlake.llm.licenses import license_scan
 from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
@@ -22,6 +23,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_licenses": op8_licenses,
