@@ -10,6 +10,7 @@ from basketlake.llm.langid import identify
 from basketlake.llm.licenses import license_scan
 from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
+from basketlake.llm.toxicity import toxicity
 from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
 
@@ -39,6 +40,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_licenses": op8_licenses,
+    "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
 }
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
