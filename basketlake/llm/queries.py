@@ -10,6 +10,7 @@ from basketlake.llm.langid import identify
 from basketlake.llm.licenses import license_scan
 from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
+from basketlake.llm.quality import quality
 from basketlake.llm.toxicity import toxicity
 from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
@@ -36,6 +37,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
