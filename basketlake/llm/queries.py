@@ -11,6 +11,7 @@ from basketlake.llm.licenses import license_scan
 from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
 from basketlake.llm.quality import quality
+from basketlake.llm.secret_scan import secret_spans
 from basketlake.llm.toxicity import toxicity
 from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
@@ -33,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_quality": op7_quality,
     "op8_licenses": op8_licenses,
