@@ -12,9 +12,10 @@ borrow from a random filled one (optimal densification); five bins make a band.
    centre of a star: every other class makes one edge with it, so a bucket of g
    classes makes g - 1 pairs. Star pairs are confirmed on full sets and joined to
    components.
-4. In a bucket whose classes are still in different components, the pairs across
-   components that pass the bound follow and are confirmed too, so that no link
-   hangs on the choice of the centre.
+4. In a bucket whose classes are still in different components, what is left across
+   components is confirmed too, so that no link hangs on the choice of the centre:
+   as pairs that pass the bound in a small bucket, and in a large one by exact
+   intersection counts of tile against tile, which return nothing but links.
 
 A pair at the threshold is missed with probability (1 - t^5)^36: 7e-10 at 0.85,
 6e-7 at 0.8. Confirmed links are exact (64-bit shingle hashes).
@@ -36,6 +37,8 @@ from basketlake.llm.common import components, stored
 SHINGLE = 5
 BANDS, ROWS = 36, 5
 BINS = BANDS * ROWS
+SMALL = 64  #: open buckets up to this size form their pairs as rows, larger ones in tiles
+TILE = 256  #: classes of a tile; one task holds the sets of two tiles
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,6 +111,13 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return shingles.sum(dtype=np.uint64).tobytes() + second.sum(dtype=np.uint64).tobytes()
 
 
+def _parts(batches, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that what a worker builds stays small."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def _tags(names: list) -> pa.Array:
     return pa.array([None if n is None else int.from_bytes(n[:8], "little", signed=True) for n in names], pa.int64())
 
@@ -116,7 +126,7 @@ SKETCH = "doc_id long, n_shingles long, cls binary, tag long, bands array<long>"
 
 
 def _sketches(batches):
-    for batch in batches:
+    for batch in _parts(batches):
         ids, text = batch.column(0), batch.column(1)
         held, sizes, names, bands = [], [], [], []
 
@@ -141,7 +151,7 @@ def _sketches(batches):
 
 
 def _full_sets(batches):
-    for batch in batches:
+    for batch in _parts(batches):
         names, sets = [], []
         for s in shingle_sets(batch.column(0)):
             names.append(set_digest(s))
@@ -151,17 +161,15 @@ def _full_sets(batches):
 
 
 def _exploded(batches):
-    for batch in batches:
-        for first in range(0, len(batch), 256):
-            part = batch.slice(first, 256)
-            held = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-            tags = np.repeat(part.column(0).to_numpy(), [len(x) for x in held])
-            yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.concatenate(held))], names=["tag", "shingle"])
+    for part in _parts(batches, 256):
+        held = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+        tags = np.repeat(part.column(0).to_numpy(), [len(x) for x in held])
+        yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.concatenate(held))], names=["tag", "shingle"])
 
 
 def _confirmed(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             keep = []
             for left, right in zip(batch.column(2), batch.column(3)):
                 a = np.frombuffer(left.as_buffer(), np.uint64)
@@ -175,6 +183,33 @@ def _confirmed(percent: int):
     return run
 
 
+def _tile_links(percent: int):
+    """Links across components among the sets of one tile pair, by exact intersection counts."""
+    def run(table):
+        names, roots = table.column("cls").to_pylist(), table.column("root").to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+        sizes = np.array([len(x) for x in sets])
+        _, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        place = np.where(shared, np.cumsum(shared) - 1, -1)[ids]
+        row = np.repeat(np.arange(len(sets)), sizes)[place >= 0]
+        place = place[place >= 0]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+        for low in range(0, int(shared.sum()), 4096):
+            cut = slice(*np.searchsorted(place, [low, low + 4096]))
+            ones = np.zeros((len(sets), 4096), dtype=np.float32)
+            ones[row[cut], place[cut] - low] = 1
+            common += ones @ ones.T
+        _, root = np.unique(np.array([r.hex() for r in roots]), return_inverse=True)
+        linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+        left, right = np.nonzero(np.triu(linked & (root[:, None] != root[None, :]), 1))
+        pairs = sorted({(min(names[x], names[y]), max(names[x], names[y])) for x, y in zip(left, right)})
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+    return run
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose full sets reach the threshold."""
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -234,13 +269,22 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
         "key", "cls", "n", "u", F.coalesce("root", "cls").alias("root"))
     unmet = spread.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = stored(spread.join(unmet, "key"), "open")
-    l, r = left.alias("l"), left.alias("r")
+    count = left.groupBy("key").agg(F.count("*").alias("c"))
+    small = left.join(count.where(F.col("c") <= SMALL).select("key"), "key")
+    l, r = small.alias("l"), small.alias("r")
     across = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls"))
                     & (F.col("l.root") != F.col("r.root"))
                     & can_link(F.col("l.n"), F.col("l.u"), F.col("r.n"), F.col("r.u")))
     rest = (across.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct()
             .join(star, ["a", "b"], "left_anti"))
-    more = stored(_verified(rest, sets, percent), "links")
+    tiles = F.ceil(F.col("c") / TILE).cast("int")
+    large = stored(left.join(count.where(F.col("c") > SMALL), "key").select(
+        "key", "cls", "root", tiles.alias("tiles"), F.pmod(F.xxhash64("cls"), tiles).cast("int").alias("own")), "large")
+    tiled = (large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "root")
+             .join(sets.select("cls", "shingles"), "cls"))
+    inside = tiled.groupBy("key", "i", "j").applyInArrow(_tile_links(percent), "a binary, b binary")
+    more = stored(_verified(rest, sets, percent).union(inside).distinct(), "links")
     if not more.isEmpty():
         roots = components(links.union(more))
 
