@@ -126,7 +126,21 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
 FROM joined"""
 
 
+_NEIGHBOURS = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    list_reduce([q.e[i] * d.e[i] FOR i IN range(1, len(q.e) + 1)], lambda a, b: a + b) AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
+
+
 SQL = {
+    "op2_neighbours": _NEIGHBOURS,
     "op1_mixing": mixing_sql("documents"),
     "op8_licenses": license_sql("documents"),
     "op4_decontamination": decontamination_sql("documents"),

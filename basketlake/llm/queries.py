@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlake.llm import oracles
+from basketlake.llm.ann import nearest
 from basketlake.llm.decontam import contamination_digest
 from basketlake.llm.langid import identify
 from basketlake.llm.licenses import license_scan
@@ -26,6 +27,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_neighbours": op2_neighbours,
     "op3_language": op3_language,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
