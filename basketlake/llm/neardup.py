@@ -296,3 +296,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` that stay: of each group the smallest doc_id, once.
+
+    Rows without doc_id stay, all columns stay. Of rows that repeat a doc_id one is kept.
+    """
+    found = near_duplicates(documents, percent).where("doc_id is not null")
+    ids = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    gone = ids.where("not kept").select(F.col("doc_id").alias("gone"))
+    match = documents["doc_id"] == F.col("gone")
+    left = documents.join(gone, match, "left_anti")
+    again = stored(ids.where("kept and n > 1").select(F.col("doc_id").alias("again")), "repeated")
+    if again.isEmpty():
+        return left
+    repeats = left["doc_id"] == F.col("again")
+    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates(["doc_id"]))
