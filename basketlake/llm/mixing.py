@@ -27,7 +27,7 @@ def n_words(text: Column) -> Column:
 
 def quality_weight(text: Column, size: Column) -> Column:
     """1 for texts of usual word length (3 to 12 characters a word), else 1/4."""
-    mean = F.length(text) / size
+    mean = F.try_divide(F.length(text), size)
     return F.when((size > 0) & mean.between(3.0, 12.0), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
@@ -76,7 +76,7 @@ def mixed(documents: DataFrame, carry: bool = False, seed: int = 17) -> DataFram
     summed = running_totals(keyed, ["source"], order, {"before": "size"})
     t = targets.withColumnRenamed("source", "of")
     out = summed.join(t, F.col("source").eqNullSafe(F.col("of")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     out = out.withColumn("epochs", epochs.cast("long"))
     left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))

@@ -34,8 +34,9 @@ HEURISTICS = [
 ]
 SHORT = 20  #: below so many words (or letters) shares say nothing: no vote
 
-#: What is assumed before counting: good texts rarely get a bad vote.
-GOOD_GETS_BAD, PRIOR_STRENGTH = 0.001, 10.0
+#: What is assumed before counting: good texts rarely get a bad vote, and this share
+#: of bad texts is seen by no heuristic.
+GOOD_GETS_BAD, PRIOR_STRENGTH, UNSEEN = 0.001, 10.0, 0.02
 
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
@@ -99,12 +100,14 @@ def votes(features: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def pattern_posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100):
     """P(good | pattern) and P(bad vote | class, a vote) by EM; patterns (k x heuristics), weights k.
 
-    Starts from "bad if anything votes bad"; a missing vote says nothing. The prior
-    on good texts keeps a heuristic that alone sees one kind of junk from being
-    explained away as noise.
+    Starts from "bad if anything votes bad"; a missing vote says nothing. Kinds of junk
+    exclude each other, so votes on a bad text are modelled given that some heuristic
+    sees it (all but UNSEEN). The prior on good texts keeps a heuristic that alone sees
+    one kind of junk from being explained away as noise.
     """
+    seen = (patterns == BAD).any(1)
     total = max(float(weights.sum()), 1.0)
-    good = np.where((patterns == BAD).any(1), 0.05, 0.95)
+    good = np.where(seen, 0.05, 0.95)
     rates = np.zeros((2, patterns.shape[1]))
     for _ in range(rounds):
         prior = np.clip((good * weights).sum() / total, 1e-3, 1 - 1e-3)
@@ -113,8 +116,12 @@ def pattern_posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int =
             any_ = ((patterns != NONE) * (share * weights)[:, None]).sum(0)
             before = (GOOD_GETS_BAD, PRIOR_STRENGTH * total) if c else (0.25, 4.0)
             rates[c] = (bad + before[0] * before[1]) / (any_ + before[1])
+        rates = np.clip(rates, 1e-6, 1 - 1e-6)
         log = [np.log(p) + np.where(patterns == BAD, np.log(r), np.where(patterns == GOOD, np.log1p(-r), 0.0)).sum(1)
                for p, r in ((1 - prior, rates[0]), (prior, rates[1]))]
+        silent = np.where(patterns != NONE, np.log1p(-rates[0]), 0.0).sum(1)
+        given = np.log1p(-UNSEEN) - np.log(-np.expm1(np.minimum(silent, -1e-9)))
+        log[0] = np.where(seen, log[0] + given, np.log(1 - prior) + np.log(UNSEEN))
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
         if np.abs(after - good).max(initial=0) < 1e-6:
             return after, rates

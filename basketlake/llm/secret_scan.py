@@ -42,8 +42,10 @@ _FLAGS = {
 }
 _SPLIT = np.array([1 if b in b":=" else 2 if b in b"\"'" else 0 for b in range(256)])
 _WORDS = 1 << 12
-#: Feature groups: own shape, word before, word after, separator before, whole text.
-SIZES = [8 * 4 * 4 * 2, _WORDS, _WORDS, 4, 16]
+#: Feature groups: own shape, length and mixture alone, word before, word after, separator before, whole text.
+SIZES = [8 * 4 * 4 * 2, 8 * 2, _WORDS, _WORDS, 4, 16]
+#: Ridge by group: a token's own shape should carry the tag where it can.
+RIDGE = [1e-5, 1e-5, 3e-3, 3e-3, 3e-3, 3e-3]
 
 
 def base_spans(raw: bytes, has_hex: bool = True) -> list[tuple[int, int, int]]:
@@ -82,6 +84,7 @@ def token_features(data, offsets):
     inner = sums["upper"] - (_FLAGS["upper"][data[starts]] if n else 0)
     case = (inner > 0) * 2 + (sums["lower"] > 0)
     shape = ((size * 4 + digits) * 4 + case) * 2 + (sums["hex"] == length)
+    coarse = size * 2 + ((sums["digit"] > 0) & (sums["digit"] < length))
     words = (bytetext.word_hashes(data, starts, ends) % np.uint64(_WORDS - 1)).astype(np.int64) + 1
     before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if n > 1:
@@ -93,7 +96,7 @@ def token_features(data, offsets):
     split = (marks[0][starts] > marks[0][left]) + 2 * (marks[1][starts] > marks[1][left])
     signs = (marks[0][offsets[1:]] - marks[0][offsets[:-1]]) / np.maximum(counts, 1)
     file = np.searchsorted([0.002, 0.01, 0.05], density) * 4 + np.searchsorted([0.0, 0.01, 0.1], signs)
-    return starts, ends, rows, counts, np.stack([shape, before, after, split, file[rows] if n else rows], axis=1)
+    return starts, ends, rows, counts, np.stack([shape, coarse, before, after, split, file[rows] if n else rows], axis=1)
 
 
 def _windows(batches):
@@ -109,7 +112,7 @@ def _windows(batches):
                     continue
                 own = np.zeros(count, dtype=np.int64)
                 a0, b0 = starts[first[i]: first[i + 1]] - offsets[i], ends[first[i]: first[i + 1]] - offsets[i]
-                middles = [REACH + (int(offsets[i]) * 7919 + int(count)) % (count - span + 1)]
+                middles = [REACH + (int(offsets[i + 1] - offsets[i]) * 7919 + int(count)) % (count - span + 1)]
                 for a, b in _secret_parts(data[offsets[i]: offsets[i + 1]].tobytes()):
                     inside = np.flatnonzero((a0 < b) & (b0 > a))
                     own[inside] = INSIDE
@@ -158,7 +161,7 @@ def fit_field(features: np.ndarray, tags: np.ndarray, steps: int = 150):
             flat, error = features[:, :, g].reshape(-1), (marginal - gold).reshape(-1, 3)
             for c in range(3):
                 slope[:, c] = np.bincount(flat, weights=error[:, c], minlength=len(slope))
-            gradients.append(slope / n + 2e-4 * weights[g])
+            gradients.append(slope / n + RIDGE[g] * weights[g])
         gradients.append((joint.sum((0, 1)) - pairs) / n + 2e-4 * moves)
         for i, slope in enumerate(gradients):
             first, second = state[i]
