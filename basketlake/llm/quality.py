@@ -217,7 +217,7 @@ def train(documents: DataFrame) -> tuple[np.ndarray, dict[int, float]]:
     patterns = (codes[:, None] // _POWERS) % 3
     good, _ = pattern_posteriors(patterns, np.array([r["count"] for r in counts], dtype=float))
     posterior = dict(zip(codes.tolist(), good.tolist()))
-    fitted = voted.where("buckets is not null").coalesce(1).mapInArrow(_fit(posterior), "weights array<double>").first()
+    fitted = voted.where("buckets is not null").repartition(1).mapInArrow(_fit(posterior), "weights array<double>").first()
     return (np.array(fitted["weights"]) if fitted else np.zeros(BUCKETS + 1)), posterior
 
 

@@ -259,7 +259,7 @@ def train(documents: DataFrame) -> Field:
     part = 1 << 30 if n <= SAMPLE else int(SAMPLE / n * (1 << 30))
     chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text"), F.lit("secrets")), F.lit(1 << 30)) < part
     fitted = (documents.where(chosen & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"))
-              .mapInArrow(_windows, "features array<int>, tags array<int>").coalesce(1)
+              .mapInArrow(_windows, "features array<int>, tags array<int>").repartition(1)
               .mapInArrow(_fit, "flat array<double>").first())
     return Field(np.array(fitted["flat"]) if fitted else None)
 

@@ -160,7 +160,7 @@ def train(documents: DataFrame, labels: DataFrame) -> Machine:
     odds = F.log((F.col("p") + 0.5) / (toxic + 1.0)) - F.log((q + 0.5) / (rest + 1.0))
     telling = F.abs(odds) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (q + 0.5))
     best = [r["term"] for r in counts.select("term", telling.alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()]
-    weights = sample.coalesce(1).mapInArrow(_fit(best), "term long, weight double, factors array<double>, bias boolean")
+    weights = sample.repartition(1).mapInArrow(_fit(best), "term long, weight double, factors array<double>, bias boolean")
     return Machine(weights.collect())
 
 
