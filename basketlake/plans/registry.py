@@ -18,14 +18,14 @@ from basketlake.operators import (
 from basketlake.plans import jobs
 from basketlake.plans.layers import Lake, lake
 from basketlake.plans.oracles import twin
-from basketlake.session import scratch_path
+from basketlake.session import scratch_path, ship_package
 from basketlake.sinks import lake as sink
 from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_clicks, as_landed
 from basketlake.streaming import followups as live_followups
 from basketlake.streaming.run import drain
-from basketlake.streaming.silver import event_stream_to_silver
+from basketlake.streaming.silver import event_stream_to_silver, start_click_stream, stored_silver
 from basketlake.streaming.trades import start_trade_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,11 @@ def plain(df: DataFrame) -> DataFrame:
 def query(name: str, sql: str | None = None):
     """Register a function of a :class:`Lake` under ``name``."""
     def add(build: Callable[[Lake], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: plain(build(lake(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return plain(build(lake(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = twin(sql)
         return build
@@ -753,7 +757,14 @@ def _click_stream(lk: Lake) -> DataFrame:
 
 @query("stream_silver", _SILVER_SQL)
 def _(lk: Lake):
-    return drain(_click_stream(lk), "silver-stream")
+    """The click-stream job over six landed files with mixed times, so most rows come late."""
+    base = scratch_path(lk.spark, "clicks")
+    landed = as_landed(lk.clicks()).withColumn("part", F.pmod(F.xxhash64("event_time", "user_id"), F.lit(6)))
+    landed.repartition(6, "part").drop("part").write.parquet(f"{base}/landed")
+    events = streams.read_event_stream(lk.spark, "parquet", f"{base}/landed", maxFilesPerTrigger="1")
+    for running in start_click_stream(events, f"{base}/out", f"{base}/progress", trigger={"availableNow": True}):
+        running.awaitTermination()
+    return stored_silver(lk.spark, f"{base}/out/silver")
 
 
 @query("stream_cart_reminders", _REMINDER_SQL)

@@ -1,10 +1,11 @@
 """Follow-ups after a first cart: reminder after 5 minutes, offer after 1 hour.
 
-State is kept per session and user.  What is older than the watermark is folded
-into a fixed-size record; once the watermark has passed the first cart every event
-is counted as it comes.  Only until then are a session's events within the allowed
-lateness held one by one.  The batch forms in
-:mod:`basketlake.operators.followups` give the same rows.
+State is kept per session and user and never expires by itself: a session that was
+followed up stays known by one fixed-size record, so no later cart of it starts over.
+Events that the watermark has passed are folded into that record; once it has passed
+the first cart every event is counted as it comes.  Only until then are events within
+the allowed lateness held, appended one by one and folded minute by minute.  The batch
+forms in :mod:`basketlake.operators.followups` give the same rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from basketlake.session import ROCKSDB_PROVIDER
 
 MINUTE = 60_000_000  # microseconds
 DELAYS = {"reminder": 5 * MINUTE, "offer": 60 * MINUTE}
-FORGET = 24 * 60 * MINUTE
+FOLD_EVERY = MINUTE
 
 OUTPUT = T.StructType([
     T.StructField("user_session", T.StringType()),
@@ -41,7 +42,7 @@ OUTPUT = T.StructType([
 
 _RECORD = T.StructType(
     [T.StructField(n, T.LongType()) for n in
-     ("cart", "bought", "items", "views", "first", "last", "forget_ms")]
+     ("cart", "bought", "items", "views", "first", "last", "oldest")]
     + [T.StructField("value", T.DoubleType())]
 )
 _EVENT = T.StructType([
@@ -62,6 +63,10 @@ def _least(a: int | None, b: int) -> int:
 class CartFollowUps(StatefulProcessor):
     """Emits one row per due follow-up of a session."""
 
+    def __init__(self, delays: dict[str, int] | None = None) -> None:
+        self.delays = dict(delays or DELAYS)
+        self.horizon = max(self.delays.values())
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.record = handle.getValueState("record", _RECORD)
@@ -78,12 +83,11 @@ class CartFollowUps(StatefulProcessor):
     def _save(self, record: dict) -> None:
         self.record.update(tuple(record[name] for name in _RECORD.names))
 
-    @staticmethod
-    def _fold(record: dict, event: tuple) -> None:
+    def _fold(self, record: dict, event: tuple) -> None:
         """Count one event whose place relative to the first cart cannot change any more."""
         at, kind, price = event
         cart = record["cart"]
-        if cart is not None and at > cart + DELAYS["offer"]:
+        if cart is not None and at > cart + self.horizon:
             return
         record["first"] = _least(record["first"], at)
         record["last"] = max(at, record["last"] or at)
@@ -107,13 +111,15 @@ class CartFollowUps(StatefulProcessor):
             self._fold(record, event)
         return rest
 
-    def _pending(self) -> list[tuple]:
-        return [tuple(e) for e in self.pending.get()] if self.pending.exists() else []
-
-    def _store_pending(self, rest: list[tuple]) -> None:
+    def _settle_pending(self, record: dict, watermark: int) -> None:
+        """Fold the held events that are final and hold the rest."""
+        if record["oldest"] is None:
+            return
+        rest = self._settle(record, [tuple(e) for e in self.pending.get()], watermark)
+        record["oldest"] = min((e[0] for e in rest), default=None)
         if rest:
             self.pending.put(rest)
-        elif self.pending.exists():
+        else:
             self.pending.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -122,48 +128,42 @@ class CartFollowUps(StatefulProcessor):
         before = record["cart"]
         if before is not None and before <= watermark:
             # No earlier cart can arrive: rows are counted one by one, none is held.
+            self._settle_pending(record, watermark)
             for row in rows:
                 self._fold(record, (row.at, row.event_type, row.price))
             self._save(record)
             return iter([])
-        waiting = self._pending()
-        for row in rows:
-            waiting.append((row.at, row.event_type, row.price))
-        carts = [at for at, kind, _ in waiting if kind == "cart"]
+        arrived = [(row.at, row.event_type, row.price) for row in rows]
+        carts = [at for at, kind, _ in arrived if kind == "cart"]
         if carts and (before is None or min(carts) < before):
             record["cart"] = min(carts)
-            for delay in DELAYS.values():
+            for delay in self.delays.values():
                 if before is not None:
                     self.handle.deleteTimer(_timer(before + delay))
-            for delay in DELAYS.values():
+            for delay in self.delays.values():
                 self.handle.registerTimer(_timer(record["cart"] + delay))
-        if record["forget_ms"] is None:
-            start = min(at for at, _, _ in waiting)
-            record["forget_ms"] = _timer(max(start, watermark) + FORGET)
-            self.handle.registerTimer(record["forget_ms"])
-        self._store_pending(self._settle(record, waiting, watermark))
+        self.pending.appendList(arrived)
+        record["oldest"] = min([at for at, _, _ in arrived] + [record["oldest"]] * (record["oldest"] is not None))
+        final = record["cart"] is not None and record["cart"] <= watermark
+        if final or record["oldest"] + FOLD_EVERY <= watermark:
+            self._settle_pending(record, watermark)
         self._save(record)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now_ms = expiredTimerInfo.getExpiryTimeInMs()
         record = self._load()
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = self._pending()
-        if waiting:
-            self._store_pending(self._settle(record, waiting, watermark))
+        if record["oldest"] is not None:
+            self._settle_pending(record, timerValues.getCurrentWatermarkInMs() * 1000)
             self._save(record)
         due = []
         cart = record["cart"]
         if cart is not None:
-            for kind, delay in DELAYS.items():
+            for kind, delay in self.delays.items():
                 if now_ms == _timer(cart + delay) and not (
                     record["bought"] is not None and record["bought"] <= cart + delay
                 ):
                     due.append(self._row(key, record, kind, cart + delay))
-        if now_ms == record["forget_ms"]:
-            self.record.clear()
-            self.pending.clear()
         return iter(due)
 
     @staticmethod
@@ -177,17 +177,23 @@ class CartFollowUps(StatefulProcessor):
         )
 
 
-def due_followups(silver_stream: DataFrame) -> DataFrame:
-    """Due follow-ups of a watermarked Silver stream, told apart by ``kind``."""
+def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """Due follow-ups of a watermarked Silver stream, told apart by ``kind``.
+
+    With reminders alone, views never reach the state operator.
+    """
     silver_stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
     )
+    delays = {kind: DELAYS[kind] for kind in kinds or DELAYS}
     # The watermark column has to travel along for the timers to see it.
     narrow = silver_stream.filter(F.col("user_session").isNotNull()).select(
         *SESSION_KEYS, "event_time", F.unix_micros("event_time").alias("at"), "event_type", "price"
     )
+    if list(delays) == ["reminder"]:
+        narrow = narrow.filter(F.col("event_type").isin("cart", "purchase"))
     return narrow.groupBy(*SESSION_KEYS).transformWithState(
-        CartFollowUps(), OUTPUT, outputMode="append", timeMode="EventTime"
+        CartFollowUps(delays), OUTPUT, outputMode="append", timeMode="EventTime"
     )
 
 
@@ -198,12 +204,25 @@ def _times(due: DataFrame) -> DataFrame:
     }).drop("kind", "first_cart_us", "deadline_us")
 
 
+def reminders_of(due: DataFrame) -> DataFrame:
+    """Reminder rows among due follow-ups."""
+    reminders = _times(due.filter(F.col("kind") == "reminder"))
+    return with_reminder_text(reminders.select(*SESSION_KEYS, "first_cart_time", "deadline"))
+
+
+def offers_of(
+    due: DataFrame,
+    risk_model: PipelineModel | None = None,
+    profile_model: PipelineModel | None = None,
+) -> DataFrame:
+    """Offers for the due follow-ups of kind offer."""
+    sessions = _times(due.filter(F.col("kind") == "offer")).withColumn("hour_of_day", F.hour("first_cart_time"))
+    return scored_offers(sessions, risk_model, profile_model)
+
+
 def cart_reminders(silver_stream: DataFrame) -> DataFrame:
     """Reminders as a stream."""
-    due = _times(due_followups(silver_stream).filter(F.col("kind") == "reminder"))
-    return with_reminder_text(
-        due.select(*SESSION_KEYS, "first_cart_time", "deadline")
-    )
+    return reminders_of(due_followups(silver_stream, ["reminder"]))
 
 
 def cart_offers(
@@ -212,9 +231,7 @@ def cart_offers(
     profile_model: PipelineModel | None = None,
 ) -> DataFrame:
     """One-hour offers as a stream, scored by the models where given."""
-    due = _times(due_followups(silver_stream).filter(F.col("kind") == "offer"))
-    sessions = due.withColumn("hour_of_day", F.hour("first_cart_time"))
-    return scored_offers(sessions, risk_model, profile_model)
+    return offers_of(due_followups(silver_stream, ["offer"]), risk_model, profile_model)
 
 
 def scored_offers(

@@ -2,35 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from basketlake.operators.silver import normalise_events, valid_events
+from basketlake import schemas
+from basketlake.operators.silver import dedup_events, normalise_events, valid_events
+from basketlake.session import ship_package
+from basketlake.sinks import lake as sink
+from basketlake.streaming import followups
 
 LATENESS = "10 minutes"
 
 
-def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep one of the identical rows of each Arrow batch."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        kept = table.group_by(table.column_names, use_threads=False).aggregate([])
-        yield from kept.select(batch.schema.names).to_batches()
-
+def event_stream_to_silver(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Type, check and deduplicate a stream of click events, for timers and follow-ups.
 
-def event_stream_to_silver(
-    events: DataFrame, lateness: str = LATENESS, collapse: bool = True
-) -> DataFrame:
-    """Type, check and deduplicate a stream of click events.
-
-    Copies of an event that arrive within ``lateness`` of each other are dropped.
-    All copies of one event meet in one task, and streaming deduplication has no
-    map-side combine; ``collapse`` removes copies batch by batch before the
-    exchange, so that an event delivered very often does not swamp its task.
+    Copies of an event that arrive within ``lateness`` of each other are dropped, and
+    so are rows that come later than the watermark: what is stored as Silver goes
+    through :func:`start_click_stream`, which keeps them.
     """
     checked = valid_events(normalise_events(events))
-    if collapse:
-        checked = checked.mapInArrow(_collapse, checked.schema)
     return checked.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark()
+
+
+def store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """``foreachBatch`` writer: every valid row, however late, in the partition of its batch.
+
+    A batch that runs again after a failure replaces its own partition.
+    """
+    rows = dedup_events(valid_events(normalise_events(batch)))
+    (
+        rows.withColumn("batch_id", F.lit(batch_id))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id").parquet(path)
+    )
+
+
+def stored_silver(spark: SparkSession, path: str) -> DataFrame:
+    """Silver from the stored batches: copies across batches, late ones too, are merged here."""
+    stored = spark.read.schema(schemas.EVENTS_SILVER).option("recursiveFileLookup", True).parquet(path)
+    return dedup_events(stored)
+
+
+def start_click_stream(
+    events: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS,
+    risk_model=None, profile_model=None, trigger: dict | None = None,
+) -> list:
+    """Start the click-stream job: all valid rows to Silver, due follow-ups to two tables.
+
+    ``target/silver`` takes every valid row; one stateful query feeds
+    ``target/reminders`` and ``target/offers``, each partitioned by batch and replaced
+    when a batch runs again. ``trigger`` goes to ``DataStreamWriter.trigger``.
+    """
+    ship_package(events.sparkSession)
+    trigger = trigger or {"processingTime": "1 minute"}
+
+    def to_silver(batch: DataFrame, batch_id: int) -> None:
+        store_batch(batch, batch_id, f"{target}/silver")
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        sink.append_curated(followups.reminders_of(kept), batch_id, f"{target}/reminders")
+        sink.append_curated(followups.offers_of(kept, risk_model, profile_model), batch_id, f"{target}/offers")
+        kept.unpersist()
+
+    due = followups.due_followups(event_stream_to_silver(events, lateness))
+    return [
+        events.writeStream.foreachBatch(to_silver).trigger(**trigger)
+        .option("checkpointLocation", f"{checkpoint}/silver").start(),
+        due.writeStream.foreachBatch(route).trigger(**trigger)
+        .option("checkpointLocation", f"{checkpoint}/followups").start(),
+    ]

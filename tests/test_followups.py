@@ -88,7 +88,45 @@ def test_fold_does_not_depend_on_arrival_order():
     results = []
     for order in (events, events[::-1]):
         record = dict(base)
-        assert processor._settle(record, order, 10**12) == []
+        assert processor._settle(record, list(order), 10**12) == []
         results.append(record)
     assert results[0] == results[1]
     assert (results[0]["views"], results[0]["items"], results[0]["bought"]) == (1, 1, 120)
+
+
+PROBES = {
+    # a cart 23.5 hours after the session's first view
+    "late_cart": [event("p1", 1, at(0), "view"), event("p1", 1, at(1410), "cart", 9.0), event("zz", 9, at(1800), "view")],
+    # a further cart 30 hours after the first: no second reminder, no second offer
+    "second_cart": [event("p2", 2, at(0), "cart", 5.0), event("zz", 9, at(1740), "view"),
+                    event("p2", 2, at(1800), "cart", 7.0), event("zz", 9, at(2400), "view")],
+}
+
+
+@pytest.mark.parametrize("per_file", [1, 2, 4])
+@pytest.mark.parametrize("name", sorted(PROBES))
+def test_no_message_is_lost_or_repeated(spark, tmp_path, name, per_file):
+    """The same rows as the batch form, however the stream is cut into micro-batches."""
+    rows = PROBES[name]
+    for number in range(0, len(rows), per_file):
+        spark.createDataFrame(rows[number: number + per_file], schemas.EVENTS_SILVER).coalesce(1).write.parquet(f"{tmp_path}/in/{number}")
+    # one more file moves the clock on after the last cart
+    spark.createDataFrame([event("zz", 9, at(3000), "view")], schemas.EVENTS_SILVER).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    stream = (
+        spark.readStream.schema(schemas.EVENTS_SILVER).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    )
+    from basketlake.streaming.silver import start_click_stream, stored_silver
+
+    raw = stream.select(*[stream[c].cast("string").alias(c) for c in stream.columns])
+    for running in start_click_stream(raw, f"{tmp_path}/out", f"{tmp_path}/progress", trigger={"availableNow": True}):
+        running.awaitTermination()
+    frame = stored_silver(spark, f"{tmp_path}/out/silver")
+    as_of = F.lit(at(3000) - timedelta(minutes=10))
+    keys = ["user_session", "first_cart_time", "deadline"]
+    assert frame.count() == len(rows) + 1
+    assert rows_of(spark.read.parquet(f"{tmp_path}/out/reminders"), *keys) == rows_of(batch.cart_reminders(frame, as_of), *keys)
+    figures = [*keys, "total_cart_value", "num_cart_items", "num_views_before_cart", "session_duration_sec"]
+    offers = spark.read.parquet(f"{tmp_path}/out/offers")
+    assert rows_of(offers, *figures) == rows_of(batch.offer_sessions(frame, as_of), *figures)
+    assert offers.count() == 1
