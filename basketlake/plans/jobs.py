@@ -13,32 +13,78 @@ from basketlake.operators.metrics import (
 )
 from basketlake.operators.skew import heavy_keys
 from basketlake.operators.trades import ticker_summary, type_ticks
+from basketlake.session import scratch_path
 from basketlake.sinks import lake as sink
 from basketlake.sources import lake as source
 
 
-def bronze_to_silver(spark: SparkSession, bronze: str, target: str) -> DataFrame:
+def _audited(spark: SparkSession, landed: DataFrame, stored: DataFrame, path: str) -> DataFrame:
+    sink.write_report_csv(silver.silver_audit(landed, stored), path)
+    return spark.read.schema(
+        "bronze_count bigint, silver_count bigint, removed_count bigint"
+    ).option("header", True).csv(path)
+
+
+def _typed(spark: SparkSession, landed: DataFrame) -> DataFrame:
+    """The landed rows typed and stored once: the text is parsed a single time, and the
+    audit counts from file footers."""
+    path = scratch_path(spark, "typed")
+    typed = silver.normalise_events(landed)
+    sink.write_layer(typed, path)
+    return spark.read.schema(typed.schema).parquet(path)
+
+
+def bronze_to_silver(
+    spark: SparkSession, bronze: str, target: str, months: list[tuple[int, int]] | None = None
+) -> DataFrame:
     """Clean landed CSV into the month-partitioned Silver layer; gives the audit row.
 
-    The heaviest sessions are stored beside the layer for the Gold jobs.
+    Without ``months`` all of Bronze is read and every month it holds is rebuilt. With
+    them only those landed months are read and only their partitions replaced; rows of
+    other months are set aside until their own month is loaded. The heaviest sessions
+    are stored beside the layer for the Gold jobs.
     """
-    landed = source.read_bronze_csv(spark, bronze)
-    sink.replace_partition(silver.to_silver(landed), f"{target}/events")
+    if months is None:
+        landed = _typed(spark, source.read_bronze_csv(spark, bronze))
+        sink.replace_partition(silver.dedup_events(silver.valid_events(landed)), f"{target}/events")
+        loaded = source.read_layer(spark, f"{target}/events")
+    else:
+        landed = loaded = None
+        for year, month in months:
+            typed = _typed(spark, source.read_bronze_csv(spark, sink.month_folder(bronze, year, month)))
+            valid = silver.valid_events(typed)
+            joined = valid.unionByName(sink.set_aside(spark, f"{target}/events", valid, year, month))
+            sink.load_month(silver.dedup_events(joined), f"{target}/events", year, month)
+            stored = source.read_layer(spark, sink.month_folder(f"{target}/events", year, month))
+            landed = typed if landed is None else landed.unionByName(typed)
+            loaded = stored if loaded is None else loaded.unionByName(stored)
     stored = source.read_layer(spark, f"{target}/events")
     sink.write_layer(sessions.session_heavy_keys(stored), f"{target}/heavy_sessions")
-    sink.write_report_csv(silver.silver_audit(landed, stored), f"{target}/audit")
-    return spark.read.schema(
-        "bronze_count bigint, silver_count bigint, removed_count bigint"
-    ).option("header", True).csv(f"{target}/audit")
+    return _audited(spark, landed, loaded, f"{target}/audit")
 
 
-def silver_to_gold(spark: SparkSession, silver_path: str, target: str) -> None:
-    """Write session features, pre-cart features and the funnel."""
-    events = source.read_layer(spark, f"{silver_path}/events")
+def silver_to_gold(
+    spark: SparkSession, silver_path: str, target: str, months: list[tuple[int, int]] | None = None
+) -> None:
+    """Write session features, pre-cart features and the funnel.
+
+    With ``months`` each month is worked out from its own Silver partition and replaces
+    its own Gold partitions; a layer is kept one way or the other.
+    """
     heavy = source.read_layer(spark, f"{silver_path}/heavy_sessions")
-    sink.write_layer(sessions.session_features(events, heavy), f"{target}/session_features")
-    sink.write_layer(sessions.ml_features(events, heavy), f"{target}/ml_features")
-    sink.write_layer(sessions.funnel(events), f"{target}/funnel")
+
+    def write(events: DataFrame, place) -> None:
+        place(sessions.session_features(events, heavy), f"{target}/session_features")
+        place(sessions.ml_features(events, heavy), f"{target}/ml_features")
+        place(sessions.funnel(events), f"{target}/funnel")
+
+    if months is None:
+        write(source.read_layer(spark, f"{silver_path}/events"), sink.write_layer)
+    else:
+        for year, month in months:
+            events = source.read_layer(spark, f"{silver_path}/events").filter(
+                (F.col("year") == year) & (F.col("month") == month)).drop("year", "month")
+            write(events, lambda df, path, y=year, m=month: sink.load_month(df, path, y, m, time=None))
     gold = source.read_layer(spark, f"{target}/ml_features")
     sink.write_layer(heavy_keys(gold, ["user_id"]), f"{target}/heavy_users")
 

@@ -137,6 +137,38 @@ def _(lk: Lake):
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
+@query("gold_month_reload", """
+SELECT 2023 AS year, 12 AS month, count(*) AS sessions, round(sum(total), 6) AS total, 0 AS aside
+FROM (SELECT sum(CASE WHEN event_type = 'cart' THEN price ELSE 0 END) AS total
+      FROM silver WHERE product_id < 50 GROUP BY user_session, user_id
+      HAVING count(*) FILTER (WHERE event_type = 'cart') > 0)
+UNION ALL
+SELECT 2024, 1, count(*), round(sum(total_cart_value), 6),
+       CAST((SELECT count(*) FROM silver WHERE product_id = 7) AS INTEGER)
+FROM session_features""")
+def _(lk: Lake):
+    """Two months loaded, the second again, each time with stray rows of the first."""
+    base = scratch_path(lk.spark, "months")
+    back = F.col("event_time") - F.expr("INTERVAL 31 DAYS")
+    earlier = lk.clicks().withColumn("event_time", back)
+    months = {
+        (2023, 12): earlier.filter("product_id < 50"),
+        (2024, 1): lk.clicks().unionByName(earlier.filter("product_id = 7")),
+    }
+    for (year, month), rows in months.items():
+        as_landed(rows).write.option("header", True).csv(f"{base}/upload-{year}-{month}")
+        sink.land_bronze(lk.spark, f"{base}/upload-{year}-{month}", f"{base}/bronze", year, month)
+        jobs.bronze_to_silver(lk.spark, f"{base}/bronze", f"{base}/silver", [(year, month)])
+        jobs.silver_to_gold(lk.spark, f"{base}/silver", f"{base}/gold", [(year, month)])
+    jobs.bronze_to_silver(lk.spark, f"{base}/bronze", f"{base}/silver", [(2024, 1)])
+    jobs.silver_to_gold(lk.spark, f"{base}/silver", f"{base}/gold", [(2024, 1)])
+    aside = lk.spark.read.parquet(f"{base}/silver/events_aside/load=2024-01").count()
+    gold = source.read_layer(lk.spark, f"{base}/gold/session_features")
+    return gold.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum("total_cart_value").alias("total"),
+        F.max(F.when(F.col("year") == 2024, aside).otherwise(0)).alias("aside"))
+
+
 @query("json_by_day", """
 SELECT event_type, strftime(event_time, '%Y-%m-%d') AS day, count(*) AS n,
        round(sum(price), 6) AS total
@@ -880,7 +912,7 @@ def _(lk: Lake):
     base = _run_trades(lk, True)
     good = source.read_raw_json(lk.spark, f"{base}/raw/prices", schemas.RAW_PRICES)
     bad = source.read_raw_json(
-        lk.spark, f"{base}/quarantine/prices", T.StructType([T.StructField("value", T.StringType())]))
+        lk.spark, f"{base}/quarantine/prices", T.StructType([T.StructField("value", T.StringType())]), recursive=True)
     both = good.select(F.lit(True).alias("accepted")).unionByName(
         bad.select(F.lit(False).alias("accepted")))
     return both.groupBy("accepted").agg(F.count(F.lit(1)).alias("n"))

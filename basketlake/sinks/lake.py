@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlake.sources.lake import read_bronze_csv
 
@@ -35,6 +36,37 @@ def replace_partition(
     )
 
 
+def month_folder(path: str, year: int, month: int) -> str:
+    return f"{path}/year={year}/month={month}"
+
+
+def load_month(df: DataFrame, path: str, year: int, month: int, time: str | None = "event_time") -> None:
+    """Make ``df`` the whole of one month's partition, whatever else the layer holds.
+
+    Rows of other months never touch a partition: they are set aside under
+    ``<path>_aside/<loaded month>``, which each load of that month replaces, and join
+    their own month when it is loaded (:func:`set_aside`). With ``time`` None all rows
+    belong to the month. A month without rows ends up empty.
+    """
+    if time is not None:
+        mine = F.coalesce((F.year(time) == year) & (F.month(time) == month), F.lit(False))
+        df.filter(~mine).write.mode("overwrite").parquet(f"{path}_aside/load={year}-{month:02d}")
+        df = df.filter(mine)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(month_folder(path, year, month))
+
+
+def set_aside(spark: SparkSession, path: str, like: DataFrame, year: int, month: int, time: str = "event_time") -> DataFrame:
+    """Rows of the month that loads of other months set aside; none if nothing was."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_aside")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return like.limit(0)
+    schema = T.StructType([*like.schema.fields, T.StructField("load", T.StringType())])
+    rows = spark.read.schema(schema).parquet(f"{path}_aside")
+    # the month's own load is about to be replaced and holds none of its rows
+    others = rows.filter(F.col("load") != f"{year}-{month:02d}").drop("load")
+    return others.filter((F.year(time) == year) & (F.month(time) == month))
+
+
 def land_bronze(spark: SparkSession, csv: str, path: str, year: int, month: int) -> None:
     """Land a raw file, untyped, under its month. A missing input raises."""
     landed = read_bronze_csv(spark, csv).withColumns(

@@ -19,9 +19,22 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_raw_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON records, one per line or one per file, below any depth of day folders."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+DAY_FOLDERS = ("year", "month", "day")
+
+
+def read_raw_json(
+    spark: SparkSession, path: str, schema: T.StructType, day_columns: bool = False, recursive: bool = False
+) -> DataFrame:
+    """JSON records under year/month/day folders.
+
+    ``day_columns`` keeps the folders as text columns, so that a filter on them prunes
+    the scan. ``recursive`` reads any other depth of folders, without pruning.
+    """
+    if recursive:
+        return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
+    folders = [T.StructField(name, T.StringType()) for name in DAY_FOLDERS]
+    rows = spark.read.schema(T.StructType([*schema.fields, *folders])).json(path)
+    return rows if day_columns else rows.drop(*DAY_FOLDERS)
 
 
 def read_positional_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -10,8 +10,10 @@ forms in :mod:`basketlake.operators.followups` give the same rows.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -185,6 +187,9 @@ def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None) -> D
     silver_stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
     )
+    # The driver starts a Python process of its own for the processor's setup, and files
+    # shipped to the workers are not on its path: the processor travels by value.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     delays = {kind: DELAYS[kind] for kind in kinds or DELAYS}
     # The watermark column has to travel along for the timers to see it.
     narrow = silver_stream.filter(F.col("user_session").isNotNull()).select(
