@@ -52,33 +52,68 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def mixed(documents: DataFrame, carry: bool = False, seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row; with ``carry`` also the whole ``row``.
+ORDER = ["key", "doc_id", "size", "tie"]
 
-    A null or blank text has size 0 and gives 0 words. A null source is a source of
-    its own, last in order. Rows that repeat share a key; either of them is first.
-    An empty table gives an empty result; other columns never clash, as they stay
-    inside ``row``.
-    """
+
+def _keyed(documents: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """(doc_id, source, size, key, tie) per row, and ``more``."""
     text = F.col("text").cast("string")
     spread = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10)
-    kept = [F.struct(*documents.columns).alias("row")] if carry else []
     sized = documents.select(
         "doc_id", F.col("source").cast("string").alias("source"), n_words(text).alias("size"), text.alias("text"),
-        ((spread.cast("double") + 0.5) / float(1 << 52)).alias("u"), *kept)
-    keyed = sized.select(
+        ((spread.cast("double") + 0.5) / float(1 << 52)).alias("u"), *more)
+    names = [c for c in sized.columns if c not in ("doc_id", "source", "size", "text", "u")]
+    return sized.select(
         "doc_id", "source", "size", (-F.log("u") / quality_weight(F.col("text"), F.col("size"))).alias("key"),
-        F.xxhash64("text").alias("tie"), *(["row"] if carry else []))
-    keyed = stored(keyed, "sized")
+        F.xxhash64("text").alias("tie"), *names)
+
+
+def _placed(documents: DataFrame, seed: int) -> DataFrame:
+    """Keyed rows with their source's figures, the words ``before`` them and those ``left`` for its last epoch."""
+    keyed = stored(_keyed(documents, seed), "sized")
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stored(source_targets(sizes), "targets")
-    order = ["key", "doc_id", "size", "tie"]
-    summed = running_totals(keyed, ["source"], order, {"before": "size"})
-    t = targets.withColumnRenamed("source", "of")
-    out = summed.join(t, F.col("source").eqNullSafe(F.col("of")))
+    targets = stored(source_targets(sizes), "targets").withColumnRenamed("source", "of")
+    summed = running_totals(keyed, ["source"], ORDER, {"before": "size"})
+    out = summed.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     epochs = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
-    out = out.withColumn("epochs", epochs.cast("long"))
-    left = F.floor(F.col("target") - F.col("epochs") * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("before")))
+    return out.withColumn("epochs", epochs.cast("long")).withColumn(
+        "left", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+
+
+def mixed(documents: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) per row of ``documents(doc_id, text, source)``.
+
+    A null or blank text has size 0 and gives 0 words. A null source is a source of
+    its own, last in order. Rows that repeat share a key; either of them is first.
+    An empty table gives an empty result; other columns are ignored.
+    """
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("before")))
+    taken = (F.col("epochs") * F.col("size") + part).cast("long")
+    return _placed(documents, seed).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed_rows(documents: DataFrame, seed: int = 17) -> DataFrame:
+    """The whole ``row`` of each document with (size, source_size, target, taken).
+
+    Texts are not shuffled: the cut of each source, one row, is found on the slim
+    rows, and each document is held against the cut of its source. Rows that repeat
+    right at the cut share its words evenly (less than one word each is lost).
+    """
+    placed = stored(_placed(documents, seed), "placed")
+    beyond = placed.where("before + size > left")
+    place = F.struct(*ORDER)
+    cut = beyond.groupBy(F.col("source").alias("of")).agg(F.min(place).alias("at"))
+    same = placed.withColumn("place", place).join(
+        stored(cut, "cuts"), F.col("source").eqNullSafe(F.col("of")) & (F.col("place") == F.col("at")))
+    shared = same.groupBy("of", "at").agg(
+        F.first(F.col("left")).alias("rest"), F.min("before").alias("ahead"), F.count("*").alias("copies"))
+    sources = placed.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "epochs")])
+    known = stored(sources.join(shared, F.col("source").eqNullSafe(F.col("of")), "left").select(
+        F.col("source").alias("of"), "source_size", "target", "epochs", "at",
+        (F.col("rest") - F.col("ahead")).alias("words"), "copies").coalesce(1), "cuts")
+    rows = _keyed(documents, seed, F.struct(*documents.columns).alias("row")).withColumn("place", place)
+    out = rows.join(known, F.col("source").eqNullSafe(F.col("of")))
+    part = (F.when(F.col("at").isNull() | (F.col("place") < F.col("at")), F.col("size"))
+            .when(F.col("place") == F.col("at"), F.floor(F.col("words") / F.col("copies"))).otherwise(0))
     taken = (F.col("epochs") * F.col("size") + part).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *(["row"] if carry else []))
+    return out.select("row", "size", "source_size", "target", taken.alias("taken"))

@@ -305,7 +305,8 @@ def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(documents, percent).where("doc_id is not null")
     ids = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
-    gone = ids.where("not kept").select(F.col("doc_id").alias("gone"))
+    # the same plan at every size: the dropped ids grow with the corpus, so they are never broadcast
+    gone = ids.where("not kept").select(F.col("doc_id").alias("gone")).hint("merge")
     match = documents["doc_id"] == F.col("gone")
     left = documents.join(gone, match, "left_anti")
     again = stored(ids.where("kept and n > 1").select(F.col("doc_id").alias("again")), "repeated")

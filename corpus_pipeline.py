@@ -36,7 +36,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with the words taken of each (repeats counted)."""
-    mix = mixing.mixed(docs, carry=True).where("taken > 0")
+    mix = mixing.mixed_rows(docs).where("taken > 0")
     return mix.select(*[F.col("row").getField(n).alias(n) for n in docs.columns], "size", "source_size", "target", "taken")
 
 

@@ -133,6 +133,9 @@ def test_mix_meets_targets(spark, make_docs):
     out = mixing.mixed(make_docs(rows)).collect()
     again = mixing.mixed(make_docs(rows).repartition(3)).collect()
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str)
+    carried = mixing.mixed_rows(make_docs(rows))
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, carried.select(
+        "row.doc_id", "size", "source_size", "target", "taken").collect()), key=str)
     source = {r[0]: r[3] for r in rows}
     groups = {}
     for r in out:
@@ -156,6 +159,14 @@ def test_mix_meets_targets(spark, make_docs):
         assert abs(sum(r["taken"] for r in groups[s]) - target[s]) < 1.001
 
 
+def test_repeated_rows_share_the_cut(make_docs):
+    rows = [(1, "a b c d", "en", "s")] * 5 + [(2, "w " * 7, "en", "t")]
+    out = mixing.mixed_rows(make_docs(rows)).collect()
+    taken = [r["taken"] for r in out if r["row"]["doc_id"] == 1]
+    target = next(r["target"] for r in out if r["row"]["doc_id"] == 1)
+    assert len(out) == 6 and len(set(taken)) == 1 and target - 5 < sum(taken) <= target
+
+
 def test_languages_on_planted_alphabets(make_docs):
     rng = random.Random(4)
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ein"], "cc": ["eau", "oi", "é"]}
