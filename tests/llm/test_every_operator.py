@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlake.llm import ann, decontam, langid, licenses, mixing, neardup, quality, secret_scan, toxicity, warc
+from llm_fixtures import make_docs, messy, nothing, shipped  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from basketlake.llm import ann, bytetext, decontam, langid, licenses, mixing, neardup, quality, secret_scan, toxicity, warc
+from llm_fixtures import make_docs, shipped  # noqa: F401
 
 
 def words_of(text, pattern):

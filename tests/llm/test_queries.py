@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 import corpus_pipeline
 from basketlake.llm import queries
 from basketlake.llm.common import stored
-from conftest import SMALL
+from llm_fixtures import SMALL, shipped  # noqa: F401
 
 
 @pytest.fixture(scope="module")
