@@ -10,7 +10,6 @@ from basketlake.operators.skew import smallest
 from basketlake.schemas import GOLD_KEYS
 
 SEED = 42
-DIGEST_BUCKETS = 65536
 
 
 def split_3way(df: DataFrame, keys: list[str] = GOLD_KEYS, seed: int = SEED) -> DataFrame:

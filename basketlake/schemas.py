@@ -3,15 +3,7 @@
 from pyspark.sql import types as T
 
 
-def _struct(spec: str) -> T.StructType:
-    names = {
-        "string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(),
-        "double": T.DoubleType(), "timestamp": T.TimestampType(),
-        "price": T.DecimalType(12, 2),
-    }
-    fields = (part.split(":") for part in spec.split())
-    return T.StructType([T.StructField(name, names[kind]) for name, kind in fields])
-
+# Names and types of the published files, in their order.
 
 EVENT_COLUMNS = [
     "event_time", "event_type", "product_id", "category_id", "category_code",
@@ -22,23 +14,48 @@ EVENT_TYPES = ("view", "cart", "purchase")
 
 EVENTS_RAW = T.StructType([T.StructField(name, T.StringType()) for name in EVENT_COLUMNS])
 
-EVENTS_SILVER = _struct(
-    "event_time:timestamp event_type:string product_id:bigint category_id:bigint "
-    "category_code:string brand:string price:double user_id:bigint user_session:string"
-)
-
-LABELLED_SESSIONS = _struct(
-    "session_id:string user_id:int total_cart_value:double num_cart_items:int "
-    "num_views_before_cart:int session_duration_sec:int hour_of_day:int is_night:int "
-    "user_profile:string is_abandoned:int"
-)
-
-RAW_PRICES = _struct("ticker:string price:double volume:int event_time:string")
-
-RAW_ORDERS = _struct(
-    "order_id:string client_id:string ticker:string order_type:string quantity:int "
-    "price:double total_value:double event_time:string"
-)
+EVENTS_SILVER = T.StructType([
+    T.StructField("event_time", T.TimestampType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("product_id", T.LongType()),
+    T.StructField("category_id", T.LongType()),
+    T.StructField("category_code", T.StringType()),
+    T.StructField("brand", T.StringType()),
+    T.StructField("price", T.DoubleType()),
+    T.StructField("user_id", T.LongType()),
+    T.StructField("user_session", T.StringType()),
+])
+
+LABELLED_SESSIONS = T.StructType([
+    T.StructField("session_id", T.StringType()),
+    T.StructField("user_id", T.IntegerType()),
+    T.StructField("total_cart_value", T.DoubleType()),
+    T.StructField("num_cart_items", T.IntegerType()),
+    T.StructField("num_views_before_cart", T.IntegerType()),
+    T.StructField("session_duration_sec", T.IntegerType()),
+    T.StructField("hour_of_day", T.IntegerType()),
+    T.StructField("is_night", T.IntegerType()),
+    T.StructField("user_profile", T.StringType()),
+    T.StructField("is_abandoned", T.IntegerType()),
+])
+
+RAW_PRICES = T.StructType([
+    T.StructField("ticker", T.StringType()),
+    T.StructField("price", T.DoubleType()),
+    T.StructField("volume", T.IntegerType()),
+    T.StructField("event_time", T.StringType()),
+])
+
+RAW_ORDERS = T.StructType([
+    T.StructField("order_id", T.StringType()),
+    T.StructField("client_id", T.StringType()),
+    T.StructField("ticker", T.StringType()),
+    T.StructField("order_type", T.StringType()),
+    T.StructField("quantity", T.IntegerType()),
+    T.StructField("price", T.DoubleType()),
+    T.StructField("total_value", T.DoubleType()),
+    T.StructField("event_time", T.StringType()),
+])
 
 SESSION_KEYS = ["user_session", "user_id"]
 GOLD_KEYS = ["session_id", "user_id"]
@@ -68,9 +85,12 @@ FEATURES_V2 = BASE_FEATURES + DERIVED_FEATURES
 FEATURES_V3 = FEATURES_V2 + HISTORY_FEATURES
 PROFILE_FEATURES = list(BASE_FEATURES)
 
-PROPENSITY_FEATURES = (
-    BASE_FEATURES[:8] + ["avg_cart_item_price", "max_cart_item_price"] + BASE_FEATURES[8:]
-)
+PROPENSITY_FEATURES = [
+    "num_views_before_cart", "unique_products_viewed", "unique_categories_viewed",
+    "unique_brands_viewed", "avg_viewed_price", "viewed_price_range",
+    "cart_value_at_first_cart", "num_cart_items_at_first_cart", "avg_cart_item_price",
+    "max_cart_item_price", "time_to_first_cart_sec", "view_to_cart_ratio", "hour_of_day", "is_night",
+]
 
 ABANDONMENT_NUMERIC = [
     "num_cart_items", "total_cart_value", "max_item_price", "min_item_price",
