@@ -845,14 +845,28 @@ def _(lk: Lake):
     return trades.clean_prices(_as_prices(lk.table("lineitem")))
 
 
-@query("clean_orders", """
+_CLEAN_ORDERS = """
 SELECT order_id, sha256(client_id) AS client_id_masked, ticker, order_type, quantity,
        round(price, 6) AS price, round(quantity * price, 6) AS total_value, event_time
-FROM raw_orders WHERE quantity > 0""")
+FROM raw_orders WHERE quantity > 0"""
+
+
+@query("clean_orders", _CLEAN_ORDERS)
 def _(lk: Lake):
     return trades.clean_orders(_raw_orders(lk))
 
 
+@query("stream_orders", _CLEAN_ORDERS)
+def _(lk: Lake):
+    """Curated orders after a run of the orders topic."""
+    base = scratch_path(lk.spark, "orders")
+    _raw_orders(lk).select(F.to_json(F.struct("*"))).write.text(f"{base}/in")
+    messages = streams.read_message_stream(lk.spark, "text", f"{base}/in")
+    for running in start_trade_stream(messages, "orders", base, f"{base}/progress", available_now=True):
+        running.awaitTermination()
+    return lk.spark.read.parquet(f"{base}/curated/orders").drop("batch_id")
+
+
 @query("type_raw_prices",
        "SELECT ticker, round(price, 6) AS price, volume, event_time FROM raw_prices")
 def _(lk: Lake):

@@ -126,6 +126,15 @@ def append_curated(batch: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
+def write_json_batch(batch: DataFrame, batch_id: int, path: str, folders: list[str] | None = None) -> None:
+    """JSON lines of one micro-batch, replaced when the batch runs again."""
+    (
+        batch.withColumn("batch_id", F.lit(batch_id))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*(folders or []), "batch_id").json(path)
+    )
+
+
 def append_jdbc(batch: DataFrame, url: str, table: str, **options: str) -> None:
     """Append accepted rows to a database table (needs its JDBC driver on the class path)."""
     batch.write.mode("append").format("jdbc").options(url=url, dbtable=table, **options).save()

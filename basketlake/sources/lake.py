@@ -34,7 +34,7 @@ def read_raw_json(
         return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
     folders = [T.StructField(name, T.StringType()) for name in DAY_FOLDERS]
     rows = spark.read.schema(T.StructType([*schema.fields, *folders])).json(path)
-    return rows if day_columns else rows.drop(*DAY_FOLDERS)
+    return rows.select(*schema.names, *(DAY_FOLDERS if day_columns else ()))
 
 
 def read_positional_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

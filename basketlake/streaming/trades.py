@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basketlake import schemas
 from basketlake.operators.trades import clean_orders, clean_prices
-from basketlake.sinks.lake import append_curated, with_day
+from basketlake.sinks.lake import append_curated, with_day, write_json_batch
 from basketlake.sources.streams import accepted, decode, quarantined
 
 TOPICS = {
@@ -16,31 +16,30 @@ TOPICS = {
 }
 
 
+def store_batch(batch: DataFrame, batch_id: int, topic: str, target: str) -> None:
+    """Decode one micro-batch once and write its three tables, each keyed by the batch.
+
+    A batch that runs again replaces its own folders (in the JSON lake: those of the
+    same day of writing).
+    """
+    schema, rule = TOPICS[topic]
+    decoded = decode(batch, schema).persist()
+    clean = rule(accepted(decoded))
+    append_curated(clean, batch_id, f"{target}/curated/{topic}")
+    write_json_batch(with_day(clean), batch_id, f"{target}/raw/{topic}", ["year", "month", "day"])
+    write_json_batch(quarantined(decoded), batch_id, f"{target}/quarantine/{topic}")
+    decoded.unpersist()
+
+
 def start_trade_stream(
     messages: DataFrame, topic: str, target: str, checkpoint: str, available_now: bool = False
 ) -> list[StreamingQuery]:
-    """Start the curated, JSON-lake and quarantine writers of one topic.
+    """Start the one query of a topic: curated table, JSON lake and quarantine.
 
-    ``target`` and ``checkpoint`` are folders; each writer has its own below
-    them.  The file sinks and the batch-keyed curated table store every message
-    once even if a batch runs again.
+    All three stand at the same offset, and each topic is read and parsed once.
     """
-    schema, rule = TOPICS[topic]
-    decoded = decode(messages, schema)
-    clean = rule(accepted(decoded))
+    def store(batch: DataFrame, batch_id: int) -> None:
+        store_batch(batch, batch_id, topic, target)
 
-    def start(frame: DataFrame, name: str, configure):
-        writer = frame.writeStream.option("checkpointLocation", f"{checkpoint}/{topic}-{name}")
-        writer = configure(writer)
-        return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-    def curated(batch: DataFrame, batch_id: int) -> None:
-        append_curated(batch, batch_id, f"{target}/curated/{topic}")
-
-    return [
-        start(clean, "curated", lambda w: w.foreachBatch(curated)),
-        start(with_day(clean), "lake", lambda w: w.format("json").partitionBy(
-            "year", "month", "day").option("path", f"{target}/raw/{topic}")),
-        start(quarantined(decoded), "quarantine", lambda w: w.format("json").option(
-            "path", f"{target}/quarantine/{topic}")),
-    ]
+    writer = messages.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/{topic}")
+    return [(writer.trigger(availableNow=True) if available_now else writer).start()]
