@@ -43,8 +43,7 @@ def fit_on(df: DataFrame, features: list[str], classifier) -> PipelineModel:
     label, weight = classifier.getLabelCol(), None
     if classifier.hasParam("weightCol") and classifier.isSet("weightCol"):
         weight = classifier.getWeightCol()
-    columns = [label, "features"] + ([weight] if weight else [])
-    model = classifier.fit(vectors.transform(df).select(*columns))
+    model = classifier.fit(assemble(df, features, label, *([weight] if weight else [])))
     return PipelineModel(stages=[vectors, stored(model)])
 
 
