@@ -1,8 +1,13 @@
 """License notices: exact containment join between text blocks and notice templates.
 
-A block is a line of a text. It meets a template when it holds at least
-``CONTAINMENT`` of the template's distinct words. Words are ordered by their
-frequency over all blocks, rarest first: a block that meets a template of n words
+A block is a line of a text, or a run of words anywhere in it, whatever the line
+breaks: at most ``SPREAD`` times as many words as the template. A block meets a
+template when it holds at least ``CONTAINMENT`` of the template's distinct words.
+Runs are looked for in overlapping stretches of the text, of which one holds any
+run whole; where a stretch qualifies, each run in it is counted.
+
+Words are ordered by their frequency over all lines, rarest first: a block (line or
+stretch) that meets a template of n words
 shares one of its first n - ceil(t n) + 1 words (prefix filter), holds at least
 ceil(t n) template words (length filter), and what can follow their first shared
 word suffices (positional filter). What passes is verified on the sets. All
@@ -39,6 +44,8 @@ TEMPLATES = [
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.9
+SPREAD = 2  #: words of a run for each word of the template
+REACH = SPREAD * max(len(notice.split()) for _, notice in TEMPLATES)  #: the longest run
 
 
 def template_sets() -> list[tuple[str, list[str], int]]:
@@ -68,7 +75,7 @@ def license_scan(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per row.
 
     Base columns tell where the words of a phrase stand in a row, across lines too;
-    ``labels`` adds those of templates that a line meets. ``score`` is 1 with a base
+    ``labels`` adds those of templates that a line or a run of words meets. ``score`` is 1 with a base
     place, else the largest containment met, else 0. Null and empty texts have no
     words and no labels. Rows that repeat repeat their result; other columns are ignored.
     """
@@ -83,9 +90,15 @@ def license_scan(documents: DataFrame) -> DataFrame:
     counted = lines.select(
         "doc_id", "low", F.flatten("lines").alias("words"),
         F.transform("lines", lambda line: F.array_intersect(line, known)).alias("blocks"))
-    scanned = counted.select(
+    # stretches of 2 * REACH words, one from every REACH-th word on; words of no template are null
+    marked = counted.withColumn("marked", F.transform("words", lambda w: F.when(w.isin(vocabulary), w)))
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("marked") - 1, F.lit(0)), F.lit(REACH)),
+        lambda i: F.slice("marked", i + 1, 2 * REACH))
+    scanned = marked.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), *_base("words", "low"),
-        F.filter("blocks", lambda b: F.size(b) > 0).alias("blocks"))
+        F.filter("blocks", lambda b: F.size(b) > 0).alias("blocks"),
+        F.filter(stretches, lambda b: F.size(F.array_compact(b)) >= fewest).alias("stretches"))
     rows = stored(scanned.withColumn("rid", F.monotonically_increasing_id()), "blocks")
 
     # global order: rarest first; at most one row per template word reaches the driver
@@ -98,19 +111,26 @@ def license_scan(documents: DataFrame) -> DataFrame:
         for p, w in enumerate(ranked[: len(ranked) - least + 1]):
             prefixes.append((w, t, p, len(ranked), least))
     prefix = spark.createDataFrame(prefixes, "w string, t int, p int, n int, least int")
+    whole = rows.select("rid", F.posexplode("blocks").alias("line", "block"), F.expr("cast(null as array<string>)").alias("stretch"))
+    parts = (rows.select("rid", F.posexplode("stretches").alias("line", "stretch"))
+             .select("rid", -1 - F.col("line"), F.array_distinct(F.array_compact("stretch")), "stretch"))
     place = F.create_map(*[x for w, i in order.items() for x in (F.lit(w), F.lit(i))])
-    blocks = (rows.select("rid", F.posexplode("blocks").alias("line", "block"))
-              .where(F.size("block") >= fewest)
-              .select("rid", "line", F.array_sort(F.transform("block", lambda w: F.struct(place[w].alias("o"), w.alias("w")))).alias("block")))
-    tokens = blocks.select("rid", "line", "block", F.posexplode("block").alias("q", "token"))
-    met = tokens.select("rid", "line", "block", "q", F.col("token.w").alias("w")).join(F.broadcast(prefix), "w")
+    blocks = (whole.union(parts).where(F.size("block") >= fewest)
+              .select("rid", "line", "stretch", F.array_sort(F.transform("block", lambda w: F.struct(place[w].alias("o"), w.alias("w")))).alias("block")))
+    tokens = blocks.select("rid", "line", "stretch", "block", F.posexplode("block").alias("q", "token"))
+    met = tokens.select("rid", "line", "stretch", "block", "q", F.col("token.w").alias("w")).join(F.broadcast(prefix), "w")
     size = F.size("block")
     possible = 1 + F.least(F.col("n") - F.col("p") - 1, size - F.col("q") - 1)
     candidates = (met.where((size >= F.col("least")) & (possible >= F.col("least")))
-                  .select("rid", "line", "t", "n", "least", F.col("block.w").alias("block")).dropDuplicates(["rid", "line", "t"]))
+                  .select("rid", "line", "t", "n", "least", "stretch", F.col("block.w").alias("block")).dropDuplicates(["rid", "line", "t"]))
     wanted = F.array(*[F.array(*[F.lit(w) for w in words]) for _, words, _ in sets])
     names = F.array(*[F.lit(label) for label, _, _ in sets])
-    shared = F.size(F.array_intersect("block", F.get(wanted, F.col("t"))))
+    longest = F.array(*[F.lit(SPREAD * len(notice.split())) for _, notice in TEMPLATES])
+    own, reach = F.get(wanted, F.col("t")), F.get(longest, F.col("t"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("stretch")), lambda i: F.array_contains(own, F.get("stretch", i - 1)))
+    runs = F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("stretch", i, reach), own)))
+    # a line counts as a whole; of a stretch the fullest run
+    shared = F.when(F.col("stretch").isNull(), F.size(F.array_intersect("block", own))).otherwise(F.array_max(runs))
     verified = candidates.withColumn("shared", shared).where("shared >= least")
     found = verified.groupBy("rid").agg(
         F.collect_set(F.get(names, F.col("t"))).alias("more"), F.max(F.col("shared") / F.col("n")).alias("best"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from basketlake.llm import ann, bytetext, decontam, langid, licenses, mixing, neardup, quality, secret_scan, toxicity, warc
-from llm_fixtures import make_docs, shipped  # noqa: F401
+from llm_fixtures import make_docs, prose, shipped  # noqa: F401
 
 
 def words_of(text, pattern):
@@ -339,6 +339,28 @@ def test_licenses_base_and_templates(make_docs):
     assert out[4][1:4] == (1, 0, 0)
 
 
+def test_licenses_of_wrapped_notices(make_docs):
+    """Canonical texts wrapped over lines, at any place of a long text; scattered words are none."""
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+           "of this software and associated documentation files (the \"Software\"), to deal\n"
+           "in the Software without restriction")
+    bsd = ("Redistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions\nare met:")
+    gpl = ("This program is free software: you can redistribute it and/or modify\n"
+           "it under the terms of the GNU General Public License as published by\n"
+           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    work = "This work is licensed under the GNU\n * General Public License,\n * version 3."
+    words = [f"w{i}" for i in range(100)]
+    rows = [(0, mit, "en", "s"), (1, bsd, "en", "s"), (2, gpl, "en", "s"), (3, work, "en", "s"),
+            (4, mit.replace(" ", "\n"), "en", "s")]
+    rows += [(100 + n, "\n".join(words[:n]) + "\n" + bsd + "\n" + "\n".join(words), "en", "s") for n in range(0, 100, 7)]
+    rows.append((5, "\n".join(f"{w} {prose(n, 12)}" for n, w in enumerate(bsd.split())), "en", "s"))
+    out = {r["doc_id"]: r for r in licenses.license_scan(make_docs(rows)).collect()}
+    assert [out[i]["labels"] for i in range(6)] == ["mit", "bsd", "gpl-3", "gpl-3", "mit", ""]
+    assert [out[i]["score"] for i in (0, 1, 2, 3, 5)] == [1.0, 1.0, 1.0, 1.0, 0.0]
+    assert all(out[100 + n]["labels"] == "bsd" and out[100 + n]["score"] == 1.0 for n in range(0, 100, 7))
+
+
 @pytest.fixture
 def small_splits(spark):
     keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
