@@ -137,6 +137,59 @@ def _window_blocks(benchmark: DataFrame) -> list[DataFrame]:
     return [windows.where(F.pmod(F.xxhash64("hash", "phrase", "item"), F.lit(parts)) == i) for i in range(parts)]
 
 
+def _hits(keyed: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """(k, spans, items) of the texts of ``keyed(doc_id, text, k)`` that a block hits, once per block."""
+    spark = keyed.sparkSession
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    hits = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(WindowTable(block.collect()))
+        one = stored(keyed.mapInArrow(_scan(shared, False), f"doc_id {kind}, k string, {_SCAN}")
+                     .where("size(spans) > 0").select("k", "spans", "items").dropDuplicates(["k"]), "hits")
+        shared.unpersist()
+        hits = one if hits is None else hits.union(one)
+    return hits
+
+
+def _cut(batches):
+    """The text of each row without the words of ``raw``, spans that may overlap."""
+    for batch in batches:
+        text, raw, cleaned = batch.column(0), batch.column(2).to_pylist(), []
+        row0 = 0
+        for _, data, offsets in bytetext.blocks(text):
+            starts, ends, _, counts = bytetext.word_spans(data, offsets, bytetext.ALNUM_WORD)
+            first = np.concatenate(([0], np.cumsum(counts)))
+            for i, count in enumerate(counts):
+                spans = raw[row0 + i]
+                if not spans:
+                    cleaned.append(None)
+                    continue
+                cover = np.zeros(count + 1, dtype=np.int64)
+                for span in spans:
+                    cover[span["start"]] += 1
+                    cover[span["end"]] -= 1
+                own = np.concatenate(([False], np.cumsum(cover[:-1]) > 0, [False]))
+                keep = np.ones(offsets[i + 1] - offsets[i], bool)
+                for a, b in np.flatnonzero(own[1:] != own[:-1]).reshape(-1, 2):
+                    keep[starts[first[i] + a] - offsets[i]: ends[first[i] + b - 1] - offsets[i]] = False
+                cleaned.append(data[offsets[i]: offsets[i + 1]][keep].tobytes().decode("utf-8", "replace"))
+            row0 += len(counts)
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cleaned, pa.string())], names=["row", "cleaned"])
+
+
+def _without_spans(documents: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """Spans of all blocks, found on the texts as they are, cut out at once."""
+    names = documents.columns
+    keyed = documents.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row")).withColumn(
+        "k", F.sha2(F.coalesce("text", F.lit("")), 256))
+    hits = _hits(keyed.select(F.lit(0).alias("doc_id"), "text", "k"), blocks)
+    merged = hits.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("raw"))
+    kind = keyed.schema["row"].dataType.simpleString()
+    cut = keyed.join(merged, "k", "left").select("text", "row", "raw").mapInArrow(_cut, f"row {kind}, cleaned string")
+    return cut.select(*[
+        F.coalesce("cleaned", "row.text").alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names])
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, items) per row of ``documents(doc_id, text)``.
 
@@ -154,14 +207,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         return docs.mapInArrow(_scan(shared, False), f"doc_id {kind}, {_SCAN}")
     # a large benchmark: one scan per block; rows are matched by id and content
     keyed = docs.withColumn("k", F.sha2(F.coalesce("text", F.lit("")), 256))
-    hits = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(WindowTable(block.collect()))
-        one = stored(keyed.mapInArrow(_scan(shared, False), f"doc_id {kind}, k string, {_SCAN}")
-                     .where("size(spans) > 0").select("k", "spans", "items").dropDuplicates(["k"]), "hits")
-        shared.unpersist()
-        hits = one if hits is None else hits.union(one)
-    merged = hits.groupBy("k").agg(
+    merged = _hits(keyed, blocks).groupBy("k").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = spark.sparkContext.broadcast(WindowTable([]))
@@ -188,12 +234,15 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFram
 def decontaminated(documents: DataFrame, benchmark: DataFrame, remove: str = "documents") -> DataFrame:
     """``documents`` without contaminated rows, or (``remove="spans"``) without the hit spans.
 
-    All columns stay. Needs a benchmark of at most MAX_WINDOWS distinct windows per
-    pass; larger ones are passed over the documents block by block.
+    All columns stay. A benchmark of more than MAX_WINDOWS distinct windows is passed
+    over the documents block by block; spans are cut only after all passes.
     """
     spark = documents.sparkSession
     out = documents
-    for block in _window_blocks(benchmark):
+    blocks = _window_blocks(benchmark)
+    if remove == "spans" and len(blocks) > 1:
+        return _without_spans(documents, blocks)
+    for block in blocks:
         shared = spark.sparkContext.broadcast(WindowTable(block.collect()))
         names = [f.name for f in out.schema.fields]
         wrapped = out.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))

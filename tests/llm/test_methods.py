@@ -128,6 +128,25 @@ def test_contamination_equals_brute_force(spark, make_docs, monkeypatch, limit):
     assert cleaned.count() == len(docs)
 
 
+def test_spans_of_many_blocks_are_cut_at_once(spark, make_docs, monkeypatch):
+    rng = random.Random(11)
+    item = [f"b{i}" for i in range(60)]
+    rows = [(None, None, "en", "s"), (0, "", "en", "s")]
+    for i in range(1, 30):
+        words = [f"É{rng.randrange(50)}" for _ in range(40)]
+        a = rng.randrange(45)
+        words[9:9] = item[a: a + rng.randrange(8, 16)]
+        rows += [(i, "; ".join(words), "en", "s")] * (1 + i % 2)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "é1 é2")], "item_id long, text string")
+    cleaned = []
+    for limit in (100_000, 7):
+        monkeypatch.setattr(decontam, "MAX_WINDOWS", limit)
+        out = decontam.decontaminated(make_docs(rows), bench, remove="spans")
+        assert out.columns == make_docs(rows).columns
+        cleaned.append(sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str))
+    assert cleaned[0] == cleaned[1] and len(cleaned[0]) == len(rows)
+
+
 def test_mix_meets_targets(spark, make_docs):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(0, 60), "en", f"s{i % 7 if i % 3 else 0}" if i % 11 else None) for i in range(400)]
