@@ -218,6 +218,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_confirmed(percent), "a binary, b binary")
 
 
+def _classes(batches):
+    """The class of each row, null for an empty set."""
+    for batch in _parts(batches):
+        names = [set_digest(s) if len(s) else None for s in shingle_sets(batch.column(0))]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(names, pa.binary())], names=["row", "cls"])
+
+
 def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``documents(doc_id, text)``.
 
@@ -226,6 +233,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
     take no part in linking (component_id null, kept). Rows that repeat share their
     component. Other columns are ignored.
     """
+    return _linked(documents, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(documents: DataFrame, percent: int) -> DataFrame:
+    """``near_duplicates`` with the class of each row; ``stays`` marks one class per component.
+
+    That is the class of the smallest doc_id, of several the one with the smallest
+    digest. Rows of the class with another doc_id do not stay; empty sets do.
+    """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stored(docs.mapInArrow(_sketches, SKETCH), "sketches")
     linked = sketch.where("cls is not null and doc_id is not null")
@@ -290,27 +306,40 @@ def near_duplicates(documents: DataFrame, percent: int = 85) -> DataFrame:
 
     least = stored(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left")
                    .select("cls", "rep", F.coalesce("root", "cls").alias("root")), "roots")
-    head = least.groupBy("root").agg(F.min("rep").alias("component"))
-    named = least.join(head, "root").select("cls", "component")
+    head = least.groupBy("root").agg(F.min(F.struct("rep", "cls")).alias("head"))
+    named = least.join(head, "root").select(
+        "cls", F.col("head.rep").alias("component"), (F.col("cls") == F.col("head.cls")).alias("first"))
     out = sketch.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "cls", component.alias("component_id"), "first").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).withColumn(
+        "stays", F.col("kept") & F.coalesce("first", F.lit(True))).drop("first")
 
 
 def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` that stay: of each group the smallest doc_id, once.
+    """The rows of ``documents`` that stay: one of each group, with its smallest doc_id.
 
-    Rows without doc_id stay, all columns stay. Of rows that repeat a doc_id one is kept.
+    Rows without doc_id stay, all columns stay. Rows are told apart by doc_id and
+    class, so rows of other groups stay although a doc_id clashes. Of rows with one
+    doc_id and equal sets (empty ones too) the one whose JSON form has the smallest
+    digest is kept.
     """
-    found = near_duplicates(documents, percent).where("doc_id is not null")
-    ids = stored(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "ids")
+    found = _linked(documents, percent).where("doc_id is not null")
+    pairs = stored(found.groupBy("doc_id", "cls").agg(F.max("stays").alias("stays"), F.count("*").alias("n")), "pairs")
+    ids = stored(pairs.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.sum("n").alias("n"))
+                 .where("not stays or n > 1"), "ids")
     # the same plan at every size: the dropped ids grow with the corpus, so they are never broadcast
-    gone = ids.where("not kept").select(F.col("doc_id").alias("gone")).hint("merge")
-    match = documents["doc_id"] == F.col("gone")
-    left = documents.join(gone, match, "left_anti")
-    again = stored(ids.where("kept and n > 1").select(F.col("doc_id").alias("again")), "repeated")
+    gone = ids.select(F.col("doc_id").alias("gone")).hint("merge")
+    left = documents.join(gone, documents["doc_id"] == F.col("gone"), "left_anti")
+    again = stored(ids.where("stays and n > 1").select(F.col("doc_id").alias("again")), "repeated")
     if again.isEmpty():
         return left
-    repeats = left["doc_id"] == F.col("again")
-    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates(["doc_id"]))
+    names = documents.columns
+    several = documents.join(again, documents["doc_id"] == F.col("again"), "left_semi").select(
+        F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
+    kind = several.schema["row"].dataType.simpleString()
+    told = several.mapInArrow(_classes, f"row {kind}, cls binary").withColumn("id", F.col("row.doc_id").cast("long"))
+    staying = pairs.where("stays").select(F.col("doc_id").alias("again"), F.col("cls").alias("own"))
+    one = (told.join(staying, (F.col("id") == F.col("again")) & F.col("cls").eqNullSafe(F.col("own")), "left_semi")
+           .groupBy("id", "cls").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row")))
+    return left.unionByName(one.select(*[F.col("row").getField(n).alias(n) for n in names]))

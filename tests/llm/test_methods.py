@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketlake.llm import ann, bytetext, decontam, langid, licenses, mixing, neardup, quality, secret_scan, toxicity, warc
 from llm_fixtures import make_docs, prose, shipped  # noqa: F401
@@ -81,6 +82,23 @@ def test_near_duplicates_equal_brute_force(spark, make_docs, monkeypatch, small,
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_clashing_ids_lose_no_other_text(spark, make_docs):
+    """Rows of one doc_id fall only with rows of their own component."""
+    copy = prose(1, 80)
+    near = copy + " more"
+    other, third = prose(2, 80), prose(3, 80)
+    rows = [(3, copy, "en", "a"), (7, other, "en", "a"), (7, near, "en", "a"), (9, other, "en", "a"), (9, third, "en", "b"),
+            (9, third, "en", "a"), (11, "", "en", "a"), (11, prose(5, 80), "en", "a"), (None, copy, "en", "a"),
+            (1, prose(6, 80), "en", "a"), (1, prose(6, 80) + " end", "en", "a")]
+    docs = make_docs(rows)
+    want = [(3, copy), (7, other), (9, third), (11, ""), (11, prose(5, 80)), (None, copy)]
+    outs = [sorted(map(tuple, neardup.deduplicated(d).select("doc_id", "text", "source").collect()), key=str)
+            for d in (docs, docs.repartition(5), docs.orderBy(F.desc("source"), F.desc("text")))]
+    assert outs[0] == outs[1] == outs[2]
+    assert sorted([r[:2] for r in outs[0] if r[0] != 1], key=str) == sorted(want, key=str)
+    assert len(outs[0]) == len(want) + 1 and neardup.deduplicated(docs).columns == docs.columns
+
+
 def test_densification_fills_alike():
     rng = np.random.default_rng(0)
     few = np.sort(rng.integers(0, 1 << 63, 9, dtype=np.uint64))
