@@ -110,7 +110,7 @@ def mixed_rows(documents: DataFrame, seed: int = 17) -> DataFrame:
     sources = placed.groupBy("source").agg(*[F.first(c).alias(c) for c in ("source_size", "target", "epochs")])
     known = stored(sources.join(shared, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("of"), "source_size", "target", "epochs", "at",
-        (F.col("rest") - F.col("ahead")).alias("words"), "copies").coalesce(1), "cuts")
+        (F.col("rest") - F.col("ahead")).alias("words"), "copies"), "cuts")
     rows = _keyed(documents, seed, F.struct(*documents.columns).alias("row")).withColumn("place", place)
     out = rows.join(known, F.col("source").eqNullSafe(F.col("of")))
     part = (F.when(F.col("at").isNull() | (F.col("place") < F.col("at")), F.col("size"))

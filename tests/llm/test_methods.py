@@ -205,6 +205,13 @@ def test_repeated_rows_share_the_cut(make_docs):
     assert len(out) == 6 and len(set(taken)) == 1 and target - 5 < sum(taken) <= target
 
 
+def test_cuts_are_not_written_by_one_task(make_docs, monkeypatch):
+    plans, write = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().logical().toString()), write(df, name))[1])
+    mixing.mixed_rows(make_docs([(i, "w " * i, "en", f"s{i}") for i in range(20)]))
+    assert len(plans) >= 3 and not any("Repartition 1," in p for p in plans)
+
+
 def test_languages_on_planted_alphabets(make_docs):
     rng = random.Random(4)
     syllables = {"aa": ["ka", "to", "mi"], "bb": ["sch", "ung", "ein"], "cc": ["eau", "oi", "é"]}
