@@ -36,7 +36,7 @@ def heavy_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HEAVY_ROWS) -
             F.expr(f"approx_top_k_accumulate(h, {SKETCH_ITEMS})").alias("sketch"),
         )
     )
-    found = partial.agg(
+    found = partial.groupBy(F.lit(0).alias("all")).agg(  # without rows there is no sketch to combine
         F.sum("n").alias("total"),
         F.expr(f"approx_top_k_combine(sketch, {SKETCH_ITEMS})").alias("sketch"),
     ).select("total", F.expr(f"approx_top_k_estimate(sketch, {MAX_HEAVY})").alias("top"))
