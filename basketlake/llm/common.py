@@ -31,6 +31,11 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], totals: di
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(
         df.repartitionByRange(n, *group, *order).withColumn("_chunk", F.spark_partition_id()), "chunks")
+    return chunk_totals(cut, group, order, totals)
+
+
+def chunk_totals(cut: DataFrame, group: list[str], order: list[str], totals: dict[str, str]) -> DataFrame:
+    """:func:`running_totals` of rows already cut into chunks: those of a lower ``_chunk`` come first."""
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*group, "_chunk").agg(*[F.sum(v).alias(f"_s_{k}") for k, v in totals.items()])
     bases = sums.select(
@@ -44,7 +49,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], totals: di
     joined = local.join(bases, match)
     for k in totals:
         joined = joined.withColumn(k, F.col(f"_l_{k}") + F.col(f"_b_{k}"))
-    return joined.select(*df.columns, *totals)
+    return joined.select(*[c for c in cut.columns if c != "_chunk"], *totals)
 
 
 def components(edges: DataFrame) -> DataFrame:

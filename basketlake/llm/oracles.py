@@ -139,7 +139,44 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20"""
 
 
+#: CRC-32 of the ASCII text ``x``: bit by bit, the reflected polynomial 0xEDB88320.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, len(x) + 1), lambda i: ord(x[i])::UBIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))),
+    4294967295)"""
+
+_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), counts AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS x FROM turns GROUP BY conv_id
+), heads AS (SELECT conv_id, conv_id - conv_id % 5 AS base, CAST(({_CRC32}) % 9 AS BIGINT) AS h FROM counts
+), taken AS (SELECT a.*, least(h, coalesce(n, 0)) AS m FROM heads a LEFT JOIN counts b ON b.conv_id = a.base
+), rebuilt AS (
+  SELECT a.conv_id, t.i AS d, role, text FROM taken a JOIN turns t ON t.conv_id = a.base AND t.i <= h
+  UNION ALL SELECT a.conv_id, t.i - h + m, role, text FROM taken a JOIN turns t ON t.conv_id = a.conv_id AND t.i > h
+), cells AS (
+  SELECT conv_id, d, octet_length(encode(text)) AS bytes,
+    md5(string_agg(md5(role) || md5(text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, '' FROM heads
+), nodes AS (
+  SELECT key, d, min(conv_id) AS c, count(*) AS n, min(bytes) AS bytes FROM cells GROUP BY key, d
+), linked AS (
+  SELECT n.*, u.key AS up, p.c AS up_c FROM nodes n LEFT JOIN cells u ON u.conv_id = n.c AND u.d = n.d - 1 LEFT JOIN nodes p ON p.key = u.key
+), kids AS (SELECT up AS key, count(*) AS k FROM linked WHERE up IS NOT NULL GROUP BY up
+), under AS (
+  SELECT a.key, sum((b.n - 1) * b.bytes) AS saved, count(*) FILTER (WHERE k.k IS NULL) AS leaves
+  FROM nodes b JOIN cells a ON a.conv_id = b.c AND a.d <= b.d LEFT JOIN kids k ON k.key = b.key GROUP BY a.key
+), lasts AS (SELECT conv_id, arg_max(key, d) AS key FROM cells GROUP BY conv_id
+), ends AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS s FROM lasts GROUP BY key
+)
+SELECT c AS conv_id, CAST(d AS BIGINT) AS depth, up_c AS parent_conv_id, n AS n_convs, CAST(coalesce(k, 0) AS BIGINT) AS n_children,
+  CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(s, '')) AS ends_sha256
+FROM linked LEFT JOIN kids USING (key) JOIN under USING (key) LEFT JOIN ends USING (key)"""
+
+
 SQL = {
+    "op11_prefix_trie": _TRIE,
     "op2_neighbours": _NEIGHBOURS,
     "op1_mixing": mixing_sql("documents"),
     "op8_licenses": license_sql("documents"),

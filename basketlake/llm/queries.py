@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlake.llm import oracles
 from basketlake.llm.ann import nearest
+from basketlake.llm.bpe import token_digest
 from basketlake.llm.decontam import contamination_digest
 from basketlake.llm.langid import identify
 from basketlake.llm.licenses import license_scan
 from basketlake.llm.mixing import mixed
 from basketlake.llm.neardup import near_duplicates
+from basketlake.llm.periodic import periodic_runs, repeated_part, run_digest
 from basketlake.llm.quality import quality
 from basketlake.llm.secret_scan import secret_spans
 from basketlake.llm.toxicity import toxicity
+from basketlake.llm.trie import shared_head_trie
 from basketlake.llm.warc import round_trip
 from basketlake.session import ship_package
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -63,6 +69,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), repeated_part))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_neighbours": op2_neighbours,
@@ -74,5 +92,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_toxicity": op9_toxicity,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
