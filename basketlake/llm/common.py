@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLICE = 1 << 21  # bytes of text a Python worker handles and hands back at once
+
+
+def quoted(names: list[str]) -> list[str]:
+    """Column references that also hold for names with dots and backticks."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
+def text_slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``SLICE`` bytes of the string column ``at`` (or one longer text)."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    row = 0
+    while row < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE, side="right"))
+        end = max(end, row + 1)
+        yield batch.slice(row, end - row)
+        row = end
+
+
+def changed_rows(documents: DataFrame, change: Callable) -> DataFrame:
+    """Rows of ``documents`` that ``change`` keeps, with the texts it gives, all columns.
+
+    ``change(texts)`` takes a string array and returns (keep, texts): a boolean array or
+    None for all, and a string array or None for no change. A row crosses to Python and
+    back once, in slices of bounded size; rows that are not kept do not come back.
+    Columns may have any names; ``text`` comes back as a string.
+    """
+    names = documents.columns
+    at = names.index("text")
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = plain.withColumn(f"c{at}", F.col(f"c{at}").cast("string"))
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, at):
+                keep, texts = change(part.column(at))
+                if texts is not None:
+                    part = part.set_column(at, part.schema.field(at), texts)
+                yield part if keep is None else part.filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def in_fold(doc_id: Column) -> Column:
     """True for held-out rows, false for a missing id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

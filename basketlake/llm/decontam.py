@@ -13,11 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.llm import bytetext
-from basketlake.llm.common import stored
+from basketlake.llm.common import changed_rows, quoted, stored, text_slices
 
 WINDOW = 10
 MAX_WINDOWS = 100_000  #: rows of one broadcast block, about 10 MB of text
@@ -83,48 +84,59 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _SCAN = "n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _scan(shared, clean: bool):
+def _found(windows: WindowTable, text: pa.Array):
+    """(words, hit runs, items, bytes without the runs or None) of each text."""
+    for _, data, offsets in bytetext.blocks(text):
+        starts, ends, rows, counts = bytetext.word_spans(data, offsets, bytetext.ALNUM_WORD)
+        words = bytetext.word_hashes(data, starts, ends)
+        cover = np.zeros(len(words) + 1, dtype=np.int32)
+        items: dict[int, set] = {}
+        for p, size, names_of in windows.hits(data, starts, ends, words, rows):
+            cover[p] += 1
+            cover[p + size] -= 1
+            items.setdefault(int(rows[p]), set()).update(names_of)
+        hit = np.cumsum(cover[:-1]) > 0
+        first = np.concatenate(([0], np.cumsum(counts)))
+        for i, count in enumerate(counts):
+            if i not in items:
+                yield int(count), [], [], None
+                continue
+            own = np.concatenate(([False], hit[first[i]: first[i + 1]], [False]))
+            runs = [(int(a), int(b)) for a, b in np.flatnonzero(own[1:] != own[:-1]).reshape(-1, 2)]
+            keep = np.ones(offsets[i + 1] - offsets[i], bool)
+            for a, b in runs:
+                keep[starts[first[i] + a] - offsets[i]: ends[first[i] + b - 1] - offsets[i]] = False
+            yield int(count), runs, sorted(items[i]), data[offsets[i]: offsets[i + 1]][keep]
+
+
+def _scan(shared):
+    """Batches whose column ``text`` gives way to what is found in it."""
     def run(batches):
-        windows = shared.value
         for batch in batches:
             names = batch.schema.names
-            text = batch.column(names.index("text"))
-            n_words, spans, found, cleaned = [], [], [], []
-            for _, data, offsets in bytetext.blocks(text):
-                starts, ends, rows, counts = bytetext.word_spans(data, offsets, bytetext.ALNUM_WORD)
-                words = bytetext.word_hashes(data, starts, ends)
-                cover = np.zeros(len(words) + 1, dtype=np.int32)
-                items: dict[int, set] = {}
-                for p, size, names_of in windows.hits(data, starts, ends, words, rows):
-                    cover[p] += 1
-                    cover[p + size] -= 1
-                    items.setdefault(int(rows[p]), set()).update(names_of)
-                hit = np.cumsum(cover[:-1]) > 0
-                first = np.concatenate(([0], np.cumsum(counts)))
-                for i, count in enumerate(counts):
-                    n_words.append(int(count))
-                    runs = []
-                    if i in items:
-                        own = np.concatenate(([False], hit[first[i]: first[i + 1]], [False]))
-                        edge = np.flatnonzero(own[1:] != own[:-1])
-                        runs = [(int(a), int(b)) for a, b in edge.reshape(-1, 2)]
+            for part in text_slices(batch, names.index("text")):
+                n_words, spans, found = [], [], []
+                for count, runs, items, _ in _found(shared.value, part.column(names.index("text"))):
+                    n_words.append(count)
                     spans.append([{"start": a, "end": b} for a, b in runs])
-                    found.append(sorted(items.get(i, ())))
-                    if clean:
-                        raw, keep = data[offsets[i]: offsets[i + 1]], np.ones(offsets[i + 1] - offsets[i], bool)
-                        for a, b in runs:
-                            keep[starts[first[i] + a] - offsets[i]: ends[first[i] + b - 1] - offsets[i]] = False
-                        cleaned.append(raw[keep].tobytes().decode("utf-8", "replace") if runs else None)
-            columns = [c for n, c in zip(names, batch.columns) if n != "text"]
-            columns += [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))]
-            labels = [n for n in names if n != "text"] + ["n_words", "spans", "items"]
-            if clean:
-                columns.append(pa.array(cleaned, pa.string()))
-                labels.append("cleaned")
-            yield pa.RecordBatch.from_arrays(columns, names=labels)
+                    found.append(items)
+                columns = [c for n, c in zip(names, part.columns) if n != "text"]
+                columns += [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(found, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[n for n in names if n != "text"] + ["n_words", "spans", "items"])
     return run
 
 
+def _removed(shared, spans: bool):
+    """Keeps the texts without a hit, or cuts the hit runs out of all."""
+    def change(texts):
+        found = list(_found(shared.value, texts))
+        if not spans:
+            return [not runs for _, runs, _, _ in found], None
+        cut = [None if left is None else left.tobytes().decode("utf-8", "replace") for _, _, _, left in found]
+        return None, pa.compute.coalesce(pa.array(cut, pa.string()), texts)
+    return change
+
+
 def _window_blocks(benchmark: DataFrame) -> list[DataFrame]:
     """The distinct windows, as tables of at most about MAX_WINDOWS rows."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
@@ -144,7 +156,7 @@ def _hits(keyed: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     hits = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(WindowTable(block.collect()))
-        one = stored(keyed.mapInArrow(_scan(shared, False), f"doc_id {kind}, k string, {_SCAN}")
+        one = stored(keyed.mapInArrow(_scan(shared), f"doc_id {kind}, k string, {_SCAN}")
                      .where("size(spans) > 0").select("k", "spans", "items").dropDuplicates(["k"]), "hits")
         shared.unpersist()
         hits = one if hits is None else hits.union(one)
@@ -180,7 +192,7 @@ def _cut(batches):
 def _without_spans(documents: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     """Spans of all blocks, found on the texts as they are, cut out at once."""
     names = documents.columns
-    keyed = documents.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row")).withColumn(
+    keyed = documents.select(F.col("text").cast("string").alias("text"), F.struct(*quoted(names)).alias("row")).withColumn(
         "k", F.sha2(F.coalesce("text", F.lit("")), 256))
     hits = _hits(keyed.select(F.lit(0).alias("doc_id"), "text", "k"), blocks)
     merged = hits.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("raw"))
@@ -204,14 +216,14 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = _window_blocks(benchmark)
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(WindowTable(blocks[0].collect()))
-        return docs.mapInArrow(_scan(shared, False), f"doc_id {kind}, {_SCAN}")
+        return docs.mapInArrow(_scan(shared), f"doc_id {kind}, {_SCAN}")
     # a large benchmark: one scan per block; rows are matched by id and content
     keyed = docs.withColumn("k", F.sha2(F.coalesce("text", F.lit("")), 256))
     merged = _hits(keyed, blocks).groupBy("k").agg(
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("raw"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = spark.sparkContext.broadcast(WindowTable([]))
-    base = keyed.mapInArrow(_scan(none, False), f"doc_id {kind}, k string, {_SCAN}").select("doc_id", "k", "n_words")
+    base = keyed.mapInArrow(_scan(none), f"doc_id {kind}, k string, {_SCAN}").select("doc_id", "k", "n_words")
     empty = "cast(array() as array<struct<start:int,end:int>>)"
     spans = F.expr(f"""coalesce(aggregate(raw, {empty}, (acc, x) ->
         CASE WHEN size(acc) > 0 AND element_at(acc, -1).end >= x.start
@@ -244,15 +256,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, remove: str = "do
         return _without_spans(documents, blocks)
     for block in blocks:
         shared = spark.sparkContext.broadcast(WindowTable(block.collect()))
-        names = [f.name for f in out.schema.fields]
-        wrapped = out.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
-        kind = wrapped.schema["row"].dataType.simpleString()
-        scanned = wrapped.mapInArrow(_scan(shared, remove == "spans"), f"row {kind}, {_SCAN}" + (", cleaned string" if remove == "spans" else ""))
-        if remove == "spans":
-            out = scanned.select(*[
-                F.coalesce("cleaned", "row.text").alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names])
-        else:
-            out = scanned.where("size(spans) = 0").select(*[F.col("row").getField(n).alias(n) for n in names])
+        out = changed_rows(out, _removed(shared, remove == "spans"))
     return out
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlake.llm.common import running_totals, stored
+from basketlake.llm.common import quoted, running_totals, stored
 
 # Fixed values of the mix
 BLANK_WORD = r"[^\x20\x09-\x0D]+"
@@ -111,7 +111,7 @@ def mixed_rows(documents: DataFrame, seed: int = 17) -> DataFrame:
     known = stored(sources.join(shared, F.col("source").eqNullSafe(F.col("of")), "left").select(
         F.col("source").alias("of"), "source_size", "target", "epochs", "at",
         (F.col("rest") - F.col("ahead")).alias("words"), "copies"), "cuts")
-    rows = _keyed(documents, seed, F.struct(*documents.columns).alias("row")).withColumn("place", place)
+    rows = _keyed(documents, seed, F.struct(*quoted(documents.columns)).alias("row")).withColumn("place", place)
     out = rows.join(known, F.col("source").eqNullSafe(F.col("of")))
     part = (F.when(F.col("at").isNull() | (F.col("place") < F.col("at")), F.col("size"))
             .when(F.col("place") == F.col("at"), F.floor(F.col("words") / F.col("copies"))).otherwise(0))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.llm import bytetext
-from basketlake.llm.common import components, stored
+from basketlake.llm.common import components, quoted, stored
 
 SHINGLE = 5
 BANDS, ROWS = 36, 5
@@ -336,7 +336,7 @@ def deduplicated(documents: DataFrame, percent: int = 80) -> DataFrame:
         return left
     names = documents.columns
     several = documents.join(again, documents["doc_id"] == F.col("again"), "left_semi").select(
-        F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
+        F.col("text").cast("string").alias("text"), F.struct(*quoted(names)).alias("row"))
     kind = several.schema["row"].dataType.simpleString()
     told = several.mapInArrow(_classes, f"row {kind}, cls binary").withColumn("id", F.col("row.doc_id").cast("long"))
     staying = pairs.where("stays").select(F.col("doc_id").alias("again"), F.col("cls").alias("own"))

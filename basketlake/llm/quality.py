@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.llm import bytetext
-from basketlake.llm.common import stored
+from basketlake.llm.common import changed_rows, stored, text_slices
 
 SAMPLE = 20_000
 BUCKETS = 1 << 11
@@ -184,23 +184,26 @@ def _fit(posterior: dict[int, float]):
     return run
 
 
+def _scores(text: pa.Array, weights: np.ndarray, posterior: dict[int, float]):
+    """(words, posterior, score) of each text."""
+    sizes, likely, scores = [np.zeros(0, np.int64)], [], [np.zeros(0)]
+    for _, data, offsets in bytetext.blocks(text):
+        features, counts, (where, bucket, share) = text_features(data, offsets)
+        raw = np.bincount(where, weights=np.sqrt(share) * weights[bucket], minlength=len(counts)) + weights[-1]
+        scores.append(np.where(counts == 0, 0.0, 1 / (1 + np.exp(-np.clip(raw, -30, 30)))))
+        sizes.append(counts)
+        likely += [posterior.get(int(p), 0.5) for p in votes(features, counts) @ _POWERS]
+    return np.concatenate(sizes), likely, np.concatenate(scores)
+
+
 def _scored(shared):
     def run(batches):
-        weights, posterior = shared.value
         for batch in batches:
-            names = batch.schema.names
-            sizes, likely, scores = [], [], []
-            for _, data, offsets in bytetext.blocks(batch.column(names.index("text"))):
-                features, counts, (where, bucket, share) = text_features(data, offsets)
-                raw = np.bincount(where, weights=np.sqrt(share) * weights[bucket], minlength=len(counts)) + weights[-1]
-                scores.append(np.where(counts == 0, 0.0, 1 / (1 + np.exp(-np.clip(raw, -30, 30)))))
-                sizes.append(counts)
-                likely += [posterior.get(int(p), 0.5) for p in votes(features, counts) @ _POWERS]
-            flat = np.concatenate(scores) if scores else np.zeros(0)
-            columns = [c for k, c in zip(names, batch.columns) if k != "text"]
-            columns += [pa.array(np.concatenate(sizes) if sizes else np.zeros(0), pa.int64()), pa.array(likely, pa.float64()),
-                        pa.array(flat), pa.array(flat >= THRESHOLD)]
-            yield pa.RecordBatch.from_arrays(columns, names=[k for k in names if k != "text"] + ["n_words", "posterior", "score", "kept"])
+            for part in text_slices(batch, 1):
+                sizes, likely, scores = _scores(part.column(1), *shared.value)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(likely, pa.float64()), pa.array(scores), pa.array(scores >= THRESHOLD)],
+                    names=["doc_id", "n_words", "posterior", "score", "kept"])
     return run
 
 
@@ -237,8 +240,4 @@ def quality(documents: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame) -> DataFrame:
     """The rows of ``documents`` that the scorer keeps, all columns."""
     shared = documents.sparkSession.sparkContext.broadcast(train(documents))
-    names = documents.columns
-    wrapped = documents.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
-    kind = wrapped.schema["row"].dataType.simpleString()
-    scored = wrapped.mapInArrow(_scored(shared), f"row {kind}, n_words long, posterior double, score double, kept boolean")
-    return scored.where("kept").select(*[F.col("row").getField(n).alias(n) for n in names])
+    return changed_rows(documents, lambda texts: (_scores(texts, *shared.value)[2] >= THRESHOLD, None))

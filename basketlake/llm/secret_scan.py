@@ -15,12 +15,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake.llm import bytetext
+from basketlake.llm.common import changed_rows, stored, text_slices
 
 SAMPLE = 12_000  #: texts, about, whose windows train the field
+WINDOWS = 24_000  #: distinct training windows, about; a bound of the fit only
+STEP_WINDOWS = 2048  #: windows of one step of the fit
 REACH = 8  #: tokens on each side of a training window's middle
 
 # Patterns of the base kinds, the shortest that counts, their order
@@ -132,58 +136,64 @@ def _log_sum(x, axis):
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit_field(features: np.ndarray, tags: np.ndarray, steps: int = 150):
+def fit_field(features: np.ndarray, tags: np.ndarray, counts: np.ndarray | None = None, steps: int = 240):
     """(weights per group, transitions) by Adam on the negative log-likelihood.
 
-    features: windows x tokens x groups; tags: windows x tokens.
+    features: windows x tokens x groups; tags: windows x tokens; counts: how often each
+    window occurs. A step sees ``STEP_WINDOWS`` windows, in a fixed shuffled order, and
+    the last third of the steps shrinks, so that their noise averages out.
     """
-    n, length, groups = features.shape
-    weights = [np.zeros((size, 3)) for size in SIZES]
+    total, length, groups = features.shape
+    share = np.ones(total) if counts is None else counts / counts.mean()
+    order = np.random.default_rng(0).permutation(total)
+    size = min(total, STEP_WINDOWS)
+    weights = [np.zeros((s, 3)) for s in SIZES]
     moves = np.zeros((3, 3))
     moves[OUTSIDE, INSIDE] = -4.0
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in [*weights, moves]]
-    gold = np.eye(3)[tags]
-    pairs = np.einsum("nta,ntb->ab", gold[:, :-1], gold[:, 1:])
     for step in range(1, steps + 1):
-        emit = sum(weights[g][features[:, :, g]] for g in range(groups))
-        ahead, back = np.zeros((n, length, 3)), np.zeros((n, length, 3))
+        chosen = np.take(order, np.arange((step - 1) * size, step * size), mode="wrap")
+        x, w = features[chosen], share[chosen][:, None, None] / size
+        gold = np.eye(3)[tags[chosen]]
+        emit = sum(weights[g][x[:, :, g]] for g in range(groups))
+        ahead, back = np.zeros((size, length, 3)), np.zeros((size, length, 3))
         ahead[:, 0] = emit[:, 0]
         for t in range(1, length):
             ahead[:, t] = emit[:, t] + _log_sum(ahead[:, t - 1][:, :, None] + moves, 1)
         for t in range(length - 2, -1, -1):
             back[:, t] = _log_sum(moves + (emit[:, t + 1] + back[:, t + 1])[:, None, :], 2)
         whole = _log_sum(ahead[:, -1], 1)
-        marginal = np.exp(ahead + back - whole[:, None, None])
+        error = (np.exp(ahead + back - whole[:, None, None]) - gold) * w
         joint = np.exp(ahead[:, :-1, :, None] + moves + (emit[:, 1:] + back[:, 1:])[:, :, None, :] - whole[:, None, None, None])
         gradients = []
         for g in range(groups):
-            slope = np.zeros_like(weights[g])
-            flat, error = features[:, :, g].reshape(-1), (marginal - gold).reshape(-1, 3)
-            for c in range(3):
-                slope[:, c] = np.bincount(flat, weights=error[:, c], minlength=len(slope))
-            gradients.append(slope / n + RIDGE[g] * weights[g])
-        gradients.append((joint.sum((0, 1)) - pairs) / n + 2e-4 * moves)
+            flat = x[:, :, g].reshape(-1)
+            slope = np.stack([np.bincount(flat, weights=error[:, :, c].reshape(-1), minlength=len(weights[g])) for c in range(3)], axis=1)
+            gradients.append(slope + RIDGE[g] * weights[g])
+        pairs = np.einsum("nta,ntb,n->ab", gold[:, :-1], gold[:, 1:], w[:, 0, 0])
+        gradients.append(np.einsum("ntab,n->ab", joint, w[:, 0, 0]) - pairs + 2e-4 * moves)
+        rate = 0.1 * min(1.0, 3 * (1 - (step - 1) / steps))
         for i, slope in enumerate(gradients):
             first, second = state[i]
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope * slope
             state[i] = first, second
-            step_ = 0.1 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
+            change = rate * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
             if i < groups:
-                weights[i] = weights[i] - step_
+                weights[i] = weights[i] - change
             else:
-                moves = moves - step_
+                moves = moves - change
     return weights, moves
 
 
 def _fit(batches):
-    features, tags = [], []
+    windows, tags, counts = [], [], []
     for batch in batches:
-        if len(batch):
-            tags.append(batch.column(1).flatten().to_numpy().reshape(len(batch), -1))
-            features.append(batch.column(0).flatten().to_numpy().reshape(len(batch), tags[-1].shape[1], len(SIZES)))
-    if features:
-        weights, moves = fit_field(np.concatenate(features), np.concatenate(tags))
+        windows.append(batch.column(0).flatten().to_numpy().reshape(batch.num_rows, 2 * REACH + 1, len(SIZES)))
+        tags.append(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, 2 * REACH + 1))
+        counts.append(batch.column(2).to_numpy())
+    if counts:
+        weights, moves = fit_field(np.concatenate(windows), np.concatenate(tags), np.concatenate(counts))
         flat = np.concatenate([w.reshape(-1) for w in weights] + [moves.reshape(-1)])
         yield pa.RecordBatch.from_arrays([pa.array([flat.tolist()], pa.list_(pa.float64()))], names=["flat"])
 
@@ -253,14 +263,26 @@ class Field:
         return found
 
 
+def _drawn(rows: DataFrame, keep: int, *by) -> DataFrame:
+    """About ``keep`` of the rows, drawn by a digest of ``by`` alone."""
+    n = rows.count()
+    part = 1 << 30 if n <= keep else int(keep / n * (1 << 30))
+    return rows.where(F.pmod(F.xxhash64(*by, F.lit("secrets")), F.lit(1 << 30)) < part)
+
+
 def train(documents: DataFrame) -> Field:
-    """Fit on windows of about SAMPLE texts, drawn by a digest of id and length."""
-    n = documents.count()
-    part = 1 << 30 if n <= SAMPLE else int(SAMPLE / n * (1 << 30))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.length("text"), F.lit("secrets")), F.lit(1 << 30)) < part
-    fitted = (documents.where(chosen & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"))
-              .mapInArrow(_windows, "features array<int>, tags array<int>").repartition(1)
-              .mapInArrow(_fit, "flat array<double>").first())
+    """Fit on about WINDOWS distinct windows of about SAMPLE texts.
+
+    Both draws go by digests of content, so they do not depend on where rows lie. Equal
+    windows are counted and weigh so much: neither a text full of secrets nor a hot
+    group of copies brings more rows to the one task that fits.
+    """
+    sample = _drawn(documents, SAMPLE, F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    windows = stored(sample.where("text IS NOT NULL").select(F.col("text").cast("string").alias("text"))
+                     .mapInArrow(_windows, "features array<int>, tags array<int>")
+                     .groupBy("features", "tags").agg(F.count(F.lit(1)).cast("double").alias("n")), "windows")
+    fitted = _drawn(windows, WINDOWS, "features", "tags").repartition(1).sortWithinPartitions("features", "tags").mapInArrow(
+        _fit, "flat array<double>").first()
     return Field(np.array(fitted["flat"]) if fitted else None)
 
 
@@ -296,7 +318,7 @@ _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 def _scan(shared):
     def run(batches):
         field = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole, 1)):
             counts, digests, spans = ([], [], []), [], []
             for _, data, offsets in bytetext.blocks(batch.column(1)):
                 for raw, base, every in all_spans(data, offsets, field):
@@ -328,28 +350,20 @@ MASK = b"[SECRET]"
 
 
 def _masked(shared):
-    def run(batches):
-        field = shared.value
-        for batch in batches:
-            texts = []
-            for _, data, offsets in bytetext.blocks(batch.column(0)):
-                for raw, _, every in all_spans(data, offsets, field):
-                    out, last = [], 0
-                    for _, a, b in sorted(every, key=lambda s: s[1]):
-                        if a >= last:
-                            out += [raw[last:a], MASK]
-                        last = max(last, b)
-                    texts.append(b"".join([*out, raw[last:]]).decode("utf-8", "replace") if every else None)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], names=["row", "masked"])
-    return run
+    def change(texts):
+        out = []
+        for _, data, offsets in bytetext.blocks(texts):
+            for raw, _, every in all_spans(data, offsets, shared.value):
+                parts, last = [], 0
+                for _, a, b in sorted(every, key=lambda s: s[1]):
+                    if a >= last:
+                        parts += [raw[last:a], MASK]
+                    last = max(last, b)
+                out.append(b"".join([*parts, raw[last:]]).decode("utf-8", "replace") if every else None)
+        return None, pa.compute.coalesce(pa.array(out, pa.string()), texts)
+    return change
 
 
 def masked(documents: DataFrame) -> DataFrame:
     """``documents`` with every span replaced by a mark; all other columns as they are."""
-    shared = documents.sparkSession.sparkContext.broadcast(train(documents))
-    names = documents.columns
-    wrapped = documents.select(F.col("text").cast("string").alias("text"), F.struct(*names).alias("row"))
-    kind = wrapped.schema["row"].dataType.simpleString()
-    done = wrapped.mapInArrow(_masked(shared), f"row {kind}, masked string")
-    return done.select(*[
-        F.coalesce("masked", F.col("row").getField(n)).alias(n) if n == "text" else F.col("row").getField(n).alias(n) for n in names])
+    return changed_rows(documents, _masked(documents.sparkSession.sparkContext.broadcast(train(documents))))
