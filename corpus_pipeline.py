@@ -29,16 +29,26 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark; n_chars follows the text."""
+    """All documents, secrets replaced by a mark; n_chars, if there, follows the text."""
     ship_package(spark)
-    return secret_scan.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = secret_scan.masked(docs)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with the words taken of each (repeats counted)."""
+    """Documents of the mix, with the words taken of each (repeats counted).
+
+    Columns that already bear the name of a figure, in any case, give way to it.
+    """
     mix = mixing.mixed_rows(docs).where("taken > 0")
-    return mix.select(*[F.col("row").getField(n).alias(n) for n in docs.columns], "size", "source_size", "target", "taken")
+    carried = [n for n in docs.columns if n.lower() not in FIGURES]
+    return mix.select(*[F.col("row").getField(n).alias(n) for n in carried], *FIGURES)
+
 
+#: What the last stage adds.
+FIGURES = ("size", "source_size", "target", "taken")
 
 STAGES = [
     ("quality", keep_quality),
