@@ -24,7 +24,6 @@ from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_clicks, as_landed
 from basketlake.streaming import followups as live_followups
-from basketlake.streaming.run import drain
 from basketlake.streaming.silver import event_stream_to_silver, start_click_stream, stored_silver
 from basketlake.streaming.trades import start_trade_stream
 
@@ -799,14 +798,22 @@ def _(lk: Lake):
     return stored_silver(lk.spark, f"{base}/out/silver")
 
 
+def _followed_up(lk: Lake, kind: str) -> DataFrame:
+    """Messages of the follow-up query with its ledger, run to the end of the table."""
+    base = scratch_path(lk.spark, kind)
+    live_followups.start_followups(
+        _click_stream(lk), f"{base}/out", f"{base}/progress", {"availableNow": True}, kinds=[kind]).awaitTermination()
+    return live_followups.read_messages(lk.spark, f"{base}/out", kind)
+
+
 @query("stream_cart_reminders", _REMINDER_SQL)
 def _(lk: Lake):
-    return drain(live_followups.cart_reminders(_click_stream(lk)), "reminders")
+    return _followed_up(lk, "reminder")
 
 
 @query("stream_cart_offers", _OFFER_SQL)
 def _(lk: Lake):
-    return drain(live_followups.cart_offers(_click_stream(lk)), "offers")
+    return _followed_up(lk, "offer")
 
 
 # --- Trades --------------------------------------------------------------------------

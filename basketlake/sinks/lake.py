@@ -36,6 +36,12 @@ def replace_partition(
     )
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at the path, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def month_folder(path: str, year: int, month: int) -> str:
     return f"{path}/year={year}/month={month}"
 
@@ -57,8 +63,7 @@ def load_month(df: DataFrame, path: str, year: int, month: int, time: str | None
 
 def set_aside(spark: SparkSession, path: str, like: DataFrame, year: int, month: int, time: str = "event_time") -> DataFrame:
     """Rows of the month that loads of other months set aside; none if nothing was."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}_aside")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(spark, f"{path}_aside"):
         return like.limit(0)
     schema = T.StructType([*like.schema.fields, T.StructField("load", T.StringType())])
     rows = spark.read.schema(schema).parquet(f"{path}_aside")

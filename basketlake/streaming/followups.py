@@ -1,11 +1,18 @@
 """Follow-ups after a first cart: reminder after 5 minutes, offer after 1 hour.
 
-State is kept per session and user and never expires by itself: a session that was
-followed up stays known by one fixed-size record, so no later cart of it starts over.
-Events that the watermark has passed are folded into that record; once it has passed
-the first cart every event is counted as it comes.  Only until then are events within
-the allowed lateness held, appended one by one and folded minute by minute.  The batch
-forms in :mod:`basketlake.operators.followups` give the same rows.
+State is kept per session and user, and it ends. Events within the allowed lateness are
+held as sums per instant (a map state, one entry per distinct time), so a session with
+any number of clicks a second costs one entry for that second. Entries that the
+watermark has passed are folded into one fixed-size record. A session's state goes
+
+- when its last deadline has passed: its first cart is then in the *ledger*, a stored
+  table, and carts that start it over later are recognised there;
+- when it has no cart and was idle for ``IDLE``: its figures so far go to the ledger and
+  are added to an offer that may still come.
+
+So the state grows with the sessions that are active, not with all sessions ever seen.
+:func:`start_followups` runs the stream with its ledger; the batch forms in
+:mod:`basketlake.operators.followups` give the same rows.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -25,32 +32,38 @@ from basketlake.operators.decisions import offer_features, prescribe_offer
 from basketlake.operators.followups import with_reminder_text
 from basketlake.schemas import SESSION_KEYS
 from basketlake.session import ROCKSDB_PROVIDER
+from basketlake.sinks import lake as sink
 
 MINUTE = 60_000_000  # microseconds
 DELAYS = {"reminder": 5 * MINUTE, "offer": 60 * MINUTE}
 FOLD_EVERY = MINUTE
+IDLE = 120 * MINUTE  # a session without a cart leaves the state after so long
 
+#: kind: a follow-up that falls due, or "idle" (figures of a session without a cart so far).
 OUTPUT = T.StructType([
     T.StructField("user_session", T.StringType()),
     T.StructField("user_id", T.LongType()),
     T.StructField("kind", T.StringType()),
+    T.StructField("bought", T.BooleanType()),
     T.StructField("first_cart_us", T.LongType()),
     T.StructField("deadline_us", T.LongType()),
     T.StructField("total_cart_value", T.DoubleType()),
     T.StructField("num_cart_items", T.LongType()),
     T.StructField("num_views_before_cart", T.LongType()),
-    T.StructField("session_duration_sec", T.LongType()),
+    T.StructField("first_us", T.LongType()),
+    T.StructField("last_us", T.LongType()),
 ])
 
 _RECORD = T.StructType(
     [T.StructField(n, T.LongType()) for n in
-     ("cart", "bought", "items", "views", "first", "last", "oldest")]
+     ("cart", "bought", "items", "views", "first", "last", "oldest", "idle")]
+    + [T.StructField("value", T.DoubleType())]
+)
+_AT = T.StructType([T.StructField("at", T.LongType())])
+_SUMS = T.StructType(
+    [T.StructField(n, T.LongType()) for n in ("views", "items", "purchases")]
     + [T.StructField("value", T.DoubleType())]
 )
-_EVENT = T.StructType([
-    T.StructField("at", T.LongType()), T.StructField("kind", T.StringType()),
-    T.StructField("price", T.DoubleType()),
-])
 
 
 def _timer(us: int) -> int:
@@ -62,17 +75,28 @@ def _least(a: int | None, b: int) -> int:
     return b if a is None else min(a, b)
 
 
+def sums_by_instant(events) -> dict[int, tuple]:
+    """(views, carts, purchases, cart value) per time of (at, kind, price) events."""
+    out: dict[int, tuple] = {}
+    for at, kind, price in events:
+        views, items, purchases, value = out.get(at, (0, 0, 0, 0.0))
+        out[at] = (views + (kind == "view"), items + (kind == "cart"), purchases + (kind == "purchase"),
+                   value + (price or 0.0) * (kind == "cart"))
+    return out
+
+
 class CartFollowUps(StatefulProcessor):
-    """Emits one row per due follow-up of a session."""
+    """Emits one row per follow-up that falls due, bought or not, and one per idle session."""
 
-    def __init__(self, delays: dict[str, int] | None = None) -> None:
+    def __init__(self, delays: dict[str, int] | None = None, idle: int = IDLE) -> None:
         self.delays = dict(delays or DELAYS)
         self.horizon = max(self.delays.values())
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.record = handle.getValueState("record", _RECORD)
-        self.pending = handle.getListState("pending", _EVENT)
+        self.pending = handle.getMapState("pending", _AT, _SUMS)
 
     def close(self) -> None:
         pass
@@ -85,104 +109,131 @@ class CartFollowUps(StatefulProcessor):
     def _save(self, record: dict) -> None:
         self.record.update(tuple(record[name] for name in _RECORD.names))
 
-    def _fold(self, record: dict, event: tuple) -> None:
-        """Count one event whose place relative to the first cart cannot change any more."""
-        at, kind, price = event
+    def _forget(self) -> None:
+        self.record.clear()
+        self.pending.clear()
+
+    def _fold(self, record: dict, at: int, sums: tuple) -> None:
+        """Count one instant whose place relative to the first cart cannot change any more."""
+        views, items, purchases, value = sums
         cart = record["cart"]
         if cart is not None and at > cart + self.horizon:
             return
         record["first"] = _least(record["first"], at)
         record["last"] = max(at, record["last"] or at)
-        if kind == "view" and (cart is None or at < cart):
-            record["views"] += 1
-        elif kind == "cart":
-            record["items"] += 1
-            record["value"] += price or 0.0
-        elif kind == "purchase" and cart is not None and at >= cart:
+        record["items"] += items
+        record["value"] += value
+        if cart is None or at < cart:
+            record["views"] += views
+        elif purchases:
             record["bought"] = _least(record["bought"], at)
 
-    def _settle(self, record: dict, events: list[tuple], watermark: int) -> list[tuple]:
-        """Fold what is final at ``watermark``; the rest is returned."""
-        cart = record["cart"]
-        if cart is not None and cart <= watermark:
-            ready, rest = events, []
-        else:
-            ready = [e for e in events if e[0] <= watermark]
-            rest = [e for e in events if e[0] > watermark]
-        for event in ready:
-            self._fold(record, event)
-        return rest
-
-    def _settle_pending(self, record: dict, watermark: int) -> None:
-        """Fold the held events that are final and hold the rest."""
+    def _settle(self, record: dict, watermark: int) -> None:
+        """Fold the held instants that are final at ``watermark``, oldest first."""
         if record["oldest"] is None:
             return
-        rest = self._settle(record, [tuple(e) for e in self.pending.get()], watermark)
-        record["oldest"] = min((e[0] for e in rest), default=None)
-        if rest:
-            self.pending.put(rest)
-        else:
+        cart = record["cart"]
+        held = sorted((tuple(k)[0], tuple(v)) for k, v in self.pending.iterator())
+        final = held if cart is not None and cart <= watermark else [h for h in held if h[0] <= watermark]
+        for at, sums in final:
+            self._fold(record, at, sums)
+        if len(final) == len(held):
             self.pending.clear()
+            record["oldest"] = None
+        else:
+            for at, _ in final:
+                self.pending.removeKey((at,))
+            record["oldest"] = held[len(final)][0]
+
+    def _hold(self, record: dict, arrived: dict[int, tuple]) -> None:
+        """Add to the held sums."""
+        oldest, newest = record["oldest"], max(arrived)
+        for at, sums in arrived.items():
+            if oldest is not None and self.pending.containsKey((at,)):
+                sums = tuple(a + b for a, b in zip(sums, self.pending.getValue((at,))))
+            self.pending.updateValue((at,), sums)
+        record["oldest"] = min([*arrived, *([oldest] if oldest is not None else [])])
+        if record["cart"] is None and record["idle"] is None:
+            record["idle"] = newest + self.idle
+            self.handle.registerTimer(_timer(record["idle"]))
+
+    def _new_first_cart(self, record: dict, cart: int) -> None:
+        """Move the timers to an earlier, or the first, cart."""
+        if record["idle"] is not None:
+            self.handle.deleteTimer(_timer(record["idle"]))
+            record["idle"] = None
+        for delay in self.delays.values():
+            if record["cart"] is not None:
+                self.handle.deleteTimer(_timer(record["cart"] + delay))
+        for delay in self.delays.values():
+            self.handle.registerTimer(_timer(cart + delay))
+        record["cart"] = cart
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
         record = self._load()
         before = record["cart"]
+        arrived = sums_by_instant((row.at, row.event_type, row.price) for row in rows)
         if before is not None and before <= watermark:
-            # No earlier cart can arrive: rows are counted one by one, none is held.
-            self._settle_pending(record, watermark)
-            for row in rows:
-                self._fold(record, (row.at, row.event_type, row.price))
+            # No earlier cart can arrive: sums are counted at once, none is held.
+            self._settle(record, watermark)
+            for at, sums in sorted(arrived.items()):
+                self._fold(record, at, sums)
             self._save(record)
             return iter([])
-        arrived = [(row.at, row.event_type, row.price) for row in rows]
-        carts = [at for at, kind, _ in arrived if kind == "cart"]
+        carts = [at for at, sums in arrived.items() if sums[1]]
         if carts and (before is None or min(carts) < before):
-            record["cart"] = min(carts)
-            for delay in self.delays.values():
-                if before is not None:
-                    self.handle.deleteTimer(_timer(before + delay))
-            for delay in self.delays.values():
-                self.handle.registerTimer(_timer(record["cart"] + delay))
-        self.pending.appendList(arrived)
-        record["oldest"] = min([at for at, _, _ in arrived] + [record["oldest"]] * (record["oldest"] is not None))
+            self._new_first_cart(record, min(carts))
+        self._hold(record, arrived)
         final = record["cart"] is not None and record["cart"] <= watermark
         if final or record["oldest"] + FOLD_EVERY <= watermark:
-            self._settle_pending(record, watermark)
+            self._settle(record, watermark)
         self._save(record)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now_ms = expiredTimerInfo.getExpiryTimeInMs()
         record = self._load()
-        if record["oldest"] is not None:
-            self._settle_pending(record, timerValues.getCurrentWatermarkInMs() * 1000)
-            self._save(record)
-        due = []
-        cart = record["cart"]
+        self._settle(record, timerValues.getCurrentWatermarkInMs() * 1000)
+        cart, due = record["cart"], []
         if cart is not None:
             for kind, delay in self.delays.items():
-                if now_ms == _timer(cart + delay) and not (
-                    record["bought"] is not None and record["bought"] <= cart + delay
-                ):
-                    due.append(self._row(key, record, kind, cart + delay))
+                if now_ms == _timer(cart + delay):
+                    bought = record["bought"] is not None and record["bought"] <= cart + delay
+                    due.append(self._row(key, record, kind, bought, cart + delay))
+            over = now_ms == _timer(cart + self.horizon)
+        else:
+            over = record["oldest"] is None and record["last"] is not None and _timer(record["last"] + self.idle) <= now_ms
+            if over:
+                due.append(self._row(key, record, "idle", False, None))
+            else:  # events came since the timer was set
+                newest = record["last"] or 0
+                if record["oldest"] is not None:
+                    newest = max(tuple(at)[0] for at in self.pending.keys())
+                record["idle"] = max(newest + self.idle, now_ms * 1000 + 1)
+                self.handle.registerTimer(_timer(record["idle"]))
+        if over:
+            self._forget()
+        else:
+            self._save(record)
         return iter(due)
 
     @staticmethod
-    def _row(key, record: dict, kind: str, deadline: int) -> Row:
-        seconds = record["last"] // 1_000_000 - record["first"] // 1_000_000
+    def _row(key, record: dict, kind: str, bought: bool, deadline: int | None) -> Row:
         return Row(
-            user_session=key[0], user_id=key[1], kind=kind, first_cart_us=record["cart"],
+            user_session=key[0], user_id=key[1], kind=kind, bought=bought, first_cart_us=record["cart"],
             deadline_us=deadline, total_cart_value=float(record["value"]),
             num_cart_items=record["items"], num_views_before_cart=record["views"],
-            session_duration_sec=seconds,
+            first_us=record["first"], last_us=record["last"],
         )
 
 
-def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None) -> DataFrame:
-    """Due follow-ups of a watermarked Silver stream, told apart by ``kind``.
+def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None, idle: int = IDLE) -> DataFrame:
+    """Follow-ups that fall due on a watermarked Silver stream, told apart by ``kind``.
 
-    With reminders alone, views never reach the state operator.
+    Rows for later carts of a session that was already handled come too; only the
+    ledger tells them (:func:`with_ledger`). With reminders alone, views never reach the
+    state operator.
     """
     silver_stream.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER
@@ -198,21 +249,101 @@ def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None) -> D
     if list(delays) == ["reminder"]:
         narrow = narrow.filter(F.col("event_type").isin("cart", "purchase"))
     return narrow.groupBy(*SESSION_KEYS).transformWithState(
-        CartFollowUps(delays), OUTPUT, outputMode="append", timeMode="EventTime"
+        CartFollowUps(delays, idle), OUTPUT, outputMode="append", timeMode="EventTime"
+    )
+
+
+LEDGER = T.StructType([
+    *[f for f in OUTPUT.fields if f.name in (*SESSION_KEYS, "first_cart_us", "num_views_before_cart", "first_us", "last_us")],
+    T.StructField("batch_id", T.LongType()),
+])
+
+
+def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Handled first carts, and figures of idle sessions (no cart), of the batches before one."""
+    rows = spark.read.schema(LEDGER).parquet(path) if sink.exists(spark, path) else spark.createDataFrame([], LEDGER)
+    return rows if before is None else rows.filter(F.col("batch_id") < before)
+
+
+def with_ledger(due: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Due rows of first carts only, with the figures that idle sessions had before.
+
+    Both sides are grouped by session; sessions without a row in ``due`` are dropped from
+    the ledger first, so the join moves what the batch holds and nothing else.
+    """
+    names = [c for c in LEDGER.names if c != "batch_id"]
+    touched = ledger.select(names).join(due.select(*SESSION_KEYS).distinct(), SESSION_KEYS, "left_semi")
+    known = touched.unionByName(due.select(names))
+    first = known.groupBy(*SESSION_KEYS).agg(F.min("first_cart_us").alias("_first_cart"))
+    rows = due.filter(F.col("kind") != "idle").join(first, SESSION_KEYS)
+    rows = rows.filter(F.col("first_cart_us") == F.col("_first_cart")).drop("_first_cart")
+    early = known.filter(F.col("first_cart_us").isNull()).groupBy(*SESSION_KEYS, F.col("last_us").alias("_until")).agg(
+        F.max("num_views_before_cart").alias("_views"), F.min("first_us").alias("_since"))
+    # an idle session's events all lie before a cart that comes later
+    spans = rows.select(*SESSION_KEYS, "first_cart_us").distinct().join(early, SESSION_KEYS)
+    added = spans.filter(F.col("_until") < F.col("first_cart_us")).groupBy(*SESSION_KEYS).agg(
+        F.sum("_views").alias("_views"), F.min("_since").alias("_since"))
+    return rows.join(added, SESSION_KEYS, "left").withColumns({
+        "num_views_before_cart": F.col("num_views_before_cart") + F.coalesce("_views", F.lit(0)),
+        "first_us": F.least("first_us", "_since"),
+    }).drop("_views", "_since")
+
+
+def handle_due(
+    batch: DataFrame, batch_id: int, target: str,
+    risk_model: PipelineModel | None = None, profile_model: PipelineModel | None = None,
+    kinds: list[str] | None = None,
+) -> None:
+    """``foreachBatch`` writer: messages to ``reminders`` and ``offers``, carts to ``ledger``.
+
+    Each table has one partition per batch, replaced when a batch runs again; the ledger
+    is read as it stood before the batch, so a rerun decides alike.
+    """
+    kept = batch.persist()
+    rows = with_ledger(kept, read_ledger(kept.sparkSession, f"{target}/ledger", batch_id)).persist()
+    for kind in kinds or DELAYS:
+        out = reminders_of(rows) if kind == "reminder" else offers_of(rows, risk_model, profile_model)
+        sink.append_curated(out, batch_id, f"{target}/{kind}s")
+    lines = kept.select([c for c in LEDGER.names if c != "batch_id"]).distinct()
+    sink.append_curated(lines, batch_id, f"{target}/ledger")
+    rows.unpersist()
+    kept.unpersist()
+
+
+def start_followups(
+    silver_stream: DataFrame, target: str, checkpoint: str, trigger: dict,
+    risk_model: PipelineModel | None = None, profile_model: PipelineModel | None = None,
+    kinds: list[str] | None = None, idle: int = IDLE,
+):
+    """Start the follow-up query with its ledger; gives the running query."""
+    def route(batch: DataFrame, batch_id: int) -> None:
+        handle_due(batch, batch_id, target, risk_model, profile_model, kinds)
+
+    return (
+        due_followups(silver_stream, kinds, idle).writeStream.foreachBatch(route).trigger(**trigger)
+        .option("checkpointLocation", checkpoint).start()
     )
 
 
-def _times(due: DataFrame) -> DataFrame:
-    return due.withColumns({
+def read_messages(spark: SparkSession, target: str, kind: str) -> DataFrame:
+    """Messages of one kind that :func:`handle_due` has stored."""
+    none = spark.createDataFrame([], OUTPUT)
+    like = reminders_of(none) if kind == "reminder" else offers_of(none)
+    path = f"{target}/{kind}s"
+    return spark.read.schema(like.schema).parquet(path) if sink.exists(spark, path) else like
+
+
+def _times(due: DataFrame, kind: str) -> DataFrame:
+    return due.filter((F.col("kind") == kind) & ~F.col("bought")).withColumns({
         "first_cart_time": F.timestamp_micros("first_cart_us"),
         "deadline": F.timestamp_micros("deadline_us"),
-    }).drop("kind", "first_cart_us", "deadline_us")
+        "session_duration_sec": F.expr("last_us div 1000000 - first_us div 1000000"),
+    }).drop("kind", "bought", "first_cart_us", "deadline_us", "first_us", "last_us")
 
 
 def reminders_of(due: DataFrame) -> DataFrame:
     """Reminder rows among due follow-ups."""
-    reminders = _times(due.filter(F.col("kind") == "reminder"))
-    return with_reminder_text(reminders.select(*SESSION_KEYS, "first_cart_time", "deadline"))
+    return with_reminder_text(_times(due, "reminder").select(*SESSION_KEYS, "first_cart_time", "deadline"))
 
 
 def offers_of(
@@ -221,24 +352,10 @@ def offers_of(
     profile_model: PipelineModel | None = None,
 ) -> DataFrame:
     """Offers for the due follow-ups of kind offer."""
-    sessions = _times(due.filter(F.col("kind") == "offer")).withColumn("hour_of_day", F.hour("first_cart_time"))
+    sessions = _times(due, "offer").withColumn("hour_of_day", F.hour("first_cart_time"))
     return scored_offers(sessions, risk_model, profile_model)
 
 
-def cart_reminders(silver_stream: DataFrame) -> DataFrame:
-    """Reminders as a stream."""
-    return reminders_of(due_followups(silver_stream, ["reminder"]))
-
-
-def cart_offers(
-    silver_stream: DataFrame,
-    risk_model: PipelineModel | None = None,
-    profile_model: PipelineModel | None = None,
-) -> DataFrame:
-    """One-hour offers as a stream, scored by the models where given."""
-    return offers_of(due_followups(silver_stream, ["offer"]), risk_model, profile_model)
-
-
 def scored_offers(
     sessions: DataFrame,
     risk_model: PipelineModel | None = None,

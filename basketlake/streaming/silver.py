@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from basketlake import schemas
 from basketlake.operators.silver import dedup_events, normalise_events, valid_events
 from basketlake.session import ship_package
-from basketlake.sinks import lake as sink
 from basketlake.streaming import followups
 
 LATENESS = "10 minutes"
@@ -51,8 +50,8 @@ def start_click_stream(
     """Start the click-stream job: all valid rows to Silver, due follow-ups to two tables.
 
     ``target/silver`` takes every valid row; one stateful query feeds
-    ``target/reminders`` and ``target/offers``, each partitioned by batch and replaced
-    when a batch runs again. ``trigger`` goes to ``DataStreamWriter.trigger``.
+    ``target/reminders``, ``target/offers`` and the ``target/ledger`` of handled carts,
+    each partitioned by batch and replaced when a batch runs again. ``trigger`` goes to ``DataStreamWriter.trigger``.
     """
     ship_package(events.sparkSession)
     trigger = trigger or {"processingTime": "1 minute"}
@@ -60,16 +59,9 @@ def start_click_stream(
     def to_silver(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, batch_id, f"{target}/silver")
 
-    def route(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        sink.append_curated(followups.reminders_of(kept), batch_id, f"{target}/reminders")
-        sink.append_curated(followups.offers_of(kept, risk_model, profile_model), batch_id, f"{target}/offers")
-        kept.unpersist()
-
-    due = followups.due_followups(event_stream_to_silver(events, lateness))
     return [
         events.writeStream.foreachBatch(to_silver).trigger(**trigger)
         .option("checkpointLocation", f"{checkpoint}/silver").start(),
-        due.writeStream.foreachBatch(route).trigger(**trigger)
-        .option("checkpointLocation", f"{checkpoint}/followups").start(),
+        followups.start_followups(
+            event_stream_to_silver(events, lateness), target, f"{checkpoint}/followups", trigger, risk_model, profile_model),
     ]

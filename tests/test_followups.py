@@ -71,10 +71,9 @@ def streamed(spark, tmp_path_factory):
 def test_stream_fires_like_batch(spark, streamed):
     frame = spark.createDataFrame(TRIAL, schemas.EVENTS_SILVER)
     as_of = F.lit(at(240) - timedelta(hours=3))
-    reminders = streamed.filter("kind = 'reminder'")
-    assert rows_of(reminders, "user_session") == rows_of(
+    assert rows_of(live.reminders_of(streamed), "user_session") == rows_of(
         batch.cart_reminders(frame, as_of), "user_session")
-    offers = streamed.filter("kind = 'offer'")
+    offers = live.offers_of(streamed)
     columns = ["user_session", "user_id", "total_cart_value", "num_cart_items",
                "num_views_before_cart", "session_duration_sec"]
     assert rows_of(offers, *columns) == rows_of(batch.offer_sessions(frame, as_of), *columns)
@@ -88,7 +87,8 @@ def test_fold_does_not_depend_on_arrival_order():
     results = []
     for order in (events, events[::-1]):
         record = dict(base)
-        assert processor._settle(record, list(order), 10**12) == []
+        for instant, sums in live.sums_by_instant(order).items():
+            processor._fold(record, instant, sums)
         results.append(record)
     assert results[0] == results[1]
     assert (results[0]["views"], results[0]["items"], results[0]["bought"]) == (1, 1, 120)
@@ -100,6 +100,13 @@ PROBES = {
     # a further cart 30 hours after the first: no second reminder, no second offer
     "second_cart": [event("p2", 2, at(0), "cart", 5.0), event("zz", 9, at(1740), "view"),
                     event("p2", 2, at(1800), "cart", 7.0), event("zz", 9, at(2400), "view")],
+    # the session leaves the state twice before its cart; its views still count
+    "idle": [event("p3", 3, at(0), "view"), event("p3", 3, at(1), "view"), event("zz", 9, at(400), "view"),
+             event("p3", 3, at(500), "view"), event("zz", 9, at(900), "view"), event("p3", 3, at(1000), "view"),
+             event("p3", 3, at(1001), "cart", 4.0), event("zz", 9, at(1500), "view")],
+    # bought in time, so nothing was sent; the cart a day later still is not the first
+    "bought_first": [event("p4", 4, at(0), "cart", 5.0), event("p4", 4, at(2), "purchase"), event("zz", 9, at(900), "view"),
+                     event("p4", 4, at(1440), "cart", 7.0), event("p5", 5, at(1440), "cart", 1.0), event("zz", 9, at(2400), "view")],
 }
 
 
@@ -130,3 +137,61 @@ def test_no_message_is_lost_or_repeated(spark, tmp_path, name, per_file):
     offers = spark.read.parquet(f"{tmp_path}/out/offers")
     assert rows_of(offers, *figures) == rows_of(batch.offer_sessions(frame, as_of), *figures)
     assert offers.count() == 1
+
+
+def _run(spark, folder, files, lateness="10 minutes", **options):
+    """Files of events, one a micro-batch, through the follow-up query; gives the finished query."""
+    for number, rows in enumerate(files):
+        spark.createDataFrame(rows, schemas.EVENTS_SILVER).coalesce(1).write.parquet(f"{folder}/in/{number}")
+    stream = (
+        spark.readStream.schema(schemas.EVENTS_SILVER).option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    )
+    running = live.start_followups(
+        stream.withWatermark("event_time", lateness), f"{folder}/out", f"{folder}/progress", {"availableNow": True}, **options)
+    running.awaitTermination()
+    return running
+
+
+def _held(spark, folder, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/progress")
+
+
+def test_state_ends_with_the_last_deadline(spark, tmp_path):
+    """200 carts and 200 sessions that only looked are gone from the state a few hours later."""
+    many = [event(f"c{i}", i, at(i % 7), "cart", 1.0) for i in range(200)] + [event(f"v{i}", i, at(i % 7), "view") for i in range(200)]
+    _run(spark, tmp_path, [many, [event("zz", 9, at(400), "view")], [event("yy", 9, at(800), "view")]])
+    left = {r["key"]["user_session"] for r in _held(spark, tmp_path, "record").collect()}
+    assert left <= {"zz", "yy"}
+    assert live.read_messages(spark, f"{tmp_path}/out", "offer").count() == 200
+    ledger = live.read_ledger(spark, f"{tmp_path}/out/ledger")
+    assert ledger.filter("first_cart_us is null").count() >= 200
+    assert ledger.filter("first_cart_us is not null").select("user_session").distinct().count() == 200
+
+
+def test_a_session_of_very_many_clicks_holds_few_sums(spark, tmp_path):
+    """100,000 clicks of one session within ten minutes: one entry a second, figures exact."""
+    second = timedelta(seconds=1)
+    clicks = [event("bot", 1, at(0) + (i * 7919 % 600) * second, ("view", "view", "view", "cart")[i % 4], 1.0) for i in range(100_000)]
+    first = min(e[0] for e in clicks if e[1] == "cart")
+    _run(spark, tmp_path / "a", [clicks[:50_000], clicks[50_000:]])
+    assert _held(spark, tmp_path / "a", "pending").count() <= 600
+    _run(spark, tmp_path / "b", [clicks[:50_000], clicks[50_000:], [event("zz", 9, at(90), "view")], [event("zz", 9, at(91), "view")]])
+    assert _held(spark, tmp_path / "b", "pending").filter("key.user_session = 'bot'").count() == 0
+    offer = live.read_messages(spark, f"{tmp_path}/b/out", "offer").first()
+    assert offer["first_cart_time"] == first and offer["num_cart_items"] == 25_000
+    assert offer["num_views_before_cart"] == sum(e[1] == "view" and e[0] < first for e in clicks)
+
+
+def test_a_batch_that_runs_again_decides_alike(spark, tmp_path):
+    """The ledger of the batch itself does not count when the batch is repeated."""
+    def due(session, cart, kind="offer"):
+        us = int(cart * live.MINUTE)
+        return (session, 1, kind, False, us, us + live.DELAYS[kind], 5.0, 1, 2, us - 10, us + 10)
+    batch_rows = spark.createDataFrame([due("a", 0), due("a", 1800), due("b", 3)], live.OUTPUT)
+    for _ in range(2):
+        live.handle_due(batch_rows, 7, str(tmp_path))
+    sent = live.read_messages(spark, str(tmp_path), "offer")
+    assert rows_of(sent, "user_session") == [("a",), ("b",)]
+    live.handle_due(spark.createDataFrame([due("b", 900), due("c", 900)], live.OUTPUT), 8, str(tmp_path))
+    assert rows_of(live.read_messages(spark, str(tmp_path), "offer"), "user_session") == [("a",), ("b",), ("c",)]
