@@ -34,30 +34,47 @@ def _typed(spark: SparkSession, landed: DataFrame) -> DataFrame:
     return spark.read.schema(typed.schema).parquet(path)
 
 
+def _load_silver_month(
+    spark: SparkSession, bronze: str, events: str, year: int, month: int
+) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Rebuild one month from its landed file and the strays of other loads; its typed rows and strays' months."""
+    typed = _typed(spark, source.read_bronze_csv(spark, sink.month_folder(bronze, year, month)))
+    valid = silver.valid_events(typed)
+    joined = valid.unionByName(sink.set_aside(spark, events, valid, year, month))
+    return typed, sink.load_month(silver.dedup_events(joined), events, year, month)
+
+
 def bronze_to_silver(
     spark: SparkSession, bronze: str, target: str, months: list[tuple[int, int]] | None = None
 ) -> DataFrame:
     """Clean landed CSV into the month-partitioned Silver layer; gives the audit row.
 
     Without ``months`` all of Bronze is read and every month it holds is rebuilt. With
-    them only those landed months are read and only their partitions replaced; rows of
-    other months are set aside until their own month is loaded. The heaviest sessions
+    them those landed months are read and their partitions replaced; rows of other months
+    are set aside until their own month is loaded, and where that month is in Silver
+    already it is loaded again (``rerun_months`` lists those, so that Gold follows). The heaviest sessions
     are stored beside the layer for the Gold jobs.
     """
+    events = f"{target}/events"
     if months is None:
         landed = _typed(spark, source.read_bronze_csv(spark, bronze))
-        sink.replace_partition(silver.dedup_events(silver.valid_events(landed)), f"{target}/events")
-        loaded = source.read_layer(spark, f"{target}/events")
+        sink.replace_partition(silver.dedup_events(silver.valid_events(landed)), events)
+        loaded = source.read_layer(spark, events)
     else:
-        landed = loaded = None
+        landed, again, done = None, set(), []
         for year, month in months:
-            typed = _typed(spark, source.read_bronze_csv(spark, sink.month_folder(bronze, year, month)))
-            valid = silver.valid_events(typed)
-            joined = valid.unionByName(sink.set_aside(spark, f"{target}/events", valid, year, month))
-            sink.load_month(silver.dedup_events(joined), f"{target}/events", year, month)
-            stored = source.read_layer(spark, sink.month_folder(f"{target}/events", year, month))
+            typed, strays = _load_silver_month(spark, bronze, events, year, month)
             landed = typed if landed is None else landed.unionByName(typed)
-            loaded = stored if loaded is None else loaded.unionByName(stored)
+            done.append((year, month))
+            # strays of a month that is loaded later in this call join it then
+            again |= {m for m in strays if m not in months[len(done):]}
+        live = sink.loaded_months(spark, events)
+        rerun = sorted(m for m in again if sink.month_part(*m) in live)
+        for year, month in rerun:
+            _load_silver_month(spark, bronze, events, year, month)
+        sink.write_layer(spark.createDataFrame(rerun, "year int, month int"), f"{target}/rerun_months")
+        layer = source.read_layer(spark, events)
+        loaded = layer.filter(F.struct("year", "month").isin([F.struct(F.lit(y), F.lit(m)) for y, m in months]))
     stored = source.read_layer(spark, f"{target}/events")
     sink.write_layer(sessions.session_heavy_keys(stored), f"{target}/heavy_sessions")
     return _audited(spark, landed, loaded, f"{target}/audit")

@@ -161,13 +161,33 @@ def _(lk: Lake):
         jobs.silver_to_gold(lk.spark, f"{base}/silver", f"{base}/gold", [(year, month)])
     jobs.bronze_to_silver(lk.spark, f"{base}/bronze", f"{base}/silver", [(2024, 1)])
     jobs.silver_to_gold(lk.spark, f"{base}/silver", f"{base}/gold", [(2024, 1)])
-    aside = lk.spark.read.parquet(f"{base}/silver/events_aside/load=2024-01").count()
+    aside = sink.aside(lk.spark, f"{base}/silver/events", lk.silver()).count()
     gold = source.read_layer(lk.spark, f"{base}/gold/session_features")
     return gold.groupBy("year", "month").agg(
         F.count(F.lit(1)).alias("sessions"), F.sum("total_cart_value").alias("total"),
         F.max(F.when(F.col("year") == 2024, aside).otherwise(0)).alias("aside"))
 
 
+@query("late_stray_reload", """
+SELECT 2023 AS year, 12 AS month, count(*) AS n, round(sum(price), 6) AS total
+FROM silver WHERE product_id < 50 OR product_id % 10 = 7
+UNION ALL SELECT 2024, 1, count(*), round(sum(price), 6) FROM silver""")
+def _(lk: Lake):
+    """Strays of a month that is loaded already: the job loads that month once more."""
+    base = scratch_path(lk.spark, "strays")
+    earlier = lk.clicks().withColumn("event_time", F.col("event_time") - F.expr("INTERVAL 31 DAYS"))
+    months = {
+        (2023, 12): earlier.filter("product_id < 50"),
+        (2024, 1): lk.clicks().unionByName(earlier.filter("product_id % 10 = 7")),
+    }
+    for (year, month), rows in months.items():
+        as_landed(rows).write.option("header", True).csv(f"{base}/upload-{year}-{month}")
+        sink.land_bronze(lk.spark, f"{base}/upload-{year}-{month}", f"{base}/bronze", year, month)
+        jobs.bronze_to_silver(lk.spark, f"{base}/bronze", f"{base}/silver", [(year, month)])
+    return source.read_layer(lk.spark, f"{base}/silver/events").groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
+
+
 @query("json_by_day", """
 SELECT event_type, strftime(event_time, '%Y-%m-%d') AS day, count(*) AS n,
        round(sum(price), 6) AS total

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from basketlake.sinks import versions
 from basketlake.sources.lake import read_bronze_csv
 
 
@@ -21,7 +21,7 @@ def with_month(df: DataFrame, time: str = "event_time") -> DataFrame:
 def replace_partition(
     df: DataFrame, path: str, time: str | None = "event_time", rebalance: bool = False
 ) -> None:
-    """Replace exactly the ``year``/``month`` partitions that ``df`` has rows for.
+    """Replace exactly the ``year``/``month`` partitions that ``df`` has rows for, all at once.
 
     With ``time`` None the frame already carries ``year`` and ``month``.  A load
     that spans many months should ``rebalance``: rows are gathered by month and a
@@ -30,10 +30,7 @@ def replace_partition(
     dated = df if time is None else with_month(df, time)
     if rebalance:
         dated = dated.hint("rebalance", "year", "month")
-    (
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year", "month").parquet(path)
-    )
+    versions.publish(df.sparkSession, path, versions.stage(dated, path, keys=("year", "month")))
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -42,34 +39,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
+def month_part(year: int, month: int) -> str:
+    return f"year={year}/month={month}"
+
+
 def month_folder(path: str, year: int, month: int) -> str:
-    return f"{path}/year={year}/month={month}"
+    return f"{path}/{month_part(year, month)}"
 
 
-def load_month(df: DataFrame, path: str, year: int, month: int, time: str | None = "event_time") -> None:
+def load_month(df: DataFrame, path: str, year: int, month: int, time: str | None = "event_time") -> list[tuple[int, int]]:
     """Make ``df`` the whole of one month's partition, whatever else the layer holds.
 
-    Rows of other months never touch a partition: they are set aside under
-    ``<path>_aside/<loaded month>``, which each load of that month replaces, and join
-    their own month when it is loaded (:func:`set_aside`). With ``time`` None all rows
-    belong to the month. A month without rows ends up empty.
+    Rows of other months never touch a partition: they are set aside with this load,
+    replaced when it is repeated, and join their own month when that is loaded
+    (:func:`set_aside`). The months they belong to are returned: those that are live
+    already have to be loaded again. With ``time`` None all rows belong to the month. A
+    month without rows ends up empty. The rows are worked out and written once, and
+    readers see the old month until all of the new one is there.
     """
-    if time is not None:
-        mine = F.coalesce((F.year(time) == year) & (F.month(time) == month), F.lit(False))
-        df.filter(~mine).write.mode("overwrite").parquet(f"{path}_aside/load={year}-{month:02d}")
-        df = df.filter(mine)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(month_folder(path, year, month))
+    mine = F.lit(True) if time is None else F.coalesce((F.year(time) == year) & (F.month(time) == month), F.lit(False))
+    part = month_part(year, month)
+    staged = versions.stage(df.withColumn("stray", ~mine), path, part, ("stray",))
+    versions.publish(df.sparkSession, path, {part: staged.get("stray=false"), f"aside/{part}": staged.get("stray=true")})
+    if "stray=true" not in staged:
+        return []
+    return versions.months_of(versions.read_parts(df.sparkSession, path, [staged["stray=true"]]), time)
+
+
+def loaded_months(spark: SparkSession, path: str) -> set[str]:
+    """Parts of a versioned layer that hold a month."""
+    return {part for part in versions.live_parts(spark, path) if not part.startswith("aside/")}
+
+
+def aside(spark: SparkSession, path: str, like: DataFrame, but: tuple[int, int] | None = None) -> DataFrame:
+    """All rows that loads have set aside, or those of all loads but one."""
+    own = f"aside/{month_part(*but)}" if but else None
+    folders = [f for part, f in versions.live_parts(spark, path).items() if part.startswith("aside/") and part != own]
+    return versions.read_parts(spark, path, folders, like.schema).select(*like.columns)
 
 
 def set_aside(spark: SparkSession, path: str, like: DataFrame, year: int, month: int, time: str = "event_time") -> DataFrame:
     """Rows of the month that loads of other months set aside; none if nothing was."""
-    if not exists(spark, f"{path}_aside"):
-        return like.limit(0)
-    schema = T.StructType([*like.schema.fields, T.StructField("load", T.StringType())])
-    rows = spark.read.schema(schema).parquet(f"{path}_aside")
     # the month's own load is about to be replaced and holds none of its rows
-    others = rows.filter(F.col("load") != f"{year}-{month:02d}").drop("load")
-    return others.filter((F.year(time) == year) & (F.month(time) == month))
+    return aside(spark, path, like, (year, month)).filter((F.year(time) == year) & (F.month(time) == month))
 
 
 def land_bronze(spark: SparkSession, csv: str, path: str, year: int, month: int) -> None:

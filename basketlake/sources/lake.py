@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlake import schemas
+from basketlake.sinks import versions
 
 
 def read_bronze_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -15,7 +16,12 @@ def read_bronze_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet layer, read where it lies; ``year``/``month`` folders prune as columns."""
+    """A Parquet layer, read where it lies; ``year``/``month`` folders prune as columns.
+
+    Of a layer whose partitions are published by a manifest the live parts are read.
+    """
+    if versions.is_versioned(spark, path):
+        return versions.read_live(spark, path)
     return spark.read.parquet(path)
 
 

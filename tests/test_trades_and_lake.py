@@ -10,6 +10,7 @@ from basketlake import schemas
 from basketlake.operators import kpis, trades
 from basketlake.plans import jobs
 from basketlake.sinks import lake as sink
+from basketlake.sinks import versions
 from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_landed
@@ -58,6 +59,47 @@ def test_partitions_are_replaced_one_by_one(spark, tmp_path):
     assert rows_of(source.read_layer(spark, path), "month", "v") == [(1, 1), (3, 3), (3, 4)]
 
 
+def test_a_load_that_dies_leaves_the_old_month(spark, tmp_path, monkeypatch):
+    """Killed while data is written, or while the manifest is: readers see the old rows, a rerun the new ones."""
+    path = str(tmp_path / "layer")
+    day = datetime(2024, 3, 5)
+
+    def load(*values):
+        return spark.createDataFrame([(day, v) for v in values], "event_time timestamp, v int")
+
+    def seen():
+        return [r[0] for r in rows_of(source.read_layer(spark, path), "v")]
+    sink.load_month(load(1, 2), path, 2024, 3)
+    failing = load(3, 4).withColumn("v", F.when(F.col("v") == 4, F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="lost"):
+        sink.load_month(failing, path, 2024, 3)
+    assert seen() == [1, 2]
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, "publish", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            sink.load_month(load(5), path, 2024, 3)
+    assert seen() == [1, 2]
+    os.makedirs(f"{path}/_manifest/{2:012d}")  # a manifest without its marker
+    assert seen() == [1, 2]
+    sink.load_month(load(6), path, 2024, 3)
+    assert seen() == [6]
+    assert len(versions.vacuum(spark, path)) == 3 and seen() == [6]
+
+
+def test_strays_name_their_months(spark, tmp_path):
+    path = str(tmp_path / "layer")
+    rows = [(datetime(2024, 3, 5), 1), (datetime(2024, 2, 5), 2), (datetime(2023, 12, 5), 3), (None, 4)]
+    frame = spark.createDataFrame(rows, "event_time timestamp, v int")
+    assert sink.load_month(frame, path, 2024, 3) == [(2023, 12), (2024, 2)]
+    assert rows_of(source.read_layer(spark, path), "year", "month", "v") == [(2024, 3, 1)]
+    assert rows_of(sink.set_aside(spark, path, frame, 2024, 2), "v") == [(2,)]
+    assert sink.set_aside(spark, path, frame, 2024, 3).count() == 0
+    assert sink.load_month(frame.limit(0), path, 2024, 3) == [] and sink.aside(spark, path, frame).count() == 0
+    sink.load_month(frame.filter("v = 2"), path, 2024, 2)
+    assert rows_of(source.read_layer(spark, path), "year", "month", "v") == [(2024, 2, 2)]
+    assert "PartitionFilters: [isnotnull(month" in source.read_layer(spark, path).filter("month = 2")._jdf.queryExecution().toString()
+
+
 def test_report_and_positional_files(spark, tmp_path):
     frame = spark.createDataFrame([(1, 0.5), (0, 0.25)], "converted int, a double")
     sink.write_report_csv(frame, str(tmp_path / "report"))
