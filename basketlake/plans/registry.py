@@ -891,7 +891,7 @@ def _(lk: Lake):
     messages = streams.read_message_stream(lk.spark, "text", f"{base}/in")
     for running in start_trade_stream(messages, "orders", base, f"{base}/progress", available_now=True):
         running.awaitTermination()
-    return lk.spark.read.parquet(f"{base}/curated/orders").drop("batch_id")
+    return source.read_layer(lk.spark, f"{base}/curated/orders").drop("batch_id")
 
 
 @query("type_raw_prices",
@@ -941,7 +941,7 @@ def _run_trades(lk: Lake, spoil: bool) -> str:
 @query("stream_trades", _PRICES_SQL)
 def _(lk: Lake):
     """Curated prices after a run of the message stream."""
-    stored = lk.spark.read.parquet(f"{_run_trades(lk, False)}/curated/prices")
+    stored = source.read_layer(lk.spark, f"{_run_trades(lk, False)}/curated/prices")
     return stored.drop("batch_id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlake.sinks import versions
+from basketlake.sinks import batches, versions
 from basketlake.sources.lake import read_bronze_csv
 
 
@@ -131,16 +131,12 @@ def write_json_by_day(df: DataFrame, path: str, time: str | None = None) -> None
 
 
 def append_curated(batch: DataFrame, batch_id: int, path: str) -> None:
-    """``foreachBatch`` writer for accepted rows.
+    """``foreachBatch`` writer for accepted rows; read them with ``read_layer``.
 
-    Each batch owns one partition and replaces it, so a batch that runs again
-    after a failure leaves its rows once.
+    A batch that runs again after a failure leaves its rows once, and files of many
+    batches are merged (:mod:`basketlake.sinks.batches`). ``batch_id`` is a column.
     """
-    (
-        batch.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(path)
-    )
+    batches.append_batch(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), batch_id, path)
 
 
 def write_json_batch(batch: DataFrame, batch_id: int, path: str, folders: list[str] | None = None) -> None:

@@ -52,8 +52,8 @@ def stage(df: DataFrame, path: str, under: str = "", keys: tuple[str, ...] = ())
     root = "/".join(x for x in (version, under) if x)
     df.write.partitionBy(*keys).parquet(f"{path}/{root}")
     found = _glob(spark, f"{path}/{root}" + "".join(f"/{key}=*" for key in keys))
-    parts = ["/".join(f.rsplit("/", len(keys))[1:]) for f in found]
-    return {part: f"{root}/{part}" for part in parts}
+    parts = ["/".join(f.rsplit("/", len(keys))[1:]) if keys else "" for f in found]
+    return {part: f"{root}/{part}".rstrip("/") for part in parts}
 
 
 def publish(spark: SparkSession, path: str, changes: dict[str, str | None]) -> None:
@@ -78,9 +78,11 @@ def read_live(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete version folders that no live part lies in; call it when no reader holds an older state."""
+    """Delete folders and manifests that are not live; call it when no reader holds an older state."""
     used = {folder.split("/", 1)[0] for folder in live_parts(spark, path).values()}
     gone = [f for f in _glob(spark, f"{path}/version=*") if f.rsplit("/", 1)[-1] not in used]
+    newest = max(_numbers(spark, path), default=0)
+    gone += [f for f in _glob(spark, f"{path}/_manifest/*") if int(f.rsplit("/", 1)[-1]) < newest]
     for folder in gone:
         target = spark._jvm.org.apache.hadoop.fs.Path(folder)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

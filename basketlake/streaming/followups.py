@@ -32,6 +32,7 @@ from basketlake.operators.decisions import offer_features, prescribe_offer
 from basketlake.operators.followups import with_reminder_text
 from basketlake.schemas import SESSION_KEYS
 from basketlake.session import ROCKSDB_PROVIDER
+from basketlake.sinks import batches, versions
 from basketlake.sinks import lake as sink
 
 MINUTE = 60_000_000  # microseconds
@@ -261,8 +262,7 @@ LEDGER = T.StructType([
 
 def read_ledger(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Handled first carts, and figures of idle sessions (no cart), of the batches before one."""
-    rows = spark.read.schema(LEDGER).parquet(path) if sink.exists(spark, path) else spark.createDataFrame([], LEDGER)
-    return rows if before is None else rows.filter(F.col("batch_id") < before)
+    return versions.read_parts(spark, path, batches.batch_folders(spark, path, before), LEDGER).select(*LEDGER.names)
 
 
 def with_ledger(due: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def handle_due(
 ) -> None:
     """``foreachBatch`` writer: messages to ``reminders`` and ``offers``, carts to ``ledger``.
 
-    Each table has one partition per batch, replaced when a batch runs again; the ledger
+    A batch that runs again replaces what it wrote; the ledger
     is read as it stood before the batch, so a rerun decides alike.
     """
     kept = batch.persist()
@@ -330,7 +330,7 @@ def read_messages(spark: SparkSession, target: str, kind: str) -> DataFrame:
     none = spark.createDataFrame([], OUTPUT)
     like = reminders_of(none) if kind == "reminder" else offers_of(none)
     path = f"{target}/{kind}s"
-    return spark.read.schema(like.schema).parquet(path) if sink.exists(spark, path) else like
+    return versions.read_parts(spark, path, batches.batch_folders(spark, path), like.schema).select(*like.columns)
 
 
 def _times(due: DataFrame, kind: str) -> DataFrame:

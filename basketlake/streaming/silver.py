@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlake import schemas
 from basketlake.operators.silver import dedup_events, normalise_events, valid_events
 from basketlake.session import ship_package
+from basketlake.sinks import batches, versions
 from basketlake.streaming import followups
 
 LATENESS = "10 minutes"
@@ -25,22 +28,32 @@ def event_stream_to_silver(events: DataFrame, lateness: str = LATENESS) -> DataF
 
 
 def store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
-    """``foreachBatch`` writer: every valid row, however late, in the partition of its batch.
+    """``foreachBatch`` writer: every valid row, however late, that Silver does not hold yet.
 
-    A batch that runs again after a failure replaces its own partition.
+    Copies of an event have the same time, so a batch is held against the stored days it
+    touches, within its own span of time, and nothing else. A batch that runs again
+    replaces its own rows and is compared with the batches before it.
     """
-    rows = dedup_events(valid_events(normalise_events(batch)))
-    (
-        rows.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id").parquet(path)
-    )
+    spark = batch.sparkSession
+    rows = dedup_events(valid_events(normalise_events(batch))).withColumn("day", F.date_format("event_time", "yyyy-MM-dd")).persist()
+    days = {r["day"]: (r["low"], r["high"]) for r in rows.groupBy("day").agg(
+        F.min("event_time").alias("low"), F.max("event_time").alias("high")).collect()}
+    stored = batches.batch_folders(spark, path, batch_id, lambda prefix: prefix.removeprefix("day=").rstrip("/") in days)
+    fresh = rows
+    if stored:
+        low, high = min(v[0] for v in days.values()), max(v[1] for v in days.values())
+        held = versions.read_parts(spark, path, stored).select(*schemas.EVENT_COLUMNS).filter(F.col("event_time").between(low, high))
+        held = held.withColumnsRenamed({c: f"_{c}" for c in schemas.EVENT_COLUMNS})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in schemas.EVENT_COLUMNS]
+        fresh = rows.join(held, reduce(Column.__and__, same), "left_anti")
+    batches.append_batch(fresh, batch_id, path, ("day",))
+    rows.unpersist()
 
 
 def stored_silver(spark: SparkSession, path: str) -> DataFrame:
-    """Silver from the stored batches: copies across batches, late ones too, are merged here."""
-    stored = spark.read.schema(schemas.EVENTS_SILVER).option("recursiveFileLookup", True).parquet(path)
-    return dedup_events(stored)
+    """Silver from the stored batches: each row is there once, so reading is a plain scan."""
+    return versions.read_parts(
+        spark, path, batches.batch_folders(spark, path), schemas.EVENTS_SILVER).select(*schemas.EVENTS_SILVER.names)
 
 
 def start_click_stream(
@@ -51,7 +64,8 @@ def start_click_stream(
 
     ``target/silver`` takes every valid row; one stateful query feeds
     ``target/reminders``, ``target/offers`` and the ``target/ledger`` of handled carts,
-    each partitioned by batch and replaced when a batch runs again. ``trigger`` goes to ``DataStreamWriter.trigger``.
+    each with a log of batches, so that a batch that runs again counts once.
+    ``trigger`` goes to ``DataStreamWriter.trigger``.
     """
     ship_package(events.sparkSession)
     trigger = trigger or {"processingTime": "1 minute"}

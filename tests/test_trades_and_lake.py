@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from basketlake import schemas
 from basketlake.operators import kpis, trades
+from basketlake.operators import silver as silver_ops
 from basketlake.plans import jobs
 from basketlake.sinks import lake as sink
-from basketlake.sinks import versions
+from basketlake.sinks import batches, versions
 from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_landed
 from basketlake.streaming.run import drain
-from basketlake.streaming.silver import event_stream_to_silver
+from basketlake.streaming.silver import event_stream_to_silver, store_batch, stored_silver
 from basketlake.streaming.trades import start_trade_stream
 from conftest import rows_of
 
@@ -83,7 +84,8 @@ def test_a_load_that_dies_leaves_the_old_month(spark, tmp_path, monkeypatch):
     assert seen() == [1, 2]
     sink.load_month(load(6), path, 2024, 3)
     assert seen() == [6]
-    assert len(versions.vacuum(spark, path)) == 3 and seen() == [6]
+    gone = versions.vacuum(spark, path)
+    assert sum("/version=" in g for g in gone) == 3 and sum("/_manifest/" in g for g in gone) == 2 and seen() == [6]
 
 
 def test_strays_name_their_months(spark, tmp_path):
@@ -168,7 +170,7 @@ def test_trade_stream_and_quarantine(spark, tmp_path):
             query.awaitTermination()
     run()
     run()  # nothing new: nothing is written twice
-    assert rows_of(spark.read.parquet(f"{base}/out/curated/prices"), "ticker", "price_band") == [
+    assert rows_of(source.read_layer(spark, f"{base}/out/curated/prices"), "ticker", "price_band") == [
         ("A", "LOW")]
     assert source.read_raw_json(spark, f"{base}/out/raw/prices", schemas.RAW_PRICES).count() == 1
     assert spark.read.json(f"{base}/out/quarantine/prices").count() == 2
@@ -180,4 +182,35 @@ def test_curated_batch_runs_again_without_doubles(spark, tmp_path):
     sink.append_curated(frame, 0, path)
     sink.append_curated(frame, 1, path)
     sink.append_curated(frame, 1, path)
-    assert spark.read.parquet(path).count() == 4
+    assert source.read_layer(spark, path).count() == 4
+
+
+def test_files_of_many_batches_stay_few(spark, tmp_path):
+    """27 batches, each run twice, merged three by three: every row once, few live parts and files."""
+    path = str(tmp_path / "curated")
+    for batch_id in range(27):
+        for value in (-1, batch_id):  # the first run is lost and replaced
+            batches.append_batch(spark.createDataFrame([(value,)], "v int").coalesce(1), batch_id, path, fanout=3)
+    assert [r[0] for r in rows_of(source.read_layer(spark, path))] == sorted(range(27), key=lambda v: repr((v,)))
+    parts = versions.live_parts(spark, path)
+    assert len(parts) <= 3 * 3 and {p.split("/")[0] for p in parts} >= {"level=0", "level=2"}
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 25
+    assert sorted(batches.batch_folders(spark, path, 0)) == []
+
+
+def test_stored_silver_of_a_stream_is_merged_as_it_comes(spark, lk, tmp_path, capsys):
+    """Late copies, copies across days and repeated batches; reading plans no exchange."""
+    path = str(tmp_path / "silver")
+    landed = as_landed(lk.clicks()).withColumn("part", F.pmod(F.xxhash64("event_time"), F.lit(4))).persist()
+    shifted = landed.withColumn("event_time", F.concat(F.lit("2031"), F.substring("event_time", 5, 100)))
+    both = landed.unionByName(shifted)
+    for batch_id in range(4):
+        rows = both.filter((F.col("part") == batch_id) | (F.col("part") == (batch_id + 2) % 4)).drop("part")
+        store_batch(rows, batch_id, path)
+    store_batch(both.filter("part in (1, 3)").drop("part"), 3, path)
+    got = stored_silver(spark, path)
+    got.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    want = silver_ops.dedup_events(silver_ops.valid_events(silver_ops.normalise_events(both.drop("part"))))
+    assert rows_of(got, *schemas.EVENT_COLUMNS) == rows_of(want, *schemas.EVENT_COLUMNS)
