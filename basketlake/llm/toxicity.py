@@ -1,10 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the words of a text and the first 4, 5 and 6 bytes of longer words, each
-hashed to 64 bits. The ``TERMS`` most telling ones (by the log-odds of toxic against
-other labelled texts, less one standard error) are the inputs; the machine adds to their linear weights an
-inner product of factors for each pair present, so that an insult beside a group
-mention can weigh more than both apart.
+hashed to 64 bits. The machine adds to linear weights of terms an inner product of
+factors for each pair present, so that an insult beside a group mention can weigh more
+than both apart. It is fitted twice. A wide, sparse machine first sees *all* terms of the
+sample, hashed to ``BUCKETS``; a term that tells nothing alone still gets factors there if
+its pairs tell. Its ``PAIRED`` strongest buckets and the ``TERMS`` most telling terms (by
+the log-odds of toxic against other labelled texts, less one standard error) are then the
+inputs of the machine that scores.
 
 Training reads at most about ``SAMPLE`` labelled rows, drawn by a digest of the id;
 term counts and the fit see those rows whole.
@@ -22,6 +25,10 @@ from basketlake.llm.common import in_fold, stored
 
 SAMPLE = 20_000
 TERMS = 512
+PAIRED = 96
+BUCKETS = 1 << 18
+WIDE_STEPS, WIDE_ROWS = 160, 256  # minibatches of the wide machine
+LEAST_TEXTS = 3  # a term of fewer sampled texts is no input
 FACTORS = 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
@@ -74,6 +81,81 @@ def fit_machine(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms
     return float(weights[0][0]), weights[1], weights[2]
 
 
+def term_bucket(terms: np.ndarray) -> np.ndarray:
+    return (terms.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def wide_factors(ends: np.ndarray, buckets: np.ndarray, labels: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Factors (buckets x FACTORS) of a machine over all buckets, by sparse minibatches.
+
+    Row i has the buckets ``buckets[ends[i-1]:ends[i]]``. Steps adapt to each parameter's
+    past gradients and a threshold shrinks what pairs do not confirm to zero.
+    """
+    rng = np.random.default_rng(seed)
+    starts = np.concatenate(([0], ends[:-1]))
+    prior = float(np.clip(labels.mean(), 1e-4, 1 - 1e-4))
+    bias, linear, factors = np.log(prior / (1 - prior)), np.zeros(BUCKETS), rng.normal(0, 0.02, (BUCKETS, FACTORS))
+    past, past_factors = np.full(BUCKETS, 1e-3), np.full((BUCKETS, FACTORS), 1e-3)
+    order = rng.permutation(len(labels))
+    for step in range(WIDE_STEPS):
+        rows = np.take(order, np.arange(step * WIDE_ROWS, (step + 1) * WIDE_ROWS), mode="wrap")
+        ones = np.concatenate([buckets[a:b] for a, b in zip(starts[rows], ends[rows])])
+        if not len(ones):
+            continue
+        row = np.repeat(np.arange(WIDE_ROWS), ends[rows] - starts[rows])
+        own = factors[ones]
+        sums = np.stack([np.bincount(row, weights=own[:, f], minlength=WIDE_ROWS) for f in range(FACTORS)], axis=1)
+        score = (bias + np.bincount(row, weights=linear[ones], minlength=WIDE_ROWS)
+                 + 0.5 * ((sums ** 2).sum(1) - np.bincount(row, weights=(own ** 2).sum(1), minlength=WIDE_ROWS)))
+        error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[rows]) / WIDE_ROWS
+        active, place = np.unique(ones, return_inverse=True)
+        slope = np.bincount(place, weights=error[row])
+        slopes = np.stack([np.bincount(place, weights=error[row] * (sums[row, f] - own[:, f])) for f in range(FACTORS)], axis=1)
+        past[active] += slope ** 2
+        past_factors[active] += slopes ** 2
+        rate, rates = 0.1 / np.sqrt(past[active]), 0.1 / np.sqrt(past_factors[active])
+        linear[active] -= rate * slope
+        moved = factors[active] - rates * slopes
+        factors[active] = np.sign(moved) * np.maximum(np.abs(moved) - 2e-4 * rates, 0)
+        bias -= 0.1 * error.sum()
+    return factors
+
+
+def _paired(batches):
+    """The buckets with the most factor mass over the texts that hold them."""
+    sizes, buckets, labels = [], [], []
+    for batch in batches:
+        labels.append(batch.column(0).to_numpy())
+        sizes.append(np.diff(batch.column(1).offsets.to_numpy()))
+        buckets.append(batch.column(1).flatten().to_numpy())
+    if labels:
+        ends, ones, marks = np.cumsum(np.concatenate(sizes)), np.concatenate(buckets), np.concatenate(labels)
+        texts = np.bincount(ones, minlength=BUCKETS)
+        spread = np.sqrt(texts * np.maximum(len(marks) - texts, 0.0))
+        mass = np.where(texts >= LEAST_TEXTS, (wide_factors(ends, ones, marks.astype(float)) ** 2).sum(1) * spread, 0.0)
+        best = np.lexsort((np.arange(BUCKETS), -mass))[:PAIRED]
+        yield pa.RecordBatch.from_arrays([pa.array(best[mass[best] > 0].astype(np.int32))], names=["bucket"])
+
+
+def _bucketed(batches):
+    for batch in batches:
+        terms = batch.column(1)
+        flat = pa.array(term_bucket(terms.flatten().to_numpy()))
+        starts = terms.offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), flat)], names=["toxic", "buckets"])
+
+
+def _known(vocabulary: list[int]):
+    """Drops terms that are no input, before they travel to the fitting task."""
+    def run(batches):
+        for batch in batches:
+            rows = [v.values.to_numpy() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[np.isin(r, vocabulary)] for r in rows], pa.list_(pa.int64()))], names=["toxic", "terms"])
+    return run
+
+
 def _fit(vocabulary: list[int]):
     def run(batches):
         known = np.array(sorted(vocabulary), dtype=np.int64)
@@ -155,12 +237,18 @@ def train(documents: DataFrame, labels: DataFrame) -> Machine:
     if not toxic or not rest:
         return Machine([])
     counts = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("toxic").alias("p"), F.count("*").alias("c")).where("c >= 3")
+        F.sum("toxic").alias("p"), F.count("*").alias("c")).where(F.col("c") >= LEAST_TEXTS)
     q = F.col("c") - F.col("p")
     odds = F.log((F.col("p") + 0.5) / (toxic + 1.0)) - F.log((q + 0.5) / (rest + 1.0))
     telling = F.abs(odds) - F.sqrt(1 / (F.col("p") + 0.5) + 1 / (q + 0.5))
     best = [r["term"] for r in counts.select("term", telling.alias("z")).orderBy(F.desc("z"), "term").limit(TERMS).collect()]
-    weights = sample.repartition(1).mapInArrow(_fit(best), "term long, weight double, factors array<double>, bias boolean")
+    # the term as an unsigned number modulo the (power of two) number of buckets
+    bucket = F.col("term").bitwiseAND(F.lit(BUCKETS - 1))
+    paired = [r["bucket"] for r in sample.mapInArrow(_bucketed, "toxic int, buckets array<int>").repartition(1)
+              .sortWithinPartitions("toxic", "buckets").mapInArrow(_paired, "bucket int").collect()]
+    best += [r["term"] for r in counts.where(bucket.isin(paired)).select("term").collect()] if paired else []
+    best = sorted(set(best))
+    weights = sample.mapInArrow(_known(best), "toxic int, terms array<long>").repartition(1).mapInArrow(_fit(best), "term long, weight double, factors array<double>, bias boolean")
     return Machine(weights.collect())
 
 

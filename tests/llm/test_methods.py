@@ -485,3 +485,19 @@ def test_hilbert_curve_is_a_path():
     cells = np.array([(a, b, c) for a in range(4) for b in range(4) for c in range(4)])
     order = cells[np.argsort(ann.hilbert_keys(cells, 2))]
     assert (np.abs(np.diff(order, axis=0)).sum(1) == 1).all()
+
+
+def test_toxicity_of_pairs_that_tell_nothing_apart(spark, make_docs):
+    """Toxic if both words stand there or neither; each alone has no log-odds, in a vocabulary of thousands."""
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(4000):
+        words = [f"word{rng.randrange(3000)}" for _ in range(25)]
+        first, second = rng.random() < 0.5, rng.random() < 0.5
+        words[3:3] = ["insultish"] * first
+        words[9:9] = ["groupname"] * second
+        rows.append((i, " ".join(words), "en", "s"))
+        marks.append((i, 1, int(first == second)))
+    out = toxicity.toxicity(make_docs(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    right = sum((r["score"] >= 0.5) == bool(marks[r["doc_id"]][2]) for r in out)
+    assert len(out) > 900 and right >= 0.9 * len(out)
