@@ -99,9 +99,7 @@ class Profiles:
         """(distance to each language, n-grams compared) per row."""
         n = len(offsets) - 1
         rows, codes, counts = gram_counts(data, offsets)
-        common = (1 << _COUNT_BITS) - 1 - np.minimum(counts, (1 << _COUNT_BITS) - 1)
-        keys = np.sort((((rows << _COUNT_BITS) | common) << _CODE_BITS) | codes)
-        rows, codes = keys >> (_COUNT_BITS + _CODE_BITS), keys & ((1 << _CODE_BITS) - 1)
+        rows, codes = by_count(rows, codes, counts)
         first = np.searchsorted(rows, np.arange(n))
         place = np.arange(len(rows)) - first[rows]
         top = place < TOP
@@ -113,6 +111,16 @@ class Profiles:
         return out, np.bincount(rows, minlength=n)
 
 
+def by_count(rows: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and codes by row, then commonest first, then code."""
+    top = (1 << _COUNT_BITS) - 1
+    if counts.max(initial=0) > top:  # a count that does not fit beside row and code in one number
+        order = np.lexsort((codes, -counts, rows))
+        return rows[order], codes[order]
+    keys = np.sort((((rows << _COUNT_BITS) | (top - counts)) << _CODE_BITS) | codes)
+    return keys >> (_COUNT_BITS + _CODE_BITS), keys & ((1 << _CODE_BITS) - 1)
+
+
 def _has_letter(raw: bytes) -> bool:
     if any(0x61 <= b <= 0x7A or 0x41 <= b <= 0x5A for b in raw[:64]):
         return True

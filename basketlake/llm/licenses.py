@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,7 +85,9 @@ def license_scan(documents: DataFrame) -> DataFrame:
     vocabulary = sorted({w for _, words, _ in sets for w in words})
     fewest = min(least for _, _, least in sets)
     known = F.array(*[F.lit(w) for w in vocabulary])
-    low = documents.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("low"))
+    # A-Z alone: other letters with an ASCII small form stay as they are
+    text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    low = documents.select("doc_id", text.alias("low"))
     lines = low.withColumn("lines", F.transform(
         F.split("low", "\n", -1), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0))))
     counted = lines.select(

@@ -501,3 +501,21 @@ def test_toxicity_of_pairs_that_tell_nothing_apart(spark, make_docs):
     out = toxicity.toxicity(make_docs(rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).where("held_out").collect()
     right = sum((r["score"] >= 0.5) == bool(marks[r["doc_id"]][2]) for r in out)
     assert len(out) > 900 and right >= 0.9 * len(out)
+
+
+@pytest.mark.parametrize("most", [50, 1 << 22])
+def test_ranks_by_count_at_any_size(most):
+    """Counts beyond the packed form rank like all others."""
+    rng = np.random.default_rng(most)
+    rows, codes = np.sort(rng.integers(0, 5, 400)), rng.integers(0, 1 << 20, 400)
+    counts = rng.integers(1, most, 400)
+    got = list(zip(*[x.tolist() for x in langid.by_count(rows, codes, counts)]))
+    assert got == [(r, c) for r, _, c in sorted(zip(rows.tolist(), (-counts).tolist(), codes.tolist()))]
+
+
+def test_licenses_lower_case_a_to_z_only(spark, make_docs):
+    kelvin = "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License wor\u212a"
+    docs = make_docs([(1, kelvin, "en", "s"), (2, kelvin.upper(), "en", "s"), (3, "UNDER THE MIT LICENSE", "en", "s"), (4, "under the m\u0130t license", "en", "s")])
+    rows = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    assert rows[3]["base_labels"] == "mit" and rows[4]["base_labels"] == ""
+    assert rows[1]["labels"] == rows[2]["labels"]
