@@ -2,7 +2,8 @@
 
 Heuristics vote good, bad or nothing on a whole text. Expectation-maximisation over
 the counts of vote patterns of all documents estimates how each heuristic votes on
-good and on bad texts, and with it the probability that a pattern is a good text.
+good texts and on each kind of bad ones, and with it the probability that a pattern is
+a good text. Priors are a few pseudo-rows; the counts decide.
 These posteriors are the soft labels of a logistic scorer over hashed word shapes,
 fitted on about ``SAMPLE`` documents drawn by a digest. The scorer decides.
 """
@@ -34,9 +35,12 @@ HEURISTICS = [
 ]
 SHORT = 20  #: below so many words (or letters) shares say nothing: no vote
 
-#: What is assumed before counting: good texts rarely get a bad vote, and this share
-#: of bad texts is seen by no heuristic.
-GOOD_GETS_BAD, PRIOR_STRENGTH, UNSEEN = 0.001, 10.0, 0.02
+#: Assumed before counting, (mean, rows): bad votes on good texts, on a kind of bad ones, and
+#: on a kind that one heuristic sees alone (its own votes, those of others).
+GOOD_PRIOR, BAD_PRIOR = (0.05, 20.0), (0.5, 4.0)
+LONE_OWN, LONE_OTHER = (0.99, 1e12), (0.001, 1e12)
+UNSEEN = 0.002  #: share of a kind of bad texts that no heuristic sees
+ROUNDS, KINDS, SEEDS = 500, 8, 3  #: of the estimate: rounds, kinds of bad texts, starts for each further kind
 
 _UPPER = np.array([0x41 <= b <= 0x5A for b in range(256)])
 _LETTER = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
@@ -97,36 +101,102 @@ def votes(features: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def pattern_posteriors(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100):
-    """P(good | pattern) and P(bad vote | class, a vote) by EM; patterns (k x heuristics), weights k.
+def _chances(patterns: np.ndarray, prior: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Log of P(class and pattern), patterns x classes; class 0 is good, the others are seen but for UNSEEN."""
+    bad, voted = (patterns == BAD).astype(float), (patterns != NONE).astype(float)
+    silent = voted @ np.log1p(-rates).T
+    log = np.log(prior) + bad @ (np.log(rates) - np.log1p(-rates)).T + silent
+    given = np.log1p(-UNSEEN) - np.log(-np.expm1(np.minimum(silent, -1e-9)))
+    seen = bad.any(1)[:, None]
+    log[:, 1:] = np.where(seen, log + given, np.log(prior) + np.log(UNSEEN))[:, 1:]
+    return log
 
-    Starts from "bad if anything votes bad"; a missing vote says nothing. Kinds of junk
-    exclude each other, so votes on a bad text are modelled given that some heuristic
-    sees it (all but UNSEEN). The prior on good texts keeps a heuristic that alone sees
-    one kind of junk from being explained away as noise.
+
+def estimate(patterns: np.ndarray, weights: np.ndarray, share: np.ndarray, lone: tuple[int, ...] = ()):
+    """EM from the class shares ``share`` (k x classes, class 0 good) of each pattern.
+
+    Within a class heuristics vote independently; a missing vote says nothing. The last
+    classes are kinds that the heuristics ``lone`` see alone: their rates are given.
+    Returns (shares, P(class), P(bad vote | class, a vote), better, log likelihood);
+    ``better``: the good class has most texts without a bad vote, and on it no heuristic
+    is worse than chance.
+    """
+    bad_votes, voted = (patterns == BAD).astype(float), (patterns != NONE).astype(float)
+    classes, width = share.shape[1], patterns.shape[1]
+    before = np.repeat(np.array([GOOD_PRIOR] + [BAD_PRIOR] * (classes - 1))[:, None], width, axis=1)
+    for at, own in enumerate(lone, classes - len(lone)):
+        before[at] = np.where(np.arange(width)[:, None] == own, LONE_OWN, LONE_OTHER)
+    wrong, strength = before[..., 0] * before[..., 1], before[..., 1]
+    for _ in range(ROUNDS):
+        held = (share * weights[:, None]).T
+        prior = (held.sum(1) + 1) / (weights.sum() + classes)
+        rates = (held @ bad_votes + wrong) / (held @ voted + strength)
+        log = _chances(patterns, prior, rates)
+        top = log.max(1, keepdims=True)
+        each = top[:, 0] + np.log(np.exp(log - top).sum(1))
+        after = np.exp(log - each[:, None])
+        moved = np.abs(after - share).max(initial=0)
+        share = after
+        if moved < 1e-9:
+            break
+    unseen = weights * ~bad_votes.any(1)
+    better = bool(2 * (unseen @ share[:, 0]) >= unseen.sum() and (rates[0] <= 0.5).all())
+    return share, prior, rates, better, float(weights @ each)
+
+
+def pattern_posteriors(patterns: np.ndarray, weights: np.ndarray):
+    """P(good | pattern) and P(bad vote | class, a vote), class 0 bad and 1 good, by EM.
+
+    Junk comes in kinds that different heuristics see, so votes on bad texts need not be
+    independent: the model is one good class and one or more kinds of bad ones. Symmetry
+    is broken by "heuristics are better than chance" alone: one kind is fitted from "bad
+    if anything votes bad" and from the majority vote, the likelier fit stays. Then kinds
+    are added, each begun at the bad-voted pattern that the fit so far explains worst, as
+    long as the Bayesian information criterion rises or a heuristic is still worse than chance on
+    good texts. Last, texts with one bad vote (all, or those that still count as noise of good
+    texts) are tried as kinds that one heuristic sees alone, all at once, beside the other kinds
+    or in their place: they are, if they meet each other so much less often than independent
+    noise would that the criterion rises with one parameter a kind. Rates of the bad class are
+    those of all its kinds together.
     """
-    seen = (patterns == BAD).any(1)
-    total = max(float(weights.sum()), 1.0)
-    good = np.where(seen, 0.05, 0.95)
-    rates = np.zeros((2, patterns.shape[1]))
-    for _ in range(rounds):
-        prior = np.clip((good * weights).sum() / total, 1e-3, 1 - 1e-3)
-        for c, share in enumerate((1 - good, good)):
-            bad = ((patterns == BAD) * (share * weights)[:, None]).sum(0)
-            any_ = ((patterns != NONE) * (share * weights)[:, None]).sum(0)
-            before = (GOOD_GETS_BAD, PRIOR_STRENGTH * total) if c else (0.25, 4.0)
-            rates[c] = (bad + before[0] * before[1]) / (any_ + before[1])
-        rates = np.clip(rates, 1e-6, 1 - 1e-6)
-        log = [np.log(p) + np.where(patterns == BAD, np.log(r), np.where(patterns == GOOD, np.log1p(-r), 0.0)).sum(1)
-               for p, r in ((1 - prior, rates[0]), (prior, rates[1]))]
-        silent = np.where(patterns != NONE, np.log1p(-rates[0]), 0.0).sum(1)
-        given = np.log1p(-UNSEEN) - np.log(-np.expm1(np.minimum(silent, -1e-9)))
-        log[0] = np.where(seen, log[0] + given, np.log(1 - prior) + np.log(UNSEEN))
-        after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        if np.abs(after - good).max(initial=0) < 1e-6:
-            return after, rates
-        good = after
-    return good, rates
+    width = patterns.shape[1]
+    if not len(patterns) or not weights.sum():
+        return np.ones(len(patterns)), np.full((2, width), 0.5)
+    each = np.log(weights.sum()) / 2  # cost of one more parameter
+    cost = (width + 1) * each
+    bad_votes, good_votes = (patterns == BAD).sum(1), (patterns == GOOD).sum(1)
+    starts = [np.where(bad, 0.05, 0.95) for bad in (bad_votes > 0, bad_votes > good_votes)]
+    best = max((estimate(patterns, weights, np.stack([g, 1 - g], axis=1)) for g in starts), key=lambda fit: fit[3:])
+    _, group = np.unique((patterns != NONE) @ (2 ** np.arange(width)), return_inverse=True)
+    group = group.ravel()  # patterns compete where the same heuristics vote
+    while best[0].shape[1] <= KINDS:
+        share = best[0]
+        expected = np.exp(_chances(patterns, *best[1:3])).sum(1) * np.bincount(group, weights=weights)[group]
+        misfit = np.where(bad_votes > 0, weights * np.log(weights / expected), 0.0)
+        tries = []
+        for seed in np.argsort(-misfit, kind="stable")[:SEEDS]:
+            if misfit[seed] > 0:
+                begun = np.append(share, np.zeros((len(share), 1)), axis=1)
+                begun[seed] = np.arange(begun.shape[1]) == share.shape[1]
+                tries.append(estimate(patterns, weights, begun))
+        found = max(tries, key=lambda fit: fit[3:], default=None)
+        if found is None or (found[3], found[4] - cost) <= best[3:]:
+            break
+        best = found
+    share, level = best[0], (best[3], best[4] - (best[0].shape[1] - 1) * cost)
+    single, alone = bad_votes == 1, np.ones((len(patterns), 1))
+    for seen, base in ((single, alone), (single, share), (single & (share[:, 0] > 0.5), share)):
+        lone = tuple(j for j in range(width) if (seen & (patterns[:, j] == BAD)).any())
+        begun = np.append(base, np.zeros((len(patterns), len(lone))), axis=1)
+        for at, j in enumerate(lone, base.shape[1]):
+            begun[seen & (patterns[:, j] == BAD)] = np.arange(begun.shape[1]) == at
+        found = estimate(patterns, weights, begun, lone)
+        if lone and (found[3], found[4] - (base.shape[1] - 1) * cost - len(lone) * each) > level:
+            best = found
+            break
+    share, _, rates, _, _ = best
+    mass = weights @ share[:, 1:]
+    return share[:, 0], np.stack([mass @ rates[1:] / max(mass.sum(), 1e-300), rates[0]])
 
 
 _POWERS = 3 ** np.arange(len(HEURISTICS))

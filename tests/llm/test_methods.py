@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import collections
 import random
 import re
 
@@ -321,6 +322,70 @@ def test_weak_labels_find_the_rare_kind():
         assert (p < 0.5) == bool((row == quality.BAD).any())
 
 
+def plain_em(rows, start):
+    """One good and one bad class, row by row in loops over the distinct rows."""
+    counts = collections.Counter(map(tuple, rows))
+    good = {p: start(p) for p in counts}
+    total = sum(counts.values())
+    for _ in range(quality.ROUNDS):
+        rates, shares = [], []
+        for share, (mean, strength) in ((lambda p: good[p], quality.GOOD_PRIOR), (lambda p: 1 - good[p], quality.BAD_PRIOR)):
+            shares.append((sum(share(p) * c for p, c in counts.items()) + 1) / (total + 2))
+            rates.append([
+                (sum(share(p) * c for p, c in counts.items() if p[j] == quality.BAD) + mean * strength)
+                / (sum(share(p) * c for p, c in counts.items() if p[j] != quality.NONE) + strength) for j in range(len(rows[0]))])
+        for p in counts:
+            odds, silent = list(shares), 1.0
+            for vote, r_good, r_bad in zip(p, *rates):
+                odds[0] *= r_good if vote == quality.BAD else 1 - r_good if vote == quality.GOOD else 1
+                odds[1] *= r_bad if vote == quality.BAD else 1 - r_bad if vote == quality.GOOD else 1
+                silent *= 1 - r_bad if vote != quality.NONE else 1
+            # a bad text is seen by some heuristic, but for a given share
+            odds[1] = odds[1] * (1 - quality.UNSEEN) / (1 - silent) if quality.BAD in p else shares[1] * quality.UNSEEN
+            good[p] = odds[0] / (odds[0] + odds[1])
+    return good, rates
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_weak_label_rates_of_erring_heuristics_are_estimated(seed):
+    rng = np.random.default_rng(seed)
+    n = 20_000
+    alarms, hits = np.array([0.20, 0.10, 0.30, 0.05, 0.15]), np.array([0.8, 0.7, 0.9, 0.6, 0.75])
+    bad = rng.random(n) < 0.3
+    votes = np.where(rng.random((n, 5)) < np.where(bad[:, None], hits, alarms), quality.BAD, quality.GOOD)
+    votes[rng.random((n, 5)) < 0.1] = quality.NONE
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good, rates = quality.pattern_posteriors(patterns, counts.astype(float))
+    assert np.abs(rates[0] - hits).max() < 0.03 and np.abs(rates[1] - alarms).max() < 0.03
+    right = ((good[where.ravel()] < 0.5) == bad).mean()
+    majority = ((votes == quality.BAD).sum(1) > (votes == quality.GOOD).sum(1)) == bad
+    assert right >= majority.mean()
+    plain, plain_rates = plain_em(votes.tolist(), lambda p: 0.05 if p.count(quality.BAD) > p.count(quality.GOOD) else 0.95)
+    assert max(abs(plain[tuple(p)] - g) for p, g in zip(patterns.tolist(), good)) < 1e-6
+    assert np.abs(np.array(plain_rates)[::-1] - rates).max() < 1e-6
+
+
+def test_weak_labels_know_a_kind_from_the_noise_of_good_texts():
+    # heuristics 0 and 1 see one kind, 2 and 3 another; heuristic 4 errs on its own, 30 % of the time
+    rng = np.random.default_rng(5)
+    n = 10_000
+    kind = rng.choice(3, n, p=[0.9, 0.05, 0.05])
+    votes = np.full((n, 5), quality.GOOD)
+    votes[kind == 1, 0:2] = votes[kind == 2, 2:4] = quality.BAD
+    votes[rng.random(n) < 0.3, 4] = quality.BAD
+    patterns, where, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    good, rates = quality.pattern_posteriors(patterns, counts.astype(float))
+    assert ((good[where.ravel()] > 0.5) == (kind == 0)).all()
+    assert abs(rates[1][4] - 0.3) < 0.03
+
+
+def test_weak_labels_of_nothing_and_of_one_pattern():
+    good, rates = quality.pattern_posteriors(np.zeros((0, 5), int), np.zeros(0))
+    assert not len(good) and rates.shape == (2, 5)
+    good, _ = quality.pattern_posteriors(np.full((1, 5), quality.GOOD), np.array([50.0]))
+    assert good[0] > 0.5
+
+
 def test_quality_keeps_prose_and_drops_junk(make_docs):
     rng = random.Random(6)
     vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mir", "the", "on") for b in ("n", "der", "t", "ing", "a")]
