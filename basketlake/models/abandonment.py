@@ -13,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake import schemas
-from basketlake.models.common import SEED, assembler, evaluate_auc, fit_on, kept, score, stored
+from basketlake.models.common import SEED, assembler, evaluate, fit_on, kept, score, stored
 from basketlake.operators.decisions import recommend_coupon
-from basketlake.operators.metrics import (
-    class_report, classification_metrics, confusion_counts,
-)
+from basketlake.operators.metrics import class_report
 from basketlake.operators.splits import part, split_2way, split_stratified
 
 TARGET = schemas.ABANDONED
@@ -73,8 +71,8 @@ def compare_abandonment_models(carts: DataFrame) -> tuple[PipelineModel, DataFra
         for name, estimator in _candidates(fit_rows.count()):
             model = stored(estimator.fit(fit_rows))
             predictions = model.transform(test_rows)
-            auc = evaluate_auc(predictions, TARGET)["roc_auc"]
-            counts = classification_metrics(confusion_counts(predictions, TARGET)).first()
+            counts = evaluate({name: predictions}, TARGET)[name]
+            auc = counts["roc_auc"]
             reports.append((
                 name, float(auc), *(float(counts[m]) for m in
                                     ("accuracy", "precision", "recall", "f1")),
@@ -113,11 +111,9 @@ def train_abandonment_7f(sessions: DataFrame) -> tuple[PipelineModel, DataFrame]
     train, test = _halves(sessions)
     model = fit_on(train, schemas.LABELLED_FEATURES, RandomForestClassifier(
         labelCol=TARGET, numTrees=100, maxDepth=10, seed=SEED))
-    with kept(model.transform(test).select(TARGET, "prediction", "rawPrediction")) as predicted:
-        auc = evaluate_auc(predicted, TARGET)["roc_auc"]
-        accuracy = classification_metrics(confusion_counts(predicted, TARGET)).first()["accuracy"]
+    found = evaluate({"test": model.transform(test)}, TARGET)["test"]
     report = sessions.sparkSession.createDataFrame(
-        [(float(accuracy), float(auc))], "accuracy double, roc_auc double"
+        [(found["accuracy"], found["roc_auc"])], "accuracy double, roc_auc double"
     )
     return model, report
 

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from basketlake.operators import metrics
 from basketlake.session import scratch_path
 
 SEED = 42
@@ -64,14 +65,34 @@ def score(model: Transformer, df: DataFrame, column: str = "probability_1") -> D
     return model.transform(df).withColumn(column, vector_to_array("probability")[1])
 
 
+def evaluate(predictions: dict[str, DataFrame], label: str) -> dict[str, dict[str, float]]:
+    """Areas, confusion counts and metrics of each named set of predictions.
+
+    Rows are scored once: all figures come from counts per name, score and prediction. The
+    score is the probability of class 1.
+    """
+    counts = reduce(DataFrame.unionByName, [
+        metrics.score_counts(rows, label, vector_to_array("probability")[1], model=F.lit(name), prediction="prediction")
+        for name, rows in predictions.items()])
+    found = {name: {"roc_auc": 0.0, "pr_auc": 0.0} for name in predictions}
+    with kept(counts):
+        for row in metrics.curve_areas(counts, ["model"]).collect():  # one row per name
+            found[row["model"]] |= {"roc_auc": row["roc_auc"], "pr_auc": row["pr_auc"]}
+        for name in predictions:
+            own = counts.filter(F.col("model") == name)
+            hit = F.col("prediction") == 1
+            confusion = own.agg(*[
+                F.coalesce(F.sum(F.when(called, F.col(side))), F.lit(0)).alias(cell)
+                for cell, called, side in (("tp", hit, "positives"), ("fp", hit, "negatives"),
+                                           ("fn", ~hit, "positives"), ("tn", ~hit, "negatives"))])
+            found[name] |= metrics.classification_metrics(confusion).first().asDict()
+    return found
+
+
 def evaluate_auc(predictions: DataFrame, label: str) -> dict[str, float]:
     """Areas under the ROC and the precision-recall curve."""
-    def area(metric: str) -> float:
-        return BinaryClassificationEvaluator(
-            labelCol=label, rawPredictionCol="rawPrediction", metricName=metric
-        ).evaluate(predictions)
-
-    return {"roc_auc": area("areaUnderROC"), "pr_auc": area("areaUnderPR")}
+    found = evaluate({"": predictions}, label)[""]
+    return {name: found[name] for name in ("roc_auc", "pr_auc")}
 
 
 def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake import schemas
-from basketlake.models.common import SEED, evaluate_auc, fit_on, kept, score
+from basketlake.models.common import SEED, evaluate, evaluate_auc, fit_on, kept, score
 from basketlake.operators.decisions import propensity_bin
-from basketlake.operators.metrics import (
-    best_threshold, classification_metrics, confusion_counts, threshold_sweep,
-)
+from basketlake.operators.metrics import best_threshold, threshold_sweep
 
 TARGET = schemas.CONVERTED
 
@@ -40,10 +38,8 @@ def choose_model(
     rf: PipelineModel, gbt: PipelineModel, validation: DataFrame
 ) -> tuple[str, PipelineModel, dict[str, float]]:
     """Winner on the validation set alone, with both models' areas."""
-    areas = {}
-    for name, model in (("rf", rf), ("gbt", gbt)):
-        for metric, value in evaluate_auc(model.transform(validation), TARGET).items():
-            areas[f"{name}_validation_{metric}"] = value
+    found = evaluate({"rf": rf.transform(validation), "gbt": gbt.transform(validation)}, TARGET)
+    areas = {f"{name}_validation_{m}": found[name][m] for name in ("rf", "gbt") for m in ("roc_auc", "pr_auc")}
     winner = select_winner(areas["rf_validation_roc_auc"], areas["gbt_validation_roc_auc"])
     return winner, (gbt if winner == "GBTClassifier" else rf), areas
 
@@ -52,15 +48,10 @@ def training_report(
     winner: str, model: PipelineModel, areas: dict[str, float], test: DataFrame
 ) -> DataFrame:
     """One row: winner, validation areas, test metrics, test areas, confusion counts."""
-    predictions = model.transform(test).select(TARGET, "prediction", "rawPrediction")
-    with kept(predictions):
-        test_areas = evaluate_auc(predictions, TARGET)
-        counts = classification_metrics(confusion_counts(predictions, TARGET)).first()
-    metrics = ("accuracy", "precision", "recall", "f1")
+    found = evaluate({"test": model.transform(test)}, TARGET)["test"]
     row = {"winner": winner, **areas}
-    row |= {f"test_{name}": float(counts[name]) for name in metrics}
-    row |= {f"test_{name}": float(value) for name, value in test_areas.items()}
-    row |= {name: int(counts[name]) for name in ("tp", "fp", "fn", "tn")}
+    row |= {f"test_{name}": float(found[name]) for name in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")}
+    row |= {name: int(found[name]) for name in ("tp", "fp", "fn", "tn")}
     types = {str: "string", float: "double", int: "bigint"}
     schema = ", ".join(f"{name} {types[type(value)]}" for name, value in row.items())
     return test.sparkSession.createDataFrame([tuple(row.values())], schema)
@@ -74,7 +65,7 @@ def tune_threshold(model: PipelineModel, validation: DataFrame) -> DataFrame:
 def final_threshold_eval(model: PipelineModel, sweep: DataFrame, test: DataFrame) -> DataFrame:
     """One row: test metrics at the best validation threshold, with both areas."""
     threshold = best_threshold(sweep).first()["threshold"]
-    predictions = score(model, test).select(TARGET, "probability_1", "rawPrediction")
+    predictions = score(model, test).select(TARGET, "probability_1", "probability", "prediction")
     with kept(predictions):
         areas = evaluate_auc(predictions, TARGET)
         at_best = threshold_sweep(predictions, [threshold], TARGET).first()
@@ -111,6 +102,14 @@ def train_propensity_v1(train: DataFrame) -> PipelineModel:
     ))
 
 
+def propensity_metrics(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """One row: confusion counts, metrics and both areas on the test rows."""
+    found = evaluate({"test": model.transform(test)}, TARGET)["test"]
+    names = ["tp", "fp", "fn", "tn", "accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"]
+    schema = ", ".join(f"{n} {'bigint' if len(n) == 2 and n != 'f1' else 'double'}" for n in names)
+    return test.sparkSession.createDataFrame([tuple(found[n] for n in names)], schema)
+
+
 def score_conversion(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Add ``conversion_score`` and its report bin ``score_band``; keep the input columns."""
     scored = score(model, df, "conversion_score")

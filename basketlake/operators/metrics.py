@@ -6,12 +6,13 @@ works on a handful of counted rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlake.functions.columns import count_if, ratio
 
 # Thresholds tried on the validation set
+CURVE_CUTS = 255  # quantiles that cut the scores of a curve into ranges
 THRESHOLDS = [0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 
 
@@ -117,6 +118,56 @@ def threshold_sweep(
     return classification_metrics(counts).orderBy("threshold")
 
 
+def score_counts(
+    df: DataFrame, label: str = "converted", score: str | Column = "probability_1", **keys: str | Column
+) -> DataFrame:
+    """Positives and negatives per ``keys`` and distinct score: all that curves and confusion need.
+
+    One pass with map-side combining; rows without a score are left out.
+    """
+    score = F.col(score) if isinstance(score, str) else score
+    named = [(F.col(k) if isinstance(k, str) else k).alias(name) for name, k in keys.items()]
+    rows = df.select(*named, score.alias("score"), F.col(label).alias("_y")).filter(F.col("score").isNotNull())
+    return rows.groupBy(*keys, "score").agg(
+        count_if(F.col("_y") == 1).alias("positives"), count_if(F.col("_y") == 0).alias("negatives"))
+
+
+def curve_areas(counts: DataFrame, by: list[str] = []) -> DataFrame:
+    """Areas under the ROC and the precision-recall curve per ``by``, exact, from score counts.
+
+    Distinct scores are cut at quantiles into at most ``CURVE_CUTS`` + 1 ranges. Each range
+    is a window of its own; what lies above it comes from one row per range. The
+    curves have a point at each distinct score (equal scores count half), the
+    precision-recall curve begins level. Areas are 0 where a class is missing.
+    """
+    merged = counts.groupBy(*by, "score").agg(F.sum("positives").alias("pos"), F.sum("negatives").alias("neg"))
+    quantiles = [i / (CURVE_CUTS + 1) for i in range(1, CURVE_CUTS + 1)]
+    cuts = merged.agg(F.percentile_approx("score", quantiles, CURVE_CUTS * 100)).scalar()
+    ranged = merged.withColumn("_cuts", cuts).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda cut: cut <= F.col("score")))).drop("_cuts")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    above = Window.partitionBy(*by).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*by)
+    bases = sums.select(
+        *by, "_range",
+        *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("_p", "_n")],
+        *[F.sum(c).over(everything).alias(f"{c}_all") for c in ("_p", "_n")])
+    higher = Window.partitionBy(*by, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    point = ranged.join(F.broadcast(bases), [*by, "_range"]).withColumns({
+        "tp": F.coalesce(F.sum("pos").over(higher), F.lit(0)) + F.col("_p_above"),
+        "fp": F.coalesce(F.sum("neg").over(higher), F.lit(0)) + F.col("_n_above"),
+    })
+    pos, tp, fp = F.col("pos"), F.col("tp"), F.col("fp")
+    after = (tp + pos) / (tp + pos + fp + F.col("neg"))
+    before = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(after)
+    summed = point.groupBy(*by).agg(
+        F.sum(F.col("neg") * (tp + pos / 2)).alias("_roc"), F.sum(pos * (before + after) / 2).alias("_pr"),
+        F.first("_p_all").alias("_p"), F.first("_n_all").alias("_n"))
+    return summed.select(
+        *by, ratio(F.col("_roc"), F.col("_p").cast("double") * F.col("_n")).alias("roc_auc"),
+        ratio(F.col("_pr"), F.col("_p")).alias("pr_auc"))
+
+
 def best_threshold(sweep: DataFrame) -> DataFrame:
     """The threshold with the highest F1; the lowest of equals."""
     return sweep.orderBy(F.col("f1").desc(), F.col("threshold")).limit(1)

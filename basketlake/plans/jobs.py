@@ -189,7 +189,7 @@ def tune_conversion(spark: SparkSession, data: str, models: str, target: str) ->
 
 
 def train_propensity(spark: SparkSession, gold: str, target: str) -> None:
-    """First-generation forest: model, scored test rows, importances, band counts."""
+    """First-generation forest: model, test metrics, scored test rows, importances, band counts."""
     rows = splits.split_stratified(
         features.coerce_numeric(
             source.read_layer(spark, f"{gold}/ml_features"), schemas.PROPENSITY_FEATURES,
@@ -199,7 +199,9 @@ def train_propensity(spark: SparkSession, gold: str, target: str) -> None:
     )
     model = conversion.train_propensity_v1(splits.part(rows, "train"))
     common.save_model(model, f"{target}/model")
-    scored = conversion.score_conversion(model, splits.part(rows, "test"))
+    test = splits.part(rows, "test")
+    sink.write_report_csv(conversion.propensity_metrics(model, test), f"{target}/metrics")
+    scored = conversion.score_conversion(model, test)
     sink.write_export_csv(
         scored.select("session_id", "user_id", *schemas.PROPENSITY_FEATURES,
                       schemas.CONVERTED, "conversion_score", "score_band"),

@@ -552,6 +552,22 @@ def _(lk: Lake):
     return metrics.best_threshold(metrics.threshold_sweep(_scored(lk)))
 
 
+@query("curve_areas", """
+SELECT round(sum(neg * (tp + pos / 2.0)) / (max(p) * max(n)), 6) AS roc_auc,
+       round(sum(pos * (CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE (tp + pos) / (tp + pos + fp + neg) END
+                        + (tp + pos) / (tp + pos + fp + neg)) / 2) / max(p), 6) AS pr_auc
+FROM (SELECT CAST(pos AS DOUBLE) AS pos, CAST(neg AS DOUBLE) AS neg,
+             CAST(sum(pos) OVER () AS DOUBLE) AS p, CAST(sum(neg) OVER () AS DOUBLE) AS n,
+             CAST(sum(pos) OVER (ORDER BY probability_1 DESC) AS DOUBLE) - pos AS tp,
+             CAST(sum(neg) OVER (ORDER BY probability_1 DESC) AS DOUBLE) - neg AS fp
+      FROM (SELECT probability_1, count(*) FILTER (WHERE converted = 1) AS pos,
+                   count(*) FILTER (WHERE converted = 0) AS neg FROM scored GROUP BY probability_1))""")
+def _(lk: Lake):
+    """Exact areas under both curves, from counts per score."""
+    areas = metrics.curve_areas(metrics.score_counts(_scored(lk)))
+    return areas.select(*[F.round(c, 6).alias(c) for c in areas.columns])
+
+
 @query("class_report", """
 SELECT class, round(precision_, 6) AS precision, round(recall_, 6) AS recall,
        round(CASE WHEN precision_ + recall_ > 0
@@ -1006,8 +1022,7 @@ def _(lk: Lake):
 
 @query("propensity_metrics_v1")
 def _(lk: Lake):
-    scored = lk.propensity().transform(splits.part(lk.propensity_rows(), "test"))
-    return metrics.classification_metrics(metrics.confusion_counts(scored))
+    return conversion.propensity_metrics(lk.propensity(), splits.part(lk.propensity_rows(), "test"))
 
 
 @query("feature_importance_v1")

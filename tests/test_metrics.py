@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from basketlake.operators import kpis, metrics
 
@@ -64,3 +65,27 @@ def test_overview_and_funnel(spark):
     row = kpis.funnel_rates(steps).first()
     assert row["view_to_cart"] == 0.0 and row["total_events"] == 5
     assert row["cart_to_purchase"] == pytest.approx(200 / 3)
+
+
+def test_areas_equal_the_evaluators_at_every_score(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    score = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    rows = spark.range(5000).withColumn("probability_1", F.when(F.col("id") % 7 == 0, F.lit(0.25)).otherwise(score))
+    rows = rows.withColumn("converted", F.when(F.rand(3) * 0.7 + 0.15 < F.col("probability_1"), 1).otherwise(0))
+    both = rows.withColumn("model", F.lit("a")).unionByName(
+        rows.withColumns({"model": F.lit("b"), "probability_1": 1 - F.col("probability_1")})).cache()
+    found = {r["model"]: r for r in metrics.curve_areas(metrics.score_counts(both, model="model"), ["model"]).collect()}
+    for name in ("a", "b"):
+        for metric, column in (("areaUnderROC", "roc_auc"), ("areaUnderPR", "pr_auc")):
+            judge = BinaryClassificationEvaluator(
+                labelCol="converted", rawPredictionCol="probability_1", metricName=metric, numBins=0)
+            assert abs(judge.evaluate(both.filter(F.col("model") == name)) - found[name][column]) < 1e-9
+    assert found["a"]["roc_auc"] > 0.7 > 0.3 > found["b"]["roc_auc"]
+
+
+def test_areas_without_one_class_and_without_rows(spark):
+    rows = spark.createDataFrame([(1, 0.5), (1, None), (1, 0.7)], "converted int, probability_1 double")
+    assert metrics.curve_areas(metrics.score_counts(rows)).first()["roc_auc"] == 0.0
+    empty = metrics.curve_areas(metrics.score_counts(rows.limit(0), model="converted"), ["model"])
+    assert empty.collect() == []
