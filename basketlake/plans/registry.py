@@ -24,7 +24,9 @@ from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_clicks, as_landed
 from basketlake.streaming import followups as live_followups
-from basketlake.streaming.silver import event_stream_to_silver, start_click_stream, stored_silver
+from basketlake.streaming.silver import (
+    event_stream_to_silver, start_click_messages, start_click_stream, stored_errors, stored_silver,
+)
 from basketlake.streaming.trades import start_trade_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -834,6 +836,23 @@ def _(lk: Lake):
     return stored_silver(lk.spark, f"{base}/out/silver")
 
 
+@query("stream_click_errors", """
+SELECT true AS accepted, count(*) AS n FROM silver WHERE event_type <> 'cart'
+UNION ALL SELECT false, count(*) FROM clicks WHERE event_type = 'cart'""")
+def _(lk: Lake):
+    """The click-stream job over JSON messages, those of carts cut short: Silver rows and error rows."""
+    base = scratch_path(lk.spark, "click_messages")
+    text = F.to_json(F.struct(*schemas.EVENTS_RAW.names))
+    spoilt = F.when(F.col("event_type") == "cart", F.substring(text, 1, 25)).otherwise(text)
+    as_landed(lk.clicks()).select(spoilt.alias("value")).repartition(3).write.text(f"{base}/landed")
+    messages = streams.read_message_stream(lk.spark, "text", f"{base}/landed", maxFilesPerTrigger="1")
+    for running in start_click_messages(messages, f"{base}/out", f"{base}/progress", trigger={"availableNow": True}):
+        running.awaitTermination()
+    tables = ((True, stored_silver(lk.spark, f"{base}/out/silver")), (False, stored_errors(lk.spark, f"{base}/out/errors")))
+    counts = [rows.agg(F.lit(good).alias("accepted"), F.count(F.lit(1)).alias("n")) for good, rows in tables]
+    return counts[0].unionByName(counts[1])
+
+
 def _followed_up(lk: Lake, kind: str) -> DataFrame:
     """Messages of the follow-up query with its ledger, run to the end of the table."""
     base = scratch_path(lk.spark, kind)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketlake import schemas
 from basketlake.operators.silver import dedup_events, normalise_events, valid_events
 from basketlake.session import ship_package
 from basketlake.sinks import batches, versions
+from basketlake.sources.streams import accepted, decode, quarantined
 from basketlake.streaming import followups
 
 LATENESS = "10 minutes"
+ERRORS = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
 
 def event_stream_to_silver(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -50,6 +54,22 @@ def store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     rows.unpersist()
 
 
+def store_messages(batch: DataFrame, batch_id: int, target: str) -> None:
+    """``foreachBatch`` writer of raw messages: one decode, good rows to Silver, the rest to ``target/errors``.
+
+    Both tables log the batch by its id, so a batch that runs again counts once in each.
+    """
+    decoded = decode(batch, schemas.EVENTS_RAW).persist()
+    store_batch(accepted(decoded), batch_id, f"{target}/silver")
+    batches.append_batch(quarantined(decoded), batch_id, f"{target}/errors")
+    decoded.unpersist()
+
+
+def stored_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(value, reason) of the click messages that could not be read."""
+    return versions.read_parts(spark, path, batches.batch_folders(spark, path), ERRORS)
+
+
 def stored_silver(spark: SparkSession, path: str) -> DataFrame:
     """Silver from the stored batches: each row is there once, so reading is a plain scan."""
     return versions.read_parts(
@@ -67,14 +87,35 @@ def start_click_stream(
     each with a log of batches, so that a batch that runs again counts once.
     ``trigger`` goes to ``DataStreamWriter.trigger``.
     """
-    ship_package(events.sparkSession)
-    trigger = trigger or {"processingTime": "1 minute"}
-
     def to_silver(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, batch_id, f"{target}/silver")
 
+    return _start(events, to_silver, events, target, checkpoint, lateness, risk_model, profile_model, trigger)
+
+
+def start_click_messages(
+    messages: DataFrame, target: str, checkpoint: str, lateness: str = LATENESS,
+    risk_model=None, profile_model=None, trigger: dict | None = None,
+) -> list:
+    """:func:`start_click_stream` for raw messages (``value``); those that are no click event go to ``target/errors``.
+
+    Silver and the error table come from one query and stand at the same offset.
+    """
+    def to_silver(batch: DataFrame, batch_id: int) -> None:
+        store_messages(batch, batch_id, target)
+
+    events = accepted(decode(messages, schemas.EVENTS_RAW))
+    return _start(messages, to_silver, events, target, checkpoint, lateness, risk_model, profile_model, trigger)
+
+
+def _start(
+    stored: DataFrame, to_silver: Callable[[DataFrame, int], None], events: DataFrame, target: str, checkpoint: str,
+    lateness: str, risk_model, profile_model, trigger: dict | None,
+) -> list:
+    ship_package(events.sparkSession)
+    trigger = trigger or {"processingTime": "1 minute"}
     return [
-        events.writeStream.foreachBatch(to_silver).trigger(**trigger)
+        stored.writeStream.foreachBatch(to_silver).trigger(**trigger)
         .option("checkpointLocation", f"{checkpoint}/silver").start(),
         followups.start_followups(
             event_stream_to_silver(events, lateness), target, f"{checkpoint}/followups", trigger, risk_model, profile_model),

@@ -16,7 +16,9 @@ from basketlake.sources import lake as source
 from basketlake.sources import streams
 from basketlake.sources.clicks import as_landed
 from basketlake.streaming.run import drain
-from basketlake.streaming.silver import event_stream_to_silver, store_batch, stored_silver
+from basketlake.streaming.silver import (
+    event_stream_to_silver, store_batch, store_messages, stored_errors, stored_silver,
+)
 from basketlake.streaming.trades import start_trade_stream
 from conftest import rows_of
 
@@ -214,3 +216,18 @@ def test_stored_silver_of_a_stream_is_merged_as_it_comes(spark, lk, tmp_path, ca
     assert "Exchange" not in capsys.readouterr().out
     want = silver_ops.dedup_events(silver_ops.valid_events(silver_ops.normalise_events(both.drop("part"))))
     assert rows_of(got, *schemas.EVENT_COLUMNS) == rows_of(want, *schemas.EVENT_COLUMNS)
+
+
+def test_click_messages_that_cannot_be_read_are_kept_once(spark, lk, tmp_path):
+    """Text that is no JSON, cut short or empty goes to the error table; a batch that runs again counts once."""
+    good = as_landed(lk.clicks()).limit(50)
+    messages = good.select(F.to_json(F.struct(*schemas.EVENTS_RAW.names)).alias("value")).persist()
+    spoilt = spark.createDataFrame([("{\"event_time\": \"20",), ("plain text",), ("[1, 2",)], "value string")
+    target = str(tmp_path / "out")
+    for batch_id, batch in ((0, messages.unionByName(spoilt)), (1, spoilt.limit(1)), (1, spoilt.limit(1))):
+        store_messages(batch, batch_id, target)
+    errors = stored_errors(spark, f"{target}/errors").groupBy("value").count().collect()
+    assert sorted(r["count"] for r in errors) == [1, 1, 2]
+    want = silver_ops.dedup_events(silver_ops.valid_events(silver_ops.normalise_events(good)))
+    got = stored_silver(spark, f"{target}/silver")
+    assert rows_of(got, *schemas.EVENT_COLUMNS) == rows_of(want, *schemas.EVENT_COLUMNS)
