@@ -843,7 +843,7 @@ def _(lk: Lake):
     """The click-stream job over JSON messages, those of carts cut short: Silver rows and error rows."""
     base = scratch_path(lk.spark, "click_messages")
     text = F.to_json(F.struct(*schemas.EVENTS_RAW.names))
-    spoilt = F.when(F.col("event_type") == "cart", F.substring(text, 1, 25)).otherwise(text)
+    spoilt = F.when(F.lower(F.trim("event_type")) == "cart", F.substring(text, 1, 25)).otherwise(text)
     as_landed(lk.clicks()).select(spoilt.alias("value")).repartition(3).write.text(f"{base}/landed")
     messages = streams.read_message_stream(lk.spark, "text", f"{base}/landed", maxFilesPerTrigger="1")
     for running in start_click_messages(messages, f"{base}/out", f"{base}/progress", trigger={"availableNow": True}):
