@@ -46,6 +46,17 @@ def test_fit_select_report_and_tune(spark, planted, tmp_path):
     assert importance["feature"] == "num_views_before_cart"
 
 
+def test_first_model_reports_areas_and_metrics(spark, planted):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    model = common.fit_on(planted, schemas.FEATURES_V3, RandomForestClassifier(
+        labelCol="converted", numTrees=5, maxDepth=3, seed=1))
+    row = conversion.propensity_metrics(model, planted).first()
+    assert row["tp"] + row["fp"] + row["fn"] + row["tn"] == 600
+    assert row["accuracy"] == (row["tp"] + row["tn"]) / 600 and 0.7 < row["roc_auc"] <= 1 and row["pr_auc"] > 0.7
+    assert common.evaluate_auc(model.transform(planted), "converted")["roc_auc"] == pytest.approx(row["roc_auc"])
+
+
 def test_boosting_must_be_strictly_better():
     assert conversion.select_winner(0.7, 0.7) == "RandomForestClassifier"
     assert conversion.select_winner(0.7, 0.71) == "GBTClassifier"
