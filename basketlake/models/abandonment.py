@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake import schemas
-from basketlake.models.common import SEED, assembler, evaluate, fit_on, kept, score, stored
+from basketlake.models.common import SEED, assembler, evaluate, fit_on, score, spread, stored
 from basketlake.operators.decisions import recommend_coupon
 from basketlake.operators.metrics import class_report
 from basketlake.operators.splits import part, split_2way, split_stratified
@@ -64,22 +64,20 @@ def compare_abandonment_models(carts: DataFrame) -> tuple[PipelineModel, DataFra
     train, test = part(halves, "train"), part(halves, "test")
     prepared = abandonment_preprocessor().fit(train)
     columns = [TARGET, "features"]
-    with kept(
-        prepared.transform(train).select(*columns), prepared.transform(test).select(*columns)
-    ) as (fit_rows, test_rows):
-        reports, best = [], None
-        for name, estimator in _candidates(fit_rows.count()):
-            model = stored(estimator.fit(fit_rows))
-            predictions = model.transform(test_rows)
-            counts = evaluate({name: predictions}, TARGET)[name]
-            auc = counts["roc_auc"]
-            reports.append((
-                name, float(auc), *(float(counts[m]) for m in
-                                    ("accuracy", "precision", "recall", "f1")),
-                *(int(counts[c]) for c in ("tp", "fp", "fn", "tn")),
-            ))
-            if best is None or auc > best[0]:
-                best = (auc, name, model)
+    fit_rows, test_rows = (spread(prepared.transform(rows).select(*columns)) for rows in (train, test))
+    reports, best = [], None
+    for name, estimator in _candidates(fit_rows.count()):
+        model = stored(estimator.fit(fit_rows))
+        predictions = model.transform(test_rows)
+        counts = evaluate({name: predictions}, TARGET)[name]
+        auc = counts["roc_auc"]
+        reports.append((
+            name, float(auc), *(float(counts[m]) for m in
+                                ("accuracy", "precision", "recall", "f1")),
+            *(int(counts[c]) for c in ("tp", "fp", "fn", "tn")),
+        ))
+        if best is None or auc > best[0]:
+            best = (auc, name, model)
     report = carts.sparkSession.createDataFrame(
         reports,
         "model string, roc_auc double, accuracy double, precision double, recall double, "
@@ -125,7 +123,8 @@ def train_profile_classifier(sessions: DataFrame) -> tuple[PipelineModel, DataFr
                             stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
     vectors = assembler(schemas.LABELLED_FEATURES)
     forest = RandomForestClassifier(labelCol="profile_index", numTrees=100, maxDepth=8, seed=SEED)
-    fitted = stored(forest.fit(vectors.transform(indexer.transform(train))))
+    rows = vectors.transform(indexer.transform(train)).select("profile_index", "features")
+    fitted = stored(forest.fit(spread(rows)))
     names = IndexToString(inputCol="prediction", outputCol="ml_predicted_profile",
                           labels=[*indexer.labels, "browser"])
     model = PipelineModel(stages=[vectors, fitted, names])

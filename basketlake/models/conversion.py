@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlake import schemas
-from basketlake.models.common import SEED, evaluate, evaluate_auc, fit_on, kept, score
+from basketlake.models.common import SEED, evaluate, evaluate_auc, fit_on, score, settled
 from basketlake.operators.decisions import propensity_bin
 from basketlake.operators.metrics import best_threshold, threshold_sweep
 
@@ -65,10 +65,9 @@ def tune_threshold(model: PipelineModel, validation: DataFrame) -> DataFrame:
 def final_threshold_eval(model: PipelineModel, sweep: DataFrame, test: DataFrame) -> DataFrame:
     """One row: test metrics at the best validation threshold, with both areas."""
     threshold = best_threshold(sweep).first()["threshold"]
-    predictions = score(model, test).select(TARGET, "probability_1", "probability", "prediction")
-    with kept(predictions):
-        areas = evaluate_auc(predictions, TARGET)
-        at_best = threshold_sweep(predictions, [threshold], TARGET).first()
+    predictions = settled(score(model, test).select(TARGET, "probability_1", "probability", "prediction"), "predictions")
+    areas = evaluate_auc(predictions, TARGET)
+    at_best = threshold_sweep(predictions, [threshold], TARGET).first()
     names = ["accuracy", "precision", "recall", "f1"]
     values = [at_best[n] for n in names] + [areas["roc_auc"], areas["pr_auc"]]
     counts = [int(at_best[n]) for n in ("tp", "fp", "fn", "tn")]

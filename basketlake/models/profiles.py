@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from basketlake import schemas
 from basketlake.functions import rules
-from basketlake.models.common import SEED, kept
+from basketlake.models.common import SEED, spread
 
 CLUSTERS = 3
 
@@ -25,20 +25,21 @@ def fit_profiles(
 ) -> PipelineModel:
     """Standardise, run k-means from ``restarts`` seeds, keep the lowest training cost.
 
-    The restarts share one cached scaled input and run a few at a time.
+    The restarts share one stored scaled input and run a few at a time.
     """
     vectors = VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
     raw = vectors.transform(df)
     scaling = scaler.fit(raw.select("raw"))
-    with kept(scaling.transform(raw).select("features")) as scaled:
-        def attempt(number: int):
-            fitted = KMeans(k=CLUSTERS, maxIter=300, seed=seed + number).fit(scaled)
-            return fitted.summary.trainingCost, number, fitted
-
-        run = inheritable_thread_target(df.sparkSession)(attempt)
-        with ThreadPool(min(parallel, restarts)) as pool:
-            tries = pool.map(run, range(restarts))
+    scaled = spread(scaling.transform(raw).select("features"))
+
+    def attempt(number: int):
+        fitted = KMeans(k=CLUSTERS, maxIter=300, seed=seed + number).fit(scaled)
+        return fitted.summary.trainingCost, number, fitted
+
+    run = inheritable_thread_target(df.sparkSession)(attempt)
+    with ThreadPool(min(parallel, restarts)) as pool:
+        tries = pool.map(run, range(restarts))
     best = min(tries, key=lambda t: t[:2])[2]
     return PipelineModel(stages=[vectors, scaling, best])
 

@@ -162,11 +162,11 @@ def train_conversion(
         source.read_positional_csv(spark, f"{data}/{name}", order)
         for name in ("train", "validation", "test")
     )
-    with common.kept(train, validation):
-        winner, model, areas = conversion.choose_model(
-            conversion.train_rf_v3(train, columns), conversion.train_gbt_v3(train, columns),
-            validation,
-        )
+    train, validation = common.settled(train, "train"), common.settled(validation, "validation")
+    winner, model, areas = conversion.choose_model(
+        conversion.train_rf_v3(train, columns), conversion.train_gbt_v3(train, columns),
+        validation,
+    )
     common.save_model(model, f"{target}/best_model")
     report = conversion.training_report(winner, model, areas, test)
     sink.write_report_csv(report, f"{target}/metrics")
