@@ -922,7 +922,7 @@ def _(lk: Lake):
 def _(lk: Lake):
     """Curated orders after a run of the orders topic."""
     base = scratch_path(lk.spark, "orders")
-    _raw_orders(lk).select(F.to_json(F.struct("*"))).write.text(f"{base}/in")
+    _raw_orders(lk).select(F.to_json(F.struct("*"))).write.options(**sink.COMPRESSED).text(f"{base}/in")
     messages = streams.read_message_stream(lk.spark, "text", f"{base}/in")
     for running in start_trade_stream(messages, "orders", base, f"{base}/progress", available_now=True):
         running.awaitTermination()

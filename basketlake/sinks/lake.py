@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from basketlake.sinks import batches, versions
 from basketlake.sources.lake import read_bronze_csv
 
+#: For text and JSON lines. A compressed file is read by one task, hence the bound on its lines.
+COMPRESSED = {"compression": "gzip", "maxRecordsPerFile": 500_000}
+
 
 def write_layer(df: DataFrame, path: str) -> None:
     """Replace a Parquet layer."""
@@ -140,10 +143,10 @@ def append_curated(batch: DataFrame, batch_id: int, path: str) -> None:
 
 
 def write_json_batch(batch: DataFrame, batch_id: int, path: str, folders: list[str] | None = None) -> None:
-    """JSON lines of one micro-batch, replaced when the batch runs again."""
+    """JSON lines of one micro-batch, compressed, replaced when the batch runs again."""
     (
         batch.withColumn("batch_id", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**COMPRESSED)
         .partitionBy(*(folders or []), "batch_id").json(path)
     )
 

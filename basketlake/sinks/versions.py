@@ -50,7 +50,7 @@ def stage(df: DataFrame, path: str, under: str = "", keys: tuple[str, ...] = ())
     spark = df.sparkSession
     version = f"version={uuid.uuid4().hex}"
     root = "/".join(x for x in (version, under) if x)
-    df.write.partitionBy(*keys).parquet(f"{path}/{root}")
+    df.write.partitionBy(*keys).option("compression", "zstd").parquet(f"{path}/{root}")
     found = _glob(spark, f"{path}/{root}" + "".join(f"/{key}=*" for key in keys))
     parts = ["/".join(f.rsplit("/", len(keys))[1:]) if keys else "" for f in found]
     return {part: f"{root}/{part}".rstrip("/") for part in parts}

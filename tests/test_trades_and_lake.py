@@ -178,6 +178,18 @@ def test_trade_stream_and_quarantine(spark, tmp_path):
     assert spark.read.json(f"{base}/out/quarantine/prices").count() == 2
 
 
+def test_json_lake_and_batches_are_stored_compressed(spark, tmp_path):
+    def stored(path):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.startswith("part-"))
+
+    rows = spark.range(20_000, numPartitions=1).select(F.concat(F.lit("some order text "), F.col("id")).alias("value"))
+    sink.write_json_batch(rows, 0, str(tmp_path / "lake"))
+    plain = 20_000 * len('{"value":"some order text 12345"}')
+    assert stored(tmp_path / "lake") < plain / 3
+    back = source.read_raw_json(spark, str(tmp_path / "lake"), rows.schema, recursive=True)
+    assert rows_of(back) == rows_of(rows)
+
+
 def test_curated_batch_runs_again_without_doubles(spark, tmp_path):
     path = str(tmp_path / "curated")
     frame = spark.createDataFrame([(1,), (2,)], "v int")
