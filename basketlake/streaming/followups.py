@@ -1,9 +1,10 @@
 """Follow-ups after a first cart: reminder after 5 minutes, offer after 1 hour.
 
 State is kept per session and user, and it ends. Events within the allowed lateness are
-held as sums per instant (a map state, one entry per distinct time), so a session with
-any number of clicks a second costs one entry for that second. Entries that the
-watermark has passed are folded into one fixed-size record. A session's state goes
+held as sums per instant, so a session with any number of clicks a second costs one entry
+for that second: up to ``HELD_MOST`` of them in the session's record, which one call reads
+and one writes, the rest in a map state. Entries that the watermark has passed are folded
+into the record's figures. A session's state goes
 
 - when its last deadline has passed: its first cart is then in the *ledger*, a stored
   table, and carts that start it over later are recognised there;
@@ -39,6 +40,7 @@ MINUTE = 60_000_000  # microseconds
 DELAYS = {"reminder": 5 * MINUTE, "offer": 60 * MINUTE}
 FOLD_EVERY = MINUTE
 IDLE = 120 * MINUTE  # a session without a cart leaves the state after so long
+HELD_MOST = 1024  # instants kept in the record itself; every call to the state store is a round trip
 
 #: kind: a follow-up that falls due, or "idle" (figures of a session without a cart so far).
 OUTPUT = T.StructType([
@@ -55,16 +57,18 @@ OUTPUT = T.StructType([
     T.StructField("last_us", T.LongType()),
 ])
 
-_RECORD = T.StructType(
-    [T.StructField(n, T.LongType()) for n in
-     ("cart", "bought", "items", "views", "first", "last", "oldest", "idle")]
-    + [T.StructField("value", T.DoubleType())]
-)
 _AT = T.StructType([T.StructField("at", T.LongType())])
 _SUMS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("views", "items", "purchases")]
     + [T.StructField("value", T.DoubleType())]
 )
+#: held: sums of the first instants; mapped: whether the map state holds more of them.
+_RECORD = T.StructType(
+    [T.StructField(n, T.LongType()) for n in
+     ("cart", "bought", "items", "views", "first", "last", "oldest", "idle")]
+    + [T.StructField("value", T.DoubleType()), T.StructField("mapped", T.BooleanType()),
+       T.StructField("held", T.ArrayType(T.StructType(_AT.fields + _SUMS.fields)))]
+)
 
 
 def _timer(us: int) -> int:
@@ -103,16 +107,21 @@ class CartFollowUps(StatefulProcessor):
         pass
 
     def _load(self) -> dict:
-        if not self.record.exists():
-            return dict.fromkeys(_RECORD.names, None) | {"items": 0, "views": 0, "value": 0.0}
-        return dict(zip(_RECORD.names, self.record.get()))
+        found = self.record.get()  # one call; None without a state
+        if found is None:
+            return dict.fromkeys(_RECORD.names, None) | {"items": 0, "views": 0, "value": 0.0, "mapped": False, "held": {}}
+        record = dict(zip(_RECORD.names, found))
+        record["held"] = {at: tuple(sums) for at, *sums in record["held"]}
+        return record
 
     def _save(self, record: dict) -> None:
-        self.record.update(tuple(record[name] for name in _RECORD.names))
+        held = [(at, *sums) for at, sums in record["held"].items()]
+        self.record.update(tuple((record | {"held": held})[name] for name in _RECORD.names))
 
-    def _forget(self) -> None:
+    def _forget(self, record: dict) -> None:
         self.record.clear()
-        self.pending.clear()
+        if record["mapped"]:
+            self.pending.clear()
 
     def _fold(self, record: dict, at: int, sums: tuple) -> None:
         """Count one instant whose place relative to the first cart cannot change any more."""
@@ -134,40 +143,53 @@ class CartFollowUps(StatefulProcessor):
         if record["oldest"] is None:
             return
         cart = record["cart"]
-        held = sorted((tuple(k)[0], tuple(v)) for k, v in self.pending.iterator())
+        mapped = {tuple(k)[0]: tuple(v) for k, v in self.pending.iterator()} if record["mapped"] else {}
+        held = sorted((record["held"] | mapped).items())
         final = held if cart is not None and cart <= watermark else [h for h in held if h[0] <= watermark]
         for at, sums in final:
             self._fold(record, at, sums)
         if len(final) == len(held):
-            self.pending.clear()
-            record["oldest"] = None
+            if mapped:
+                self.pending.clear()
+            record["held"], record["mapped"], record["oldest"] = {}, False, None
         else:
             for at, _ in final:
-                self.pending.removeKey((at,))
+                if at in mapped:
+                    self.pending.removeKey((at,))
+                else:
+                    del record["held"][at]
             record["oldest"] = held[len(final)][0]
 
     def _hold(self, record: dict, arrived: dict[int, tuple]) -> None:
         """Add to the held sums."""
-        oldest, newest = record["oldest"], max(arrived)
+        oldest, newest, held, mapped = record["oldest"], max(arrived), record["held"], record["mapped"]
         for at, sums in arrived.items():
-            if oldest is not None and self.pending.containsKey((at,)):
-                sums = tuple(a + b for a, b in zip(sums, self.pending.getValue((at,))))
-            self.pending.updateValue((at,), sums)
+            if at in held:
+                held[at] = tuple(a + b for a, b in zip(sums, held[at]))
+            elif mapped and self.pending.containsKey((at,)):
+                self.pending.updateValue((at,), tuple(a + b for a, b in zip(sums, self.pending.getValue((at,)))))
+            elif len(held) < HELD_MOST:
+                held[at] = sums
+            else:
+                self.pending.updateValue((at,), sums)
+                record["mapped"] = True
         record["oldest"] = min([*arrived, *([oldest] if oldest is not None else [])])
         if record["cart"] is None and record["idle"] is None:
             record["idle"] = newest + self.idle
             self.handle.registerTimer(_timer(record["idle"]))
 
     def _new_first_cart(self, record: dict, cart: int) -> None:
-        """Move the timers to an earlier, or the first, cart."""
+        """Move the timer to the first deadline of an earlier, or the first, cart.
+
+        A deadline sets the timer for the next one when it falls due, so there is one at a time.
+        """
         if record["idle"] is not None:
             self.handle.deleteTimer(_timer(record["idle"]))
             record["idle"] = None
-        for delay in self.delays.values():
-            if record["cart"] is not None:
-                self.handle.deleteTimer(_timer(record["cart"] + delay))
-        for delay in self.delays.values():
-            self.handle.registerTimer(_timer(cart + delay))
+        soonest = min(self.delays.values())
+        if record["cart"] is not None:
+            self.handle.deleteTimer(_timer(record["cart"] + soonest))
+        self.handle.registerTimer(_timer(cart + soonest))
         record["cart"] = cart
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -193,28 +215,33 @@ class CartFollowUps(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now_ms = expiredTimerInfo.getExpiryTimeInMs()
+        now_ms, watermark_ms = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         record = self._load()
-        self._settle(record, timerValues.getCurrentWatermarkInMs() * 1000)
+        self._settle(record, watermark_ms * 1000)
         cart, due = record["cart"], []
         if cart is not None:
+            later = []
             for kind, delay in self.delays.items():
-                if now_ms == _timer(cart + delay):
+                if _timer(cart + delay) > watermark_ms:
+                    later.append(_timer(cart + delay))
+                elif _timer(cart + delay) >= now_ms:
                     bought = record["bought"] is not None and record["bought"] <= cart + delay
                     due.append(self._row(key, record, kind, bought, cart + delay))
-            over = now_ms == _timer(cart + self.horizon)
+            over = not later
+            if later:
+                self.handle.registerTimer(min(later))
         else:
             over = record["oldest"] is None and record["last"] is not None and _timer(record["last"] + self.idle) <= now_ms
             if over:
                 due.append(self._row(key, record, "idle", False, None))
             else:  # events came since the timer was set
-                newest = record["last"] or 0
-                if record["oldest"] is not None:
-                    newest = max(tuple(at)[0] for at in self.pending.keys())
+                newest = max([record["last"] or 0, *record["held"]])
+                if record["mapped"]:
+                    newest = max(newest, *(tuple(at)[0] for at in self.pending.keys()))
                 record["idle"] = max(newest + self.idle, now_ms * 1000 + 1)
                 self.handle.registerTimer(_timer(record["idle"]))
         if over:
-            self._forget()
+            self._forget(record)
         else:
             self._save(record)
         return iter(due)
@@ -297,9 +324,12 @@ def handle_due(
     """``foreachBatch`` writer: messages to ``reminders`` and ``offers``, carts to ``ledger``.
 
     A batch that runs again replaces what it wrote; the ledger
-    is read as it stood before the batch, so a rerun decides alike.
+    is read as it stood before the batch, so a rerun decides alike. The batch is worked out
+    by a pass of its own: scans of rows not yet kept run side by side, and each of them
+    would run the state operator.
     """
     kept = batch.persist()
+    kept.count()
     rows = with_ledger(kept, read_ledger(kept.sparkSession, f"{target}/ledger", batch_id)).persist()
     for kind in kinds or DELAYS:
         out = reminders_of(rows) if kind == "reminder" else offers_of(rows, risk_model, profile_model)

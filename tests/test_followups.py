@@ -194,3 +194,85 @@ def test_a_batch_that_runs_again_decides_alike(spark, tmp_path):
     assert rows_of(sent, "user_session") == [("a",), ("b",)]
     live.handle_due(spark.createDataFrame([due("b", 900), due("c", 900)], live.OUTPUT), 8, str(tmp_path))
     assert rows_of(live.read_messages(spark, str(tmp_path), "offer"), "user_session") == [("a",), ("b",), ("c",)]
+
+
+class _Store:
+    """A session's state and timers, with a count of the calls that would go to the state store."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return self
+
+    def __getattr__(self, name):
+        actions = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value,
+            "update": lambda value: setattr(self, "value", value),
+            "clear": lambda: (setattr(self, "value", None), self.map.clear()),
+            "iterator": lambda: iter(list(self.map.items())), "keys": lambda: iter(list(self.map)),
+            "containsKey": lambda key: key in self.map, "getValue": lambda key: self.map[key],
+            "updateValue": lambda key, value: self.map.__setitem__(key, value), "removeKey": lambda key: self.map.pop(key),
+            "registerTimer": lambda ms: self.timers.append(ms), "deleteTimer": lambda ms: self.timers.remove(ms),
+        }
+        if name not in actions:
+            raise AttributeError(name)
+
+        def call(*args):
+            self.calls += 1
+            return actions[name](*args)
+        return call
+
+
+class _Clock:
+    def __init__(self, watermark, expiry=0):
+        self.watermark, self.expiry = watermark, expiry
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.expiry
+
+
+@pytest.mark.parametrize("instants, most", [(300, 3), (live.HELD_MOST + 200, 400)])
+def test_a_session_costs_few_state_calls(instants, most):
+    """A cart after many views: a read, a write and a timer; then both follow-ups from one timer."""
+    from types import SimpleNamespace as Event
+
+    store, processor = _Store(), live.CartFollowUps()
+    processor.init(store)
+    second = 1_000_000
+    views = [Event(at=i * second, event_type="view", price=1.0) for i in range(instants)]
+    cart = Event(at=instants * second, event_type="cart", price=5.0)
+    list(processor.handleInputRows(("s", 1), iter([*views, cart]), _Clock(0)))
+    assert store.calls <= most
+    store.calls, sent = 0, []
+    late = _Clock(10 * live.IDLE // 1000)
+    while store.timers:
+        timer = _Clock(0, store.timers.pop(0))
+        sent += processor.handleExpiredTimer(("s", 1), late, timer)
+    assert store.calls <= 5
+    assert [(r["kind"], r["num_views_before_cart"], r["num_cart_items"]) for r in sent] == [
+        ("reminder", instants, 1), ("offer", instants, 1)]
+    assert store.value is None and not store.map
+
+
+def test_an_offer_waits_for_its_own_deadline():
+    """The watermark lies between the deadlines: a purchase in the gap still counts for the offer."""
+    from types import SimpleNamespace as Event
+
+    store, processor = _Store(), live.CartFollowUps()
+    processor.init(store)
+    list(processor.handleInputRows(("s", 1), iter([Event(at=0, event_type="cart", price=5.0)]), _Clock(0)))
+    first = store.timers.pop()
+    sent = list(processor.handleExpiredTimer(("s", 1), _Clock(first), _Clock(0, first)))
+    bought = Event(at=20 * live.MINUTE, event_type="purchase", price=5.0)
+    list(processor.handleInputRows(("s", 1), iter([bought]), _Clock(first)))
+    second = store.timers.pop()
+    sent += processor.handleExpiredTimer(("s", 1), _Clock(second), _Clock(0, second))
+    assert [(r["kind"], r["bought"]) for r in sent] == [("reminder", False), ("offer", True)]
+    assert store.value is None and not store.timers
