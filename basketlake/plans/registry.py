@@ -824,13 +824,18 @@ def _click_stream(lk: Lake) -> DataFrame:
     return event_stream_to_silver(as_clicks(raw))
 
 
+def _files_a_batch(lk: Lake, batches: int) -> int:
+    """So many landed files that all batches together keep every core busy."""
+    return -(-lk.spark.sparkContext.defaultParallelism // batches)
+
+
 @query("stream_silver", _SILVER_SQL)
 def _(lk: Lake):
-    """The click-stream job over six landed files with mixed times, so most rows come late."""
+    """The click-stream job over six batches of landed files with mixed times, so most rows come late."""
     base = scratch_path(lk.spark, "clicks")
-    landed = as_landed(lk.clicks()).withColumn("part", F.pmod(F.xxhash64("event_time", "user_id"), F.lit(6)))
-    landed.repartition(6, "part").drop("part").write.parquet(f"{base}/landed")
-    events = streams.read_event_stream(lk.spark, "parquet", f"{base}/landed", maxFilesPerTrigger="1")
+    files = _files_a_batch(lk, 6)
+    as_landed(lk.clicks()).repartition(6 * files, "event_time", "user_id").write.parquet(f"{base}/landed")
+    events = streams.read_event_stream(lk.spark, "parquet", f"{base}/landed", maxFilesPerTrigger=str(files))
     for running in start_click_stream(events, f"{base}/out", f"{base}/progress", trigger={"availableNow": True}):
         running.awaitTermination()
     return stored_silver(lk.spark, f"{base}/out/silver")
@@ -844,8 +849,9 @@ def _(lk: Lake):
     base = scratch_path(lk.spark, "click_messages")
     text = F.to_json(F.struct(*schemas.EVENTS_RAW.names))
     spoilt = F.when(F.lower(F.trim("event_type")) == "cart", F.substring(text, 1, 25)).otherwise(text)
-    as_landed(lk.clicks()).select(spoilt.alias("value")).repartition(3).write.text(f"{base}/landed")
-    messages = streams.read_message_stream(lk.spark, "text", f"{base}/landed", maxFilesPerTrigger="1")
+    files = _files_a_batch(lk, 3)
+    as_landed(lk.clicks()).select(spoilt.alias("value")).repartition(3 * files).write.text(f"{base}/landed")
+    messages = streams.read_message_stream(lk.spark, "text", f"{base}/landed", maxFilesPerTrigger=str(files))
     for running in start_click_messages(messages, f"{base}/out", f"{base}/progress", trigger={"availableNow": True}):
         running.awaitTermination()
     tables = ((True, stored_silver(lk.spark, f"{base}/out/silver")), (False, stored_errors(lk.spark, f"{base}/out/errors")))

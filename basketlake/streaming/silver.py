@@ -17,6 +17,7 @@ from basketlake.sources.streams import accepted, decode, quarantined
 from basketlake.streaming import followups
 
 LATENESS = "10 minutes"
+FILE_ROWS = 500_000
 ERRORS = T.StructType([T.StructField("value", T.StringType()), T.StructField("reason", T.StringType())])
 
 
@@ -36,12 +37,14 @@ def store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 
     Copies of an event have the same time, so a batch is held against the stored days it
     touches, within its own span of time, and nothing else. A batch that runs again
-    replaces its own rows and is compared with the batches before it.
+    replaces its own rows and is compared with the batches before it. Rows are gathered by
+    day before they are written, so a batch adds few files whatever its shuffles; a day is
+    cut for the cores there are and into files of about ``FILE_ROWS``.
     """
     spark = batch.sparkSession
     rows = dedup_events(valid_events(normalise_events(batch))).withColumn("day", F.date_format("event_time", "yyyy-MM-dd")).persist()
-    days = {r["day"]: (r["low"], r["high"]) for r in rows.groupBy("day").agg(
-        F.min("event_time").alias("low"), F.max("event_time").alias("high")).collect()}
+    days = {r["day"]: (r["low"], r["high"], r["n"]) for r in rows.groupBy("day").agg(
+        F.min("event_time").alias("low"), F.max("event_time").alias("high"), F.count(F.lit(1)).alias("n")).collect()}
     stored = batches.batch_folders(spark, path, batch_id, lambda prefix: prefix.removeprefix("day=").rstrip("/") in days)
     fresh = rows
     if stored:
@@ -50,6 +53,10 @@ def store_batch(batch: DataFrame, batch_id: int, path: str) -> None:
         held = held.withColumnsRenamed({c: f"_{c}" for c in schemas.EVENT_COLUMNS})
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in schemas.EVENT_COLUMNS]
         fresh = rows.join(held, reduce(Column.__and__, same), "left_anti")
+    if days:
+        cuts = max(-(-spark.sparkContext.defaultParallelism // len(days)), -(-max(v[2] for v in days.values()) // FILE_ROWS))
+        cut = F.pmod(F.xxhash64("event_time", "user_id", "product_id"), F.lit(cuts))
+        fresh = fresh.repartition(len(days) * cuts, "day", cut)
     batches.append_batch(fresh, batch_id, path, ("day",))
     rows.unpersist()
 

@@ -276,3 +276,26 @@ def test_an_offer_waits_for_its_own_deadline():
     sent += processor.handleExpiredTimer(("s", 1), _Clock(second), _Clock(0, second))
     assert [(r["kind"], r["bought"]) for r in sent] == [("reminder", False), ("offer", True)]
     assert store.value is None and not store.timers
+
+
+def test_a_batch_of_silver_adds_few_files(spark, tmp_path):
+    """900 rows of three days in 32 shuffle partitions: at most a file a day and core, each row once."""
+    from basketlake.sinks import batches
+    from basketlake.streaming.silver import store_batch, stored_silver
+
+    clicks = [event(f"f{i}", i, at(i % 600 + 1440 * (i % 3)), "view") for i in range(900)]
+    raw = spark.createDataFrame(clicks + clicks[:50], schemas.EVENTS_SILVER)
+    raw = raw.select(*[raw[c].cast("string").alias(c) for c in raw.columns])
+    changed = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.enabled": "false"}  # as in a stream
+    before = {name: spark.conf.get(name) for name in changed}
+    try:
+        for name, value in changed.items():
+            spark.conf.set(name, value)
+        store_batch(raw.limit(300), 0, f"{tmp_path}/silver")
+        store_batch(raw, 1, f"{tmp_path}/silver")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    files = [f for folder in batches.batch_folders(spark, f"{tmp_path}/silver") for f in (tmp_path / "silver" / folder).glob("*.parquet")]
+    assert len(files) <= 2 * 3 * -(-spark.sparkContext.defaultParallelism // 3)
+    assert stored_silver(spark, f"{tmp_path}/silver").count() == 900
