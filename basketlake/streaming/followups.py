@@ -21,11 +21,15 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from basketlake.models.common import score
@@ -231,7 +235,7 @@ class CartFollowUps(StatefulProcessor):
             if later:
                 self.handle.registerTimer(min(later))
         else:
-            over = record["oldest"] is None and record["last"] is not None and _timer(record["last"] + self.idle) <= now_ms
+            over = record["oldest"] is None and record["last"] is not None and _timer(record["last"] + self.idle) <= watermark_ms
             if over:
                 due.append(self._row(key, record, "idle", False, None))
             else:  # events came since the timer was set
@@ -256,6 +260,167 @@ class CartFollowUps(StatefulProcessor):
         )
 
 
+class FinalFollowUps(CartFollowUps):
+    """The same on sums of instants that the watermark has passed, each instant once (:func:`final_instants`).
+
+    Nothing can come before them any more, so nothing is held: a session whose deadlines
+    have all passed is answered at once and never stored, and one that is still open
+    stores its figures and one timer. Packs of answers (:func:`settled_sessions`) pass.
+    """
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        if key[0] is None:
+            return (Row(**dict.fromkeys(OUTPUT.names), pack=row.pack) for row in rows)
+        watermark_ms = timerValues.getCurrentWatermarkInMs()
+        record = self._load()
+        stored, known = record["last"] is not None, record["cart"] is not None
+        arrived = [(row.at, (row.views, row.items, row.purchases, row.value)) for row in rows]
+        if not known:
+            record["cart"] = min((at for at, sums in arrived if sums[1]), default=None)
+        for at, sums in arrived:
+            self._fold(record, at, sums)
+        if known:  # its timer is set
+            self._save(record)
+            return iter([])
+        due, timer = self._answers(key, record, watermark_ms)
+        if record["idle"] is not None and (timer is None or record["cart"] is not None):
+            self.handle.deleteTimer(_timer(record["idle"]))
+            record["idle"] = None
+        if timer is None:
+            if stored:
+                self._forget(record)
+            return iter(due)
+        if record["cart"] is not None:
+            self.handle.registerTimer(timer)
+        elif record["idle"] is None:
+            record["idle"] = record["last"] + self.idle
+            self.handle.registerTimer(timer)
+        self._save(record)
+        return iter(due)
+
+    def _answers(self, key, record: dict, watermark_ms: int) -> tuple[list[Row], int | None]:
+        """Rows that are due at the watermark, and the time of the next one (None: the session is over)."""
+        cart = record["cart"]
+        if cart is None:
+            idle = _timer(record["last"] + self.idle)
+            return ([], idle) if idle > watermark_ms else ([self._row(key, record, "idle", False, None)], None)
+        due, later = [], []
+        for kind, delay in self.delays.items():
+            if _timer(cart + delay) > watermark_ms:
+                later.append(_timer(cart + delay))
+            else:
+                bought = record["bought"] is not None and record["bought"] <= cart + delay
+                due.append(self._row(key, record, kind, bought, cart + delay))
+        return due, min(later, default=None)
+
+    @staticmethod
+    def _row(*args) -> Row:
+        return Row(**CartFollowUps._row(*args).asDict(), pack=None)
+
+
+_PACK = T.StructField("pack", T.BinaryType())
+PACK_ROWS = 10_000
+
+
+def final_instants(events: DataFrame) -> DataFrame:
+    """Sums per session and instant, given out once the watermark has passed the instant.
+
+    A built-in aggregate, so events wait for late ones in Spark's own state and reach the
+    follow-ups once, as one row per instant.
+    """
+    def times(kind: str) -> Column:
+        return F.count_if(F.col("event_type") == kind)
+
+    value = F.sum(F.when(F.col("event_type") == "cart", F.col("price")))
+    return events.groupBy(*SESSION_KEYS, "event_time").agg(
+        times("view").alias("views"), times("cart").alias("items"), times("purchase").alias("purchases"),
+        F.coalesce(value, F.lit(0.0)).alias("value"),
+    ).withColumn("at", F.unix_micros("event_time"))
+
+
+def settle_whole(instants: pa.Table, delays: dict[str, int], idle: int) -> tuple[pa.Table, pa.Table]:
+    """Answers (``OUTPUT``) of the sessions that need no state, and the instants of all others.
+
+    ``instants`` are final ones of a micro-batch, all of a session's among them. The
+    watermark was below the first of them before the batch and is at or above the last one
+    now. A session that begins more than ``idle`` after the first instant cannot meet a
+    state: whatever an earlier visit left there is over by then, and the ledger joins the
+    two. If its last deadline (without a cart: its idle time) lies before the last instant
+    as well, all that happens to it is in these rows.
+    """
+    never, horizon = np.iinfo(np.int64).max, max(delays.values())
+    codes = [np.asarray(pc.dictionary_encode(instants[c].combine_chunks(), null_encoding="encode").indices) for c in SESSION_KEYS]
+    at = instants["at"].to_numpy()
+    order = np.lexsort((at, *codes))
+    at, codes = at[order], [c[order] for c in codes]
+    views, items, purchases, value = (instants[c].to_numpy()[order] for c in _SUMS.names)
+    new = np.concatenate([[True], np.logical_or(*[c[1:] != c[:-1] for c in codes])])
+    starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+    first, cart = at[starts], np.minimum.reduceat(np.where(items > 0, at, never), starts)
+    has_cart = cart < never
+    until = np.where(has_cart, cart, never - horizon) + horizon
+    counts = at <= until[of]
+    last = np.maximum.reduceat(np.where(counts, at, first[of]), starts)
+    bought = np.minimum.reduceat(np.where(counts & (purchases > 0) & (at >= cart[of]), at, never), starts)
+    over = np.where(has_cart, until, last + idle)
+    whole = (first > at.min() + max(idle, horizon)) & (over <= at.max())
+    figures = {
+        **{c: instants[c].take(order[starts]) for c in SESSION_KEYS}, "first_cart_us": cart,
+        "total_cart_value": np.add.reduceat(np.where(counts, value, 0.0), starts),
+        "num_cart_items": np.add.reduceat(np.where(counts, items, 0), starts),
+        "num_views_before_cart": np.add.reduceat(np.where(at < cart[of], views, 0), starts),
+        "first_us": first, "last_us": last,
+    }
+    answers = []
+    for kind, delay in [*delays.items(), ("idle", None)]:
+        rows = np.flatnonzero(whole & (has_cart if delay else ~has_cart))
+        own = {c: v.take(rows) for c, v in figures.items()}
+        if delay:
+            own |= {"bought": bought[rows] <= cart[rows] + delay, "deadline_us": cart[rows] + delay}
+        else:
+            own |= {"bought": np.zeros(len(rows), bool), "first_cart_us": pa.nulls(len(rows), pa.int64()), "deadline_us": pa.nulls(len(rows), pa.int64())}
+        own["kind"] = pa.repeat(pa.scalar(kind), len(rows))
+        answers.append(pa.table({c: own[c] for c in OUTPUT.names}, schema=to_arrow_schema(OUTPUT)))
+    return pa.concat_tables(answers), instants.take(np.sort(order[~whole[of]]))
+
+
+def settled_sessions(instants: DataFrame, delays: dict[str, int], idle: int) -> DataFrame:
+    """Instants of the sessions that need state; answers of all others in packs, without a session's name.
+
+    In a batch of a minute nearly all sessions need state. When a stream catches up, a batch spans
+    days and nearly all sessions begin and end in it: they cost no call to the state store.
+    """
+    # a pack's row has nulls; the metadata mark the watermark column
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True, f.metadata) for f in instants.schema], _PACK])
+
+    def settle(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrived = [b for b in arrived if b.num_rows]
+        if not arrived:
+            return
+        answers, others = settle_whole(pa.Table.from_batches(arrived), delays, idle)
+        yield from others.append_column("pack", pa.nulls(len(others), pa.binary())).to_batches(PACK_ROWS)
+        packed = others.schema.append(pa.field("pack", pa.binary()))
+        for start in range(0, len(answers), PACK_ROWS):
+            part, held = answers.slice(start, PACK_ROWS), pa.BufferOutputStream()
+            with pa.ipc.new_stream(held, part.schema) as out:
+                out.write_table(part)
+            line = {"user_id": part["user_id"][0].as_py(), "pack": held.getvalue().to_pybytes()}  # the id spreads packs over tasks
+            yield pa.RecordBatch.from_pylist([line], schema=packed)
+
+    return instants.repartition(*SESSION_KEYS).mapInArrow(settle, schema)
+
+
+def unpacked(answers: DataFrame) -> DataFrame:
+    """Follow-ups one a row: those of the state, and those of the packs."""
+    def unpack(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrived:
+            yield batch.filter(pc.is_null(batch["pack"])).select(OUTPUT.names)
+            for pack in batch["pack"].drop_null():
+                yield from pa.ipc.open_stream(pack.as_buffer())
+
+    return answers.mapInArrow(unpack, OUTPUT)
+
+
 def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None, idle: int = IDLE) -> DataFrame:
     """Follow-ups that fall due on a watermarked Silver stream, told apart by ``kind``.
 
@@ -272,13 +437,14 @@ def due_followups(silver_stream: DataFrame, kinds: list[str] | None = None, idle
     delays = {kind: DELAYS[kind] for kind in kinds or DELAYS}
     # The watermark column has to travel along for the timers to see it.
     narrow = silver_stream.filter(F.col("user_session").isNotNull()).select(
-        *SESSION_KEYS, "event_time", F.unix_micros("event_time").alias("at"), "event_type", "price"
+        *SESSION_KEYS, "event_time", "event_type", "price"
     )
     if list(delays) == ["reminder"]:
         narrow = narrow.filter(F.col("event_type").isin("cart", "purchase"))
-    return narrow.groupBy(*SESSION_KEYS).transformWithState(
-        CartFollowUps(delays, idle), OUTPUT, outputMode="append", timeMode="EventTime"
-    )
+    open_sessions = settled_sessions(final_instants(narrow), delays, idle)
+    return unpacked(open_sessions.groupBy(*SESSION_KEYS).transformWithState(
+        FinalFollowUps(delays, idle), T.StructType([*OUTPUT.fields, _PACK]), outputMode="append", timeMode="EventTime"
+    ))
 
 
 LEDGER = T.StructType([

@@ -299,3 +299,59 @@ def test_a_batch_of_silver_adds_few_files(spark, tmp_path):
     files = [f for folder in batches.batch_folders(spark, f"{tmp_path}/silver") for f in (tmp_path / "silver" / folder).glob("*.parquet")]
     assert len(files) <= 2 * 3 * -(-spark.sparkContext.defaultParallelism // 3)
     assert stored_silver(spark, f"{tmp_path}/silver").count() == 900
+
+
+def _random_sessions(count, seed):
+    """(session, user, minutes, kind) of sessions over two days, some with gaps beyond the idle time."""
+    import random
+
+    draw, rows = random.Random(seed), []
+    for number in range(count):
+        minute = draw.randrange(48 * 60)
+        for _ in range(draw.randrange(1, 6)):
+            rows.append((f"r{number}", number if number % 7 else None, minute, draw.choice(("view", "view", "cart", "purchase"))))
+            minute += draw.choice((1, 3, 5, 30, 60, 61, 130, 400))
+    return rows
+
+
+def test_whole_sessions_are_answered_as_by_their_state():
+    """Sessions that begin and end in a batch make no state call; what they get is what the processor gives."""
+    from types import SimpleNamespace as Sums
+
+    import pyarrow as pa
+
+    sessions = {}
+    for session, user, minute, kind in _random_sessions(400, 5):
+        sums = live.sums_by_instant([(minute * live.MINUTE, kind, 2.5)])[minute * live.MINUTE]
+        held = sessions.setdefault((session, user), {})
+        held[minute * live.MINUTE] = tuple(a + b for a, b in zip(sums, held.get(minute * live.MINUTE, (0, 0, 0, 0.0))))
+    names = ["user_session", "user_id", "at", *live._SUMS.names]
+    lines = [(*key, instant, *sums) for key, held in sessions.items() for instant, sums in held.items()]
+    instants = pa.table([pa.array(column) for column in zip(*lines[::-1])], names=names)
+    answers, others = live.settle_whole(instants, live.DELAYS, live.IDLE)
+    stateful = {(r["user_session"], r["user_id"]) for r in others.to_pylist()}
+    assert 0 < len(stateful) < len(sessions) / 3  # the ends of the batch only
+    assert others.num_rows == sum(len(sessions[key]) for key in stateful)
+    want, watermark = [], max(line[2] for line in lines)
+    for key in sessions.keys() - stateful:
+        store, processor = _Store(), live.FinalFollowUps()
+        processor.init(store)
+        rows = [Sums(at=instant, **dict(zip(live._SUMS.names, sums))) for instant, sums in sessions[key].items()]
+        want += [tuple(r.asDict()[name] for name in live.OUTPUT.names)
+                 for r in processor.handleInputRows(key, iter(rows), _Clock(watermark // 1000))]
+        assert store.calls == 1 and store.value is None and not store.timers  # looked up, never stored
+    assert sorted((tuple(r.values()) for r in answers.to_pylist()), key=repr) == sorted(want, key=repr)
+
+
+def test_sessions_over_several_long_batches(spark, tmp_path):
+    """Batches that span hours, sessions within one and across: the same rows as the batch form."""
+    events = [event(session, user or 0, at(minute), kind, 2.5) for session, user, minute, kind in _random_sessions(150, 8)]
+    files = [[e for e in events if e[0] < at(900)], [e for e in events if at(900) <= e[0] < at(1700)],
+             [e for e in events if e[0] >= at(1700)]]
+    _run(spark, tmp_path, files)
+    frame = spark.createDataFrame(events, schemas.EVENTS_SILVER)
+    as_of = F.lit(max(e[0] for e in events) - timedelta(minutes=10))
+    figures = ["user_session", "user_id", "first_cart_time", "deadline"]
+    assert rows_of(live.read_messages(spark, f"{tmp_path}/out", "reminder"), *figures) == rows_of(batch.cart_reminders(frame, as_of), *figures)
+    figures += ["total_cart_value", "num_cart_items", "num_views_before_cart", "session_duration_sec"]
+    assert rows_of(live.read_messages(spark, f"{tmp_path}/out", "offer"), *figures) == rows_of(batch.offer_sessions(frame, as_of), *figures)
