@@ -75,3 +75,9 @@ def batch_folders(spark: SparkSession, path: str, before: int | None = None, kee
     """Live folders of the batches before one, of the prefixes to keep."""
     live = versions.live_parts(spark, path)
     return [live[p[4]] for p in _parts(live) if (before is None or p[3] < before) and (keep is None or keep(p[0]))]
+
+
+def own_folders(spark: SparkSession, path: str, batch_id: int) -> list[str]:
+    """Live folders of one batch, as long as it is the newest."""
+    live = versions.live_parts(spark, path)
+    return [live[p[4]] for p in _parts(live) if p[1:4] == (0, batch_id, batch_id)]

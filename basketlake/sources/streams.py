@@ -38,6 +38,16 @@ def decode(messages: DataFrame, schema: T.StructType) -> DataFrame:
     return messages.withColumn("message", parsed)
 
 
+def decode_once(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    """:func:`decode` of which each pass parses a message once.
+
+    A filter on a decoded field would otherwise be pushed below the parsing and parse on its own.
+    """
+    decoded = decode(messages, schema)
+    others = [c for c in decoded.columns if c != "message"]
+    return decoded.select(*others, F.explode(F.array("message")).alias("message"))
+
+
 def accepted(decoded: DataFrame) -> DataFrame:
     """Columns of the messages that were read without error."""
     good = F.col("message").isNotNull() & F.col(f"message.{CORRUPT}").isNull()

@@ -7,8 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basketlake import schemas
 from basketlake.operators.trades import clean_orders, clean_prices
+from basketlake.sinks import batches, versions
 from basketlake.sinks.lake import append_curated, with_day, write_json_batch
-from basketlake.sources.streams import accepted, decode, quarantined
+from basketlake.sources.streams import accepted, decode_once, quarantined
 
 TOPICS = {
     "prices": (schemas.RAW_PRICES, clean_prices),
@@ -17,18 +18,22 @@ TOPICS = {
 
 
 def store_batch(batch: DataFrame, batch_id: int, topic: str, target: str) -> None:
-    """Decode one micro-batch once and write its three tables, each keyed by the batch.
+    """Write the three tables of one micro-batch, each keyed by the batch.
 
-    A batch that runs again replaces its own folders (in the JSON lake: those of the
-    same day of writing).
+    No row is kept in memory: messages are decoded as they are read, once for the curated
+    rows and once for the quarantine, and the JSON lake takes the curated rows as they are
+    stored. A batch that runs again replaces its own folders (in the JSON lake: those of
+    the same day of writing).
     """
     schema, rule = TOPICS[topic]
-    decoded = decode(batch, schema).persist()
+    decoded = decode_once(batch, schema)
     clean = rule(accepted(decoded))
-    append_curated(clean, batch_id, f"{target}/curated/{topic}")
-    write_json_batch(with_day(clean), batch_id, f"{target}/raw/{topic}", ["year", "month", "day"])
+    curated = f"{target}/curated/{topic}"
+    append_curated(clean, batch_id, curated)
+    stored = versions.read_parts(
+        batch.sparkSession, curated, batches.own_folders(batch.sparkSession, curated, batch_id)).select(*clean.columns)
+    write_json_batch(with_day(stored), batch_id, f"{target}/raw/{topic}", ["year", "month", "day"])
     write_json_batch(quarantined(decoded), batch_id, f"{target}/quarantine/{topic}")
-    decoded.unpersist()
 
 
 def start_trade_stream(
@@ -36,7 +41,7 @@ def start_trade_stream(
 ) -> list[StreamingQuery]:
     """Start the one query of a topic: curated table, JSON lake and quarantine.
 
-    All three stand at the same offset, and each topic is read and parsed once.
+    All three stand at the same offset.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         store_batch(batch, batch_id, topic, target)

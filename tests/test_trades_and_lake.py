@@ -243,3 +243,32 @@ def test_click_messages_that_cannot_be_read_are_kept_once(spark, lk, tmp_path):
     want = silver_ops.dedup_events(silver_ops.valid_events(silver_ops.normalise_events(good)))
     got = stored_silver(spark, f"{target}/silver")
     assert rows_of(got, *schemas.EVENT_COLUMNS) == rows_of(want, *schemas.EVENT_COLUMNS)
+
+
+def test_a_trade_batch_is_stored_without_a_cache(spark, tmp_path, monkeypatch):
+    """No row stays in executor memory; a batch that runs again leaves its rows once; one parse a pass."""
+    from basketlake.streaming import trades as live
+
+    def order(number, quantity):
+        return (f'{{"order_id":"o{number}","client_id":"c","ticker":"A","order_type":"BUY","quantity":{quantity},'
+                f'"price":2.5,"total_value":1.0,"event_time":"t"}}',)
+
+    lines = [order(n, n % 3) for n in range(30)] + [order(99, '"many"'), ("no message",), (None,)]
+    messages = spark.createDataFrame(lines, "value string")
+    decoded = streams.decode_once(messages, schemas.RAW_ORDERS)
+    for rows in (trades.clean_orders(streams.accepted(decoded)), streams.quarantined(decoded)):
+        assert rows._jdf.queryExecution().executedPlan().toString().count("from_json") == 1
+
+    def kept(*args):
+        raise AssertionError("a batch is not kept in memory")
+    monkeypatch.setattr(type(messages), "persist", kept)
+    target = str(tmp_path)
+    for batch_id, batch in ((0, messages), (1, messages.limit(3)), (1, messages)):
+        live.store_batch(batch, batch_id, "orders", target)
+    curated = source.read_layer(spark, f"{target}/curated/orders").drop("batch_id")
+    want = trades.clean_orders(streams.accepted(streams.decode(messages, schemas.RAW_ORDERS)))
+    assert rows_of(curated, *want.columns) == sorted(rows_of(want) * 2, key=repr)
+    lake = source.read_raw_json(spark, f"{target}/raw/orders", want.schema)
+    assert rows_of(lake, *want.columns) == rows_of(curated, *want.columns)
+    bad = spark.read.json(f"{target}/quarantine/orders")
+    assert bad.count() == 6 and bad.filter("value is null").count() == 2
