@@ -1,6 +1,9 @@
 """Follow-ups after a first cart: reminder after 5 minutes, offer after 1 hour.
 
-State is kept per session and user, and it ends. Events within the allowed lateness are
+In the stream, events wait for late ones in a built-in aggregate (:func:`final_instants`), and
+sessions that begin and end in one micro-batch need no state (:func:`settled_sessions`).
+
+State is kept per session and user, and it ends. In :class:`CartFollowUps`, which takes events, those within the allowed lateness are
 held as sums per instant, so a session with any number of clicks a second costs one entry
 for that second: up to ``HELD_MOST`` of them in the session's record, which one call reads
 and one writes, the rest in a map state. Entries that the watermark has passed are folded
